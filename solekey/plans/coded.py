@@ -101,10 +101,12 @@ def code_table(
     df: DataFrame,
     cols: Sequence[str] | None = None,
     hasher: Callable[[Column, int], Column] = C.hashed,
+    reuse: bool = False,
 ) -> CodedTable:
     """Code the columns of a table and prove that the codes are one-to-one.
 
-    The same jobs give the exact group statistics of every single column.
+    The same jobs give the exact group statistics of every single column. With `reuse`
+    the codes of a table too small to fill the cluster are stored from the start.
     """
     names = list(df.columns if cols is None else cols)
     schema = {f.name: f.dataType for f in df.schema.fields}
@@ -116,8 +118,10 @@ def code_table(
         (hasher(value, 0) if wide[i] else C.code(value, schema[name])).alias(f"s{i}")
         for i, (name, value) in enumerate(zip(names, values))
     ]
+    chosen = df.select(*values)
+    source = spread(chosen)
     table = CodedTable(
-        source=spread(df.select(*values)),
+        source=source,
         names=names,
         exprs=exprs,
         slots=[(i,) for i in range(len(names))],
@@ -126,6 +130,8 @@ def code_table(
         single=[G.NOTHING] * len(names),
         nulls=[0] * len(names),
     )
+    if reuse and source is not chosen:
+        table.keep(range(len(names)))
     pending = list(range(len(names)))
     for slot in range(1, MAX_SLOTS + 1):
         counted = table.counts([(c,) for c in pending], skip_nulls=True)
@@ -136,6 +142,7 @@ def code_table(
         if not pending:
             return table
         for c in pending:
+            table.release()
             table.slots[c] = (*table.slots[c], len(table.exprs))
             table.exprs.append(hasher(values[c], slot).alias(f"s{len(table.exprs)}"))
     raise RuntimeError(f"no one-to-one code found for columns {[names[c] for c in pending]}")

@@ -33,7 +33,7 @@ from solekey.plans.groups import Combo, Counts
 from solekey.session import durable
 
 SAMPLE_FLOOR = 20_000
-SAMPLE_PER_ROOT = 32
+SAMPLE_PER_ROOT = 64
 
 # A pool of repeated rows is used when it is at most this part of the table.
 POOL_SHARE = 8
@@ -88,7 +88,7 @@ def find(df, max_arity=None, nulls="equal", max_candidates=1_000_000, sample_row
     skip_nulls = check_nulls(nulls)
     if max_arity is not None and max_arity < 1:
         raise ValueError("max_arity must be at least 1")
-    table = code_table(df)
+    table = code_table(df, reuse=True)
     try:
         return _Search(table, skip_nulls, max_candidates, sample_rows).run(max_arity), table.names
     finally:
@@ -152,12 +152,12 @@ class _Search:
     # -- evidence from the sample -----------------------------------------------
 
     def _worth_storing(self, cols: Sequence[int]) -> bool:
-        """Codes that cost a hash of wide values, or that every level reads in whole, are kept.
+        """Codes that cost a hash of wide values are kept, unless all codes are stored already.
 
-        Otherwise a pass reads just its own columns from the source again, which costs
-        less than a second copy of the table.
+        Other codes are read again from the source, just the columns a pass needs, which
+        costs less than a second copy of the table.
         """
-        return self.table.n_rows <= self.sample_rows or any(self.table.wide[c] for c in cols)
+        return self.table.stored is None and any(self.table.wide[c] for c in cols)
 
     def _take_sample(self) -> None:
         n_rows = self.table.n_rows
