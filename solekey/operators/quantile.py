@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -56,26 +57,50 @@ def _counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {c: row[i] for i, c in enumerate(cols)}
 
 
+def _base(t: _Target) -> Any:
+    """What to subtract before taking percentiles, which are computed as doubles.
+
+    Once both ends of the interval are known, large integers and decimals are looked at
+    relative to the lower end, where doubles can tell them apart.
+    """
+    return t.low if _ends_known(t) and t.high - t.low < 2**62 else None
+
+
+def _ends_known(t: _Target) -> bool:
+    return isinstance(t.low, (int, Decimal)) and isinstance(t.high, (int, Decimal))
+
+
+def _pivots(t: _Target) -> Column:
+    v = F.when(t.condition(), F.col(f"`{t.col}`"))
+    if t.stuck:
+        # The last pivots split nothing off: take the ends, which are values.
+        return F.array(F.min(v), F.max(v))
+    share = (t.rank - t.below + 0.5) / t.inside
+    points = [min(1.0, max(0.0, share + d / ACCURACY)) for d in (-2, 0, 2)]
+    base = _base(t)
+    return F.percentile_approx(v if base is None else v - F.lit(base), points, ACCURACY)
+
+
+def _usable(t: _Target, pivots: Sequence[Any]) -> list[Any]:
+    """Distinct pivots inside the interval; rounding may have moved some out of it."""
+    base = None if t.stuck else _base(t)
+    values = {p if base is None else p + base for p in pivots}
+    if base is None and _ends_known(t):
+        values.add((t.low + t.high) // 2)  # too far apart to be told from each other: halve the range
+    return sorted(p for p in values if (t.low is None or p > t.low) and (t.high is None or p < t.high))
+
+
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     """One round for all open targets: one job for the pivots, one for the counts."""
-    asked = []
-    for i, t in enumerate(targets):
-        v = F.when(t.condition(), F.col(f"`{t.col}`"))
-        if t.stuck:
-            # The approximate pivots split nothing off: take the ends, which are values.
-            asked.append(F.array(F.min(v), F.max(v)).alias(str(i)))
-            continue
-        share = (t.rank - t.below + 0.5) / t.inside
-        points = [min(1.0, max(0.0, share + d / ACCURACY)) for d in (-2, 0, 2)]
-        asked.append(F.percentile_approx(v, points, ACCURACY).alias(str(i)))
-    pivots = [sorted(set(p)) for p in df.agg(*asked).first()]
+    asked = df.agg(*[_pivots(t).alias(str(i)) for i, t in enumerate(targets)]).first()
+    pivots = [_usable(t, p) for t, p in zip(targets, asked)]
     sums = []
     for i, (t, ps) in enumerate(zip(targets, pivots)):
         v, inside = F.col(f"`{t.col}`"), t.condition()
         for j, p in enumerate(ps):
             sums.append(F.count_if(inside & (v < F.lit(p))).alias(f"{i}_{j}_less"))
             sums.append(F.count_if(inside & (v == F.lit(p))).alias(f"{i}_{j}_same"))
-    row = df.agg(*sums).first()
+    row = df.agg(*sums).first() if sums else {}
     for i, (t, ps) in enumerate(zip(targets, pivots)):
         start, before = t.below, t.inside
         low, high, below, above = t.low, t.high, t.below, t.below + t.inside
