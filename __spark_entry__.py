@@ -128,17 +128,11 @@ def level_three(name: str):
 
     def run(spark, sf_dir):
         df = table(spark, sf_dir, name)
-        combos = sk.level_pairs(non_unique_ordinals(df))
-        asked = [r["columns"] for r in sk.describe(combos, df.columns).collect()]
-        verdict = sk.check_combinations(df, asked).select("ucc", "is_unique")
-        known = combos.join(
-            sk.describe(combos, df.columns).join(verdict, "ucc").select("columns", "is_unique"),
-            F.transform("cols", lambda c: F.get(F.array(*[F.lit(x) for x in df.columns]), c)) == F.col("columns"),
-        )
-        uniques = known.where("is_unique").select("cols")
-        return sk.describe(
-            sk.next_candidates(known.where("NOT is_unique").select("cols"), uniques), df.columns
-        ).select("ucc", "arity")
+        asked = sk.describe(sk.level_pairs(non_unique_ordinals(df)), df.columns)
+        verdict = sk.check_combinations(df, [r["columns"] for r in asked.collect()])
+        verdict = sk.undescribe(verdict, df.columns).select("cols", "is_unique")
+        found = sk.next_candidates(sk.non_unique_columns(verdict), sk.unique_columns(verdict))
+        return sk.describe(found, df.columns).select("ucc", "arity")
 
     return run
 

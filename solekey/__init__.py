@@ -9,7 +9,7 @@ from solekey.operators.columns import (
     value_counts,
 )
 from solekey.operators.frames import combination_frame, with_row_id
-from solekey.operators.lattice import describe, level_pairs, next_candidates, prune_supersets
+from solekey.operators.lattice import describe, level_pairs, next_candidates, prune_supersets, undescribe
 from solekey.operators.pli import column_index, intersect_pli, single_column_pli
 from solekey.operators.quantile import column_medians, exact_median, kth_largest
 from solekey.operators.verify import check_combinations
@@ -37,6 +37,7 @@ __all__ = [
     "read_delimited",
     "read_integers",
     "single_column_pli",
+    "undescribe",
     "unique_columns",
     "value_clusters",
     "value_counts",

@@ -46,3 +46,9 @@ def names(cols: Column, columns: Sequence[str]) -> Column:
 def label(cols: Column, columns: Sequence[str]) -> Column:
     """Column names joined by a comma, the public name of a combination."""
     return F.array_join(names(cols, columns), ",")
+
+
+def positions(names: Column, columns: Sequence[str]) -> Column:
+    """Column names to ordinals, sorted."""
+    table = F.array(*[F.lit(c) for c in columns])
+    return F.array_sort(F.transform(names, lambda n: (F.array_position(table, n) - 1).cast("int")))

@@ -49,3 +49,8 @@ def describe(combos: DataFrame, columns: list[str]) -> DataFrame:
     return combos.select(
         X.label(cols, columns).alias("ucc"), X.names(cols, columns).alias("columns"), F.size(cols).alias("arity")
     )
+
+
+def undescribe(combos: DataFrame, columns: list[str], name: str = "ucc") -> DataFrame:
+    """Adds `cols` to a frame that names its combinations in the public form."""
+    return combos.withColumn("cols", X.positions(F.split(F.col(name), ","), columns))

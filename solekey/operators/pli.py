@@ -3,7 +3,7 @@
 An index is a narrow frame (cluster_id, row_id); a cluster is named by its smallest row
 id and clusters of one row are left out. No cluster is ever held in one array or one
 task: sizes come from a combined aggregate, and rows are matched to clusters by a join
-in which the few very large clusters are broadcast.
+in which the largest clusters are broadcast.
 """
 
 from __future__ import annotations
@@ -11,60 +11,55 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A cluster of more than 1/HOT_SHARE of the rows counts as hot, so a column has fewer
-# than HOT_SHARE hot clusters whatever the size of the table.
-HOT_SHARE = 1_000
+from solekey.plans.coded import code_table
 
-
-def attach(rows: DataFrame, clusters: DataFrame, keys: Sequence[str], n_rows: int, spaces: int = 1) -> DataFrame:
-    """Inner join of rows with clusters (keys, size, ...), null keys equal, safe for hot keys.
-
-    Hot clusters number fewer than HOT_SHARE per key space, so they are broadcast; the
-    remaining clusters have at most n_rows/HOT_SHARE rows each and go through the shuffle.
-    """
-    limit = max(1, n_rows // HOT_SHARE)
-    renamed = clusters.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in clusters.columns if c not in keys])
-
-    def matched(side: DataFrame, how: str) -> DataFrame:
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-        return rows.join(side, same, how)
-
-    drop = [f"__{k}" for k in keys]
-    hot = F.broadcast(renamed.where(F.col("size") > limit))
-    cold_rows = matched(hot.select(*drop), "left_anti")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    cold = cold_rows.join(renamed.where(F.col("size") <= limit), same)
-    return matched(hot, "inner").drop(*drop).unionByName(cold.drop(*drop))
+# The largest clusters are broadcast: never more rows than this, whatever the table. Each
+# cluster left for the shuffle then holds at most one HOT_CLUSTERS-th of all rows.
+HOT_CLUSTERS = 1_000
 
 
 def _clusters(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(__keys, size, cluster_id) of the keys that occur more than once."""
     found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("row_id").alias("cluster_id"))
-    return found.where(F.col("size") > 1)
+    return found.where(F.col("size") > 1).select(*[F.col(k).alias(f"__{k}") for k in keys], "size", "cluster_id")
+
+
+def _attach(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the cluster_id of their key, for keys that occur more than once; null equals null."""
+    clusters = _clusters(rows, keys)
+    same: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    order = [F.desc("size"), "cluster_id", *[f"__{k}" for k in keys]]
+    hot = F.broadcast(clusters.orderBy(*order).limit(HOT_CLUSTERS))
+    by_broadcast = rows.join(hot, same)
+    by_shuffle = rows.join(hot, same, "left_anti").join(clusters, same)
+    out = [c for c in rows.columns] + ["cluster_id"]
+    return by_broadcast.select(*out).unionByName(by_shuffle.select(*out))
 
 
 def single_column_pli(df: DataFrame, row_id_col: str, cols: Sequence[str] | None = None) -> DataFrame:
     """(column_name, cluster_id, row_id) for every column; row ids must be distinct and fixed.
 
     Nulls of a column form one cluster. Use with_row_id() where the table has no key.
+    Values are matched by their proven codes, so long texts are not shuffled.
     """
     cols = [c for c in df.columns if c != row_id_col] if cols is None else list(cols)
-    n_rows = df.count()
-    by_type: dict[str, list[str]] = {}
-    for c in cols:
-        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-    parts = []
-    for same_type in by_type.values():
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value")) for c in same_type]
-        )
-        rows = df.select(F.col(f"`{row_id_col}`").alias("row_id"), F.explode(pairs).alias("cell"))
-        rows = rows.select("row_id", "cell.column_name", "cell.value")
-        keys = ["column_name", "value"]
-        parts.append(attach(rows, _clusters(rows, keys), keys, n_rows).select("column_name", "cluster_id", "row_id"))
-    return reduce(DataFrame.unionByName, parts)
+    table = code_table(df, cols, stats=False)
+    depth = max(len(slots) for slots in table.slots)
+    keys = [f"k{j}" for j in range(depth)]
+
+    def key(slots: Sequence[int], j: int) -> Column:
+        expr = table.exprs[slots[j]] if j < len(slots) else F.lit(None).cast("long")
+        return expr.alias(f"k{j}")
+
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("col"), *[key(slots, j) for j in range(depth)]) for c, slots in enumerate(table.slots)]
+    )
+    rows = df.select(F.col(f"`{row_id_col}`").alias("row_id"), F.explode(cells).alias("cell")).select("row_id", "cell.*")
+    name = F.get(F.array(*[F.lit(c) for c in cols]), F.col("col")).alias("column_name")
+    return _attach(rows, ["col", *keys]).select(name, "cluster_id", "row_id")
 
 
 def column_index(plis: DataFrame, column: str) -> DataFrame:
@@ -82,4 +77,4 @@ def intersect_pli(first: DataFrame, *others: DataFrame) -> DataFrame:
     for i, other in enumerate(others, start=1):
         joined = joined.join(other.select("row_id", F.col("cluster_id").alias(f"c{i}")), "row_id")
     keys = [f"c{i}" for i in range(len(others) + 1)]
-    return attach(joined, _clusters(joined, keys), keys, first.count()).select("cluster_id", "row_id")
+    return _attach(joined, keys).select("cluster_id", "row_id")

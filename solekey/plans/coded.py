@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from solekey.functions import codes as C
 from solekey.plans import groups as G
 from solekey.plans.groups import Combo, Counts
-from solekey.session import combinations_per_job, spread
+from solekey.session import combinations_per_job, is_small, spread
 
 NULLS = ("equal", "distinct")
 MAX_SLOTS = 4
@@ -49,7 +49,9 @@ class CodedTable:
 
     @property
     def frame(self) -> DataFrame:
-        return self.stored if self.stored is not None else self.source.select(*self.exprs)
+        if self.stored is not None:
+            return self.stored
+        return spread(self.source.select(*self.exprs), self.n_rows)
 
     @property
     def spark(self):
@@ -102,11 +104,13 @@ def code_table(
     cols: Sequence[str] | None = None,
     hasher: Callable[[Column, int], Column] = C.hashed,
     reuse: bool = False,
+    stats: bool = True,
 ) -> CodedTable:
     """Code the columns of a table and prove that the codes are one-to-one.
 
-    The same jobs give the exact group statistics of every single column. With `reuse`
-    the codes of a table too small to fill the cluster are stored from the start.
+    The same jobs give the exact group statistics of every single column; without
+    `stats` only the columns that need a proof are counted. With `reuse` the codes of a
+    table too small to fill the cluster are stored from the start.
     """
     names = list(df.columns if cols is None else cols)
     schema = {f.name: f.dataType for f in df.schema.fields}
@@ -118,10 +122,8 @@ def code_table(
         (hasher(value, 0) if wide[i] else C.code(value, schema[name])).alias(f"s{i}")
         for i, (name, value) in enumerate(zip(names, values))
     ]
-    chosen = df.select(*values)
-    source = spread(chosen)
     table = CodedTable(
-        source=source,
+        source=df.select(*values),
         names=names,
         exprs=exprs,
         slots=[(i,) for i in range(len(names))],
@@ -130,11 +132,11 @@ def code_table(
         single=[G.NOTHING] * len(names),
         nulls=[0] * len(names),
     )
-    if reuse and source is not chosen:
+    if reuse and is_small(df.sparkSession, table.n_rows):
         table.keep(range(len(names)))
-    pending = list(range(len(names)))
+    pending = [c for c in range(len(names)) if stats or wide[c]]
     for slot in range(1, MAX_SLOTS + 1):
-        counted = table.counts([(c,) for c in pending], skip_nulls=True)
+        counted = table.counts([(c,) for c in pending], skip_nulls=True) if pending else {}
         for c in pending:
             table.single[c] = counted[(c,)]
             table.nulls[c] = table.n_rows - counted[(c,)].rows

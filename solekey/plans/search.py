@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from solekey.operators.frames import combination_frame
 from solekey.operators.lattice import describe, next_candidates
 from solekey.plans import groups as G
-from solekey.plans.coded import BROADCAST_ROWS, CodedTable, check_nulls, code_table
+from solekey.plans.coded import BROADCAST_ROWS, CodedTable, check_nulls, code_table, small_side
 from solekey.plans.groups import Combo, Counts
 from solekey.session import durable
 
 SAMPLE_FLOOR = 20_000
 SAMPLE_PER_ROOT = 64
+SAMPLE_GROWTH = 8
 
 # A pool of repeated rows is used when it is at most this part of the table.
 POOL_SHARE = 8
@@ -177,7 +178,30 @@ class _Search:
         """Whole rows repeat: then nothing is unique and there is no lattice to walk."""
         if not self._sample_counts([every])[every].is_unique:
             return True
-        return not self.sample_is_table and not self.table.counts([every], self.skip_nulls)[every].is_unique
+        if self.sample_is_table:
+            return False
+        keys = [f"s{slot}" for slot in self.slots]
+        rows = self.table.frame.select(*keys)
+        if self.skip_nulls:
+            rows = rows.dropna()
+        # Rows with different hashes are different; only equal hashes are looked at closely.
+        hashed = rows.withColumn("h", F.xxhash64(*keys))
+        repeated = hashed.groupBy("h").count().where(F.col("count") > 1).select("h")
+        found = repeated.count()
+        if not found:
+            return False
+        close = hashed.join(small_side(repeated, found), "h", "left_semi")
+        return not close.groupBy(*keys).count().where(F.col("count") > 1).isEmpty()
+
+    def _refute(self, combos: list[Combo]) -> list[Combo]:
+        """On the last level: growing samples, so that few non-unique sets are counted in full."""
+        n_rows = self.sample_rows * SAMPLE_GROWTH
+        while combos and n_rows * 4 <= self.table.n_rows:
+            rows = self.table.frame.sample(n_rows / self.table.n_rows, seed=23)
+            counted = self.table.counts(combos, self.skip_nulls, rows, n_rows)
+            combos = [c for c in combos if counted[c].is_unique]
+            n_rows *= SAMPLE_GROWTH
+        return combos
 
     def _always_counts(self, col: int) -> bool:
         """Leaving the column out of a combination does not change which rows it looks at."""
@@ -199,6 +223,8 @@ class _Search:
             # Sets the bound proved non-unique on the last level have no counts and need none.
         else:
             survivors = [c for c in sampled if sampled[c] == 0]
+            if last:
+                survivors = self._refute(survivors)
             full, pool = self._count_survivors(survivors, before, last)
             if not last:
                 self._count_followers(sampled, full, before)

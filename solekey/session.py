@@ -17,6 +17,9 @@ RECOMMENDED = {
 # is a handful of 8-byte keys, so this is on the order of 100 MB per partition.
 CELLS_PER_PARTITION = 2_000_000
 
+# Below this a table has too few rows per core for its own splits to be of use.
+ROWS_PER_CORE = 100_000
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Apply the settings the library is tuned for to a session builder."""
@@ -57,14 +60,15 @@ def combinations_per_job(spark: SparkSession, n_rows: int, most: int = 256) -> i
     return max(1, min(most, room // max(1, n_rows)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a frame that is too small to fill the cluster one partition per core.
+def spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """Give a narrow frame with few rows per core one partition per core.
 
-    A table of at least one split per core is returned as it is, so large inputs
-    are never shuffled for this.
+    Small files are read by fewer tasks than there are cores; larger tables are
+    returned as they are, so they are never shuffled for this.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if is_small(df.sparkSession, n_rows) else df
+
+
+def is_small(spark: SparkSession, n_rows: int) -> bool:
+    return n_rows < spark.sparkContext.defaultParallelism * ROWS_PER_CORE

@@ -123,9 +123,9 @@ def brute_pli(rows, cols):
     return sorted((min(ids), i) for ids in groups.values() if len(ids) > 1 for i in ids)
 
 
-@pytest.mark.parametrize("hot_share", [1000, 20])
-def test_position_lists(people, monkeypatch, hot_share):
-    monkeypatch.setattr(pli_module, "HOT_SHARE", hot_share)
+@pytest.mark.parametrize("hot_clusters", [1000, 2])
+def test_position_lists(people, monkeypatch, hot_clusters):
+    monkeypatch.setattr(pli_module, "HOT_CLUSTERS", hot_clusters)
     rows, df = people
     plis = sk.single_column_pli(df, "id", ["city", "age", "flag"]).persist()
     index = {c: sk.column_index(plis, c) for c in ("city", "age", "flag")}
@@ -160,6 +160,8 @@ def test_lattice_steps(spark):
     assert rows_of(sk.next_candidates(missing)) == []
     named = sk.describe(level, ["a", "b", "c", "d"]).first()
     assert tuple(named) == ("a,b", ["a", "b"], 2)
+    back = sk.undescribe(sk.describe(level, ["a", "b", "c", "d"]), ["a", "b", "c", "d"]).select("cols")
+    assert rows_of(back) == rows_of(level)
 
 
 def test_prune_supersets_matches_sets(spark):
