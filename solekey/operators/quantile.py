@@ -1,7 +1,7 @@
 """Exact k-th largest values and medians of any number of values.
 
-The range that must hold the wanted rank is narrowed with approximate percentiles as
-pivots; each round counts, exactly, how many values lie below, on and between the
+The range that must hold the wanted rank is narrowed with pivots taken from a bounded
+random sample; each round counts, exactly, how many values lie below, on and between the
 pivots. Every round drops at least the values equal to a pivot, so repeated values are
 no obstacle, and only a range with a bounded number of values is ever sorted.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from math import isqrt, sqrt
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+# A range of at most this many values is sorted to read off the answer.
 FEW_VALUES = 100_000
-ACCURACY = 10_000
+
+# Pivots come from 16 * sqrt(values) values, within these bounds.
+SAMPLE_BOUNDS = (20_000, 1_000_000)
 
 
 @dataclass
@@ -71,20 +75,25 @@ def _ends_known(t: _Target) -> bool:
 
 
 def _pivots(t: _Target) -> Column:
+    """Sample percentiles on both sides of the wanted rank; `__draw` is a uniform random number."""
     v = F.when(t.condition(), F.col(f"`{t.col}`"))
     if t.stuck:
         # The last pivots split nothing off: take the ends, which are values.
         return F.array(F.min(v), F.max(v))
+    least, most = SAMPLE_BOUNDS
+    wanted = max(least, min(most, 16 * isqrt(t.inside)))
+    v = F.when(F.col("__draw") < wanted / t.inside, v)
     share = (t.rank - t.below + 0.5) / t.inside
-    points = [min(1.0, max(0.0, share + d / ACCURACY)) for d in (-2, 0, 2)]
+    margin = 3 * sqrt(share * (1 - share) / min(wanted, t.inside))
+    points = [min(1.0, max(0.0, share + d)) for d in (-margin, 0, margin)]
     base = _base(t)
-    return F.percentile_approx(v if base is None else v - F.lit(base), points, ACCURACY)
+    return F.percentile_approx(v if base is None else v - F.lit(base), points)
 
 
 def _usable(t: _Target, pivots: Sequence[Any]) -> list[Any]:
     """Distinct pivots inside the interval; rounding may have moved some out of it."""
     base = None if t.stuck else _base(t)
-    values = {p if base is None else p + base for p in pivots}
+    values = {p if base is None else p + base for p in pivots or [] if p is not None}
     if base is None and _ends_known(t):
         values.add((t.low + t.high) // 2)  # too far apart to be told from each other: halve the range
     return sorted(p for p in values if (t.low is None or p > t.low) and (t.high is None or p < t.high))
@@ -92,7 +101,8 @@ def _usable(t: _Target, pivots: Sequence[Any]) -> list[Any]:
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     """One round for all open targets: one job for the pivots, one for the counts."""
-    asked = df.agg(*[_pivots(t).alias(str(i)) for i, t in enumerate(targets)]).first()
+    drawn = df.withColumn("__draw", F.rand(len(targets)))
+    asked = drawn.agg(*[_pivots(t).alias(str(i)) for i, t in enumerate(targets)]).first()
     pivots = [_usable(t, p) for t, p in zip(targets, asked)]
     sums = []
     for i, (t, ps) in enumerate(zip(targets, pivots)):

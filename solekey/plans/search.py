@@ -37,7 +37,7 @@ SAMPLE_PER_ROOT = 64
 SAMPLE_GROWTH = 8
 
 # A pool of repeated rows is used when it is at most this part of the table.
-POOL_SHARE = 8
+POOL_SHARE = 32
 
 
 def sample_target(n_rows: int) -> int:
@@ -49,15 +49,9 @@ class Pool:
     """Rows that repeat under some combinations: (owner int, codes array<bigint>)."""
 
     rows: DataFrame
-    repeats: list[DataFrame]
     owners: dict[Combo, int]
     n_rows: dict[Combo, int]
 
-    def release(self) -> None:
-        self.rows.unpersist()
-        for frame in self.repeats:
-            frame.unpersist()
-
 
 @dataclass
 class Level:
@@ -90,9 +84,11 @@ def find(df, max_arity=None, nulls="equal", max_candidates=1_000_000, sample_row
     if max_arity is not None and max_arity < 1:
         raise ValueError("max_arity must be at least 1")
     table = code_table(df, reuse=True)
+    search = _Search(table, skip_nulls, max_candidates, sample_rows)
     try:
-        return _Search(table, skip_nulls, max_candidates, sample_rows).run(max_arity), table.names
+        return search.run(max_arity), table.names
     finally:
+        search.release()
         table.release()
 
 
@@ -105,6 +101,7 @@ class _Search:
         self.sample_rows = sample_target(table.n_rows) if sample_rows is None else sample_rows
         self.sampled: DataFrame | None = None
         self.slots: list[int] = []
+        self.held: list[DataFrame] = []
         self.sample_is_table = False
 
     def run(self, max_arity: int | None) -> list[Combo]:
@@ -134,10 +131,17 @@ class _Search:
                 break
             found, level = self._check(candidates, level, last=size == max_arity)
             uccs += found
-        if level.pool:
-            level.pool.release()
         return uccs
 
+    def release(self) -> None:
+        """Give up everything stored on the way."""
+        self._unpersist(len(self.held))
+
+    def _unpersist(self, first: int) -> None:
+        for frame in self.held[:first]:
+            frame.unpersist()
+        del self.held[:first]
+
     # -- candidates ------------------------------------------------------------
 
     def _candidates(self, level: Level) -> list[Combo]:
@@ -216,24 +220,20 @@ class _Search:
 
     def _check(self, candidates: list[Combo], before: Level, last: bool) -> tuple[list[Combo], Level]:
         sampled = {c: s.excess for c, s in self._sample_counts(self._open(candidates, last)).items()}
-        full: dict[Combo, int] = {}
+        earlier = len(self.held)
         pool = None
         if self.sample_is_table:
             full = sampled
-            # Sets the bound proved non-unique on the last level have no counts and need none.
         else:
             survivors = [c for c in sampled if sampled[c] == 0]
             if last:
                 survivors = self._refute(survivors)
             full, pool = self._count_survivors(survivors, before, last)
+            self._unpersist(earlier)
             if not last:
                 self._count_followers(sampled, full, before)
-        if before.pool:
-            before.pool.release()
         uccs = [c for c in candidates if full.get(c) == 0]
         if last:
-            if pool:
-                pool.release()
             return uccs, Level({})
         kept = {
             c: sampled[c]
@@ -288,7 +288,6 @@ class _Search:
         jobs += [(whole, batch, [0] * len(batch)) for batch in self.table.batches(fresh)]
 
         excess: dict[Combo, int] = {}
-        repeats: list[DataFrame] = []
         parts: list[DataFrame] = []
         owners: dict[Combo, int] = {}
         n_rows: dict[Combo, int] = {}
@@ -296,11 +295,11 @@ class _Search:
             first = len(owners)
             layout = self.table.layout(batch)
             if rows is whole:
-                keyed = G.cells(self.table.frame, layout, self.skip_nulls)
+                keyed = self._likely_repeats(G.cells(self.table.frame, layout, self.skip_nulls))
             else:
                 keyed = _pool_cells(rows, layout, position, batch_owners, self.skip_nulls)
             repeated = G.sizes(keyed).where(F.col("size") > 1).persist(StorageLevel.MEMORY_AND_DISK)
-            repeats.append(repeated)
+            self.held.append(repeated)
             counts = G.read_counts(G.summary(repeated), len(batch))
             excess.update({c: s.excess for c, s in zip(batch, counts)})
             usable = [
@@ -323,13 +322,30 @@ class _Search:
                 )
             )
         if not parts:
-            for frame in repeats:
-                frame.unpersist()
             return excess, None
         together = parts[0]
         for part in parts[1:]:
             together = together.unionByName(part)
-        return excess, Pool(together.persist(StorageLevel.MEMORY_AND_DISK), repeats, owners, n_rows)
+        # Written once: later levels must not fall back on the full passes behind it.
+        return excess, Pool(durable(together), owners, n_rows)
+
+    def _likely_repeats(self, cells: DataFrame) -> DataFrame:
+        """The cells that may repeat: cells whose hash occurs once do not.
+
+        Shuffles one long per cell instead of all its keys. The combinations that come here
+        hardly repeat, so few hashes are left and the cells that have them are found without
+        a shuffle; with more hashes than can be broadcast all cells are grouped.
+        """
+        hashed = cells.withColumn("h", F.xxhash64(*cells.columns))
+        repeated = hashed.groupBy("h").count().where(F.col("count") > 1).select("h")
+        repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(repeated)
+        found = repeated.count()
+        if found > BROADCAST_ROWS:
+            return cells
+        if not found:
+            return cells.limit(0)
+        return hashed.join(F.broadcast(repeated), "h", "left_semi").drop("h")
 
     def _parent(self, combo: Combo, pool: Pool | None) -> Combo | None:
         if pool is None:

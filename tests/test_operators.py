@@ -200,7 +200,7 @@ VALUE_SETS = {
 @pytest.mark.parametrize("few", [3, 100_000])
 def test_selection(spark, monkeypatch, name, few):
     monkeypatch.setattr(quantile, "FEW_VALUES", few)
-    monkeypatch.setattr(quantile, "ACCURACY", 40 if few == 3 else 10_000)
+    monkeypatch.setattr(quantile, "SAMPLE_BOUNDS", (20, 60) if few == 3 else (20_000, 1_000_000))
     values = VALUE_SETS[name]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint").coalesce(2).persist()
     k = len(values) // 3 + 1
