@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import solekey as sk
+from solekey.functions import combos
 from solekey.session import checkpoint_dir
 
 # Columns per table, in table order.
@@ -137,6 +138,37 @@ def level_three(name: str):
     return run
 
 
+def pruned_pairs(name: str):
+    """All pairs of columns, without those that contain a unique column."""
+
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, name)
+        stats = sk.column_uniqueness(df)
+        position = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column_name"))
+        every = sk.level_pairs(stats.select((position - 1).cast("int").alias("col")))
+        uniques = sk.undescribe(sk.unique_columns(stats), df.columns, "column_name").select("cols")
+        return sk.describe(sk.prune_supersets(every, uniques), df.columns).select("ucc", "arity")
+
+    return run
+
+
+def pair_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of non-unique columns of part as bit masks, and back to names."""
+    df = table(spark, sf_dir, "part")
+    masked = sk.level_pairs(non_unique_ordinals(df)).select(combos.to_mask(F.col("cols")).alias("mask"))
+    return masked.select(
+        "mask", combos.label(combos.from_mask(F.col("mask"), len(df.columns)), df.columns).alias("ucc")
+    )
+
+
+def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster sizes of position lists over generated row ids; the ids themselves are arbitrary."""
+    df = sk.with_row_id(table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment"))
+    plis = sk.single_column_pli(df, "row_id")
+    sizes = plis.groupBy("column_name", "cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("column_name", "size").agg(F.count(F.lit(1)).alias("n_clusters"))
+
+
 def intersected(name: str):
     key, cols = INTERSECTED[name]
 
@@ -196,8 +228,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["column_uniqueness_null_equal"] = lambda s, d: sk.column_uniqueness(with_holes(s, d))
     out["column_uniqueness_null_distinct"] = lambda s, d: sk.column_uniqueness(with_holes(s, d), "distinct")
     out["unique_columns_orders"] = lambda s, d: sk.unique_columns(sk.column_uniqueness(table(s, d, "orders")))
-    for name, combos in CHECKED.items():
-        out[f"check_combinations_{name}"] = lambda s, d, n=name, c=combos: sk.check_combinations(table(s, d, n), c)
+    for name, asked in CHECKED.items():
+        out[f"check_combinations_{name}"] = lambda s, d, n=name, c=asked: sk.check_combinations(table(s, d, n), c)
     for name, cols in CLUSTERED.items():
         out[f"value_clusters_{name}"] = lambda s, d, n=name, c=cols: sk.value_clusters(table(s, d, n), c)
     out["value_counts_events"] = cell_counts
@@ -213,6 +245,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"exact_median_{name}"] = lambda s, d, n=name, c=col: sk.exact_median(table(s, d, n), c)
     for name, cols in MEDIANS.items():
         out[f"column_medians_{name}"] = lambda s, d, n=name, c=cols: sk.column_medians(table(s, d, n), c)
+    out["non_unique_columns_orders"] = lambda s, d: sk.non_unique_columns(sk.column_uniqueness(table(s, d, "orders")))
+    out["cells_orders"] = lambda s, d: sk.cells(table(s, d, "orders"), CLUSTERED["orders"], "o_orderkey")
+    out["prune_supersets_customer"] = pruned_pairs("customer")
+    out["prune_supersets_orders"] = pruned_pairs("orders")
+    out["combination_masks_part"] = pair_masks
+    out["row_ids_customer"] = generated_ids
     out["delimited_text_uniqueness"] = delimited_uniqueness
     out["integer_lines_median"] = integers_median
     out["delimited_text_medians"] = file_medians
@@ -330,8 +368,8 @@ def oracle_sql() -> dict[str, str]:
         out[f"minimal_uccs_null_{nulls}"] = ucc_sql(HOLES_SQL, orders, nulls=nulls)
         out[f"column_uniqueness_null_{nulls}"] = column_sql(HOLES_SQL, orders, nulls)
     out["unique_columns_orders"] = f"SELECT * FROM ({column_sql('orders', orders)}) WHERE is_unique"
-    for name, combos in CHECKED.items():
-        out[f"check_combinations_{name}"] = combo_sql(name, [sorted(c, key=COLUMNS[name].index) for c in combos])
+    for name, asked in CHECKED.items():
+        out[f"check_combinations_{name}"] = combo_sql(name, [sorted(c, key=COLUMNS[name].index) for c in asked])
     for name, cols in CLUSTERED.items():
         out[f"value_clusters_{name}"] = cluster_sql(name, cols)
     out["value_counts_events"] = " UNION ALL ".join(
@@ -351,6 +389,24 @@ def oracle_sql() -> dict[str, str]:
         out[f"exact_median_{name}"] = f"SELECT quantile_disc({col}, 0.5) AS value FROM {name}"
     for name, cols in MEDIANS.items():
         out[f"column_medians_{name}"] = median_sql(name, cols)
+    out["non_unique_columns_orders"] = f"SELECT * FROM ({column_sql('orders', orders)}) WHERE NOT is_unique"
+    out["cells_orders"] = " UNION ALL ".join(
+        f"SELECT o_orderkey AS row_id, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders"
+        for c in CLUSTERED["orders"]
+    )
+    for name in ("customer", "orders"):
+        cols = COLUMNS[name]
+        out[f"prune_supersets_{name}"] = pairs_sql(name, cols)
+    part = COLUMNS["part"]
+    out["combination_masks_part"] = (
+        f"WITH c AS ({single_sql('part', part)}) SELECT CAST((1 << a.i) + (1 << b.i) AS BIGINT) AS mask, "
+        "a.col || ',' || b.col AS ucc FROM c AS a JOIN c AS b ON a.i < b.i"
+    )
+    out["row_ids_customer"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, n AS size, count(*) AS n_clusters FROM (SELECT count(*) AS n FROM customer "
+        f"GROUP BY {c} HAVING count(*) > 1) GROUP BY n"
+        for c in ("c_nationkey", "c_mktsegment")
+    )
     text = "(SELECT o_orderkey AS c0, o_custkey AS c1, o_orderstatus AS c2, o_orderpriority AS c3 FROM orders)"
     out["delimited_text_uniqueness"] = column_sql(text, ["c0", "c1", "c2", "c3"])
     out["integer_lines_median"] = (

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solekey.functions.codes import needs_proof
 from solekey.operators.frames import local_frame
-from solekey.plans.coded import check_nulls, code_table
+from solekey.plans.coded import check_nulls, code_table, few_repeats, rows_with_repeated_codes
 
 
 def cells(df: DataFrame, cols: Sequence[str] | None = None, row_id_col: str | None = None) -> DataFrame:
@@ -27,8 +29,23 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def value_clusters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """The values that occur more than once, per column."""
-    return value_counts(df, cols).where(F.col("cluster_size") > 1)
+    """The values that occur more than once, per column.
+
+    Where hardly any text of a column occurs twice, only those that may do so are
+    shuffled: the others are told apart by their codes.
+    """
+    cols = list(df.columns if cols is None else cols)
+    wide = [c for c in cols if needs_proof(df.schema[c].dataType)]
+    table = code_table(df, wide, prove=False)
+    rare = [c for i, c in enumerate(wide) if few_repeats(table, i) and table.nulls[i] * 4 <= table.n_rows]
+    parts = []
+    if len(rare) < len(cols):
+        parts.append(value_counts(df, [c for c in cols if c not in rare]))
+    for c in rare:
+        likely = rows_with_repeated_codes(table, wide.index(c)).select(F.col("value").alias(c))
+        empty = df.where(F.col(f"`{c}`").isNull()).select(f"`{c}`")
+        parts.append(value_counts(likely.unionByName(empty) if table.nulls[wide.index(c)] else likely))
+    return reduce(DataFrame.unionByName, parts).where(F.col("cluster_size") > 1)
 
 
 def column_uniqueness(df: DataFrame, nulls: str = "equal", cols: Sequence[str] | None = None) -> DataFrame:

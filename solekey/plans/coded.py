@@ -105,12 +105,14 @@ def code_table(
     hasher: Callable[[Column, int], Column] = C.hashed,
     reuse: bool = False,
     stats: bool = True,
+    prove: bool = True,
 ) -> CodedTable:
     """Code the columns of a table and prove that the codes are one-to-one.
 
     The same jobs give the exact group statistics of every single column; without
     `stats` only the columns that need a proof are counted. With `reuse` the codes of a
-    table too small to fill the cluster are stored from the start.
+    table too small to fill the cluster are stored from the start. Without `prove` the
+    codes only tell which rows cannot have an equal value.
     """
     names = list(df.columns if cols is None else cols)
     schema = {f.name: f.dataType for f in df.schema.fields}
@@ -140,7 +142,7 @@ def code_table(
         for c in pending:
             table.single[c] = counted[(c,)]
             table.nulls[c] = table.n_rows - counted[(c,)].rows
-        pending = _collided(table, [c for c in pending if wide[c]])
+        pending = _collided(table, [c for c in pending if wide[c]]) if prove else []
         if not pending:
             return table
         for c in pending:
@@ -163,7 +165,7 @@ def _collided(table: CodedTable, cols: Sequence[int]) -> list[int]:
         stat = table.single[c]
         if stat.is_unique:
             continue
-        if stat.repeated_rows * 4 <= table.n_rows:
+        if few_repeats(table, c):
             if _values_in_repeated_codes(table, c) != stat.repeated_groups:
                 failed.append(c)
         else:
@@ -188,8 +190,20 @@ def _collided(table: CodedTable, cols: Sequence[int]) -> list[int]:
 
 def _values_in_repeated_codes(table: CodedTable, col: int) -> int:
     keys = [f"s{s}" for s in table.slots[col]]
-    coded = table.source.select(*[table.exprs[s] for s in table.slots[col]], F.col(f"`{table.names[col]}`").alias("value"))
+    return rows_with_repeated_codes(table, col).select(*keys, "value").distinct().count()
+
+
+def few_repeats(table: CodedTable, col: int) -> bool:
+    """Few rows share a code, and the codes they share can be broadcast."""
+    stat = table.single[col]
+    return stat.repeated_rows * 4 <= table.n_rows and stat.repeated_groups <= BROADCAST_ROWS
+
+
+def rows_with_repeated_codes(table: CodedTable, col: int) -> DataFrame:
+    """(s..., value): the rows of a column whose code occurs more than once, nulls left out."""
+    keys = [f"s{s}" for s in table.slots[col]]
+    value = F.col(f"`{table.names[col]}`")
+    coded = table.source.select(*[table.exprs[s] for s in table.slots[col]], value.alias("value"))
     coded = coded.where(F.col("value").isNotNull())
     repeated = coded.groupBy(*keys).count().where(F.col("count") > 1).drop("count")
-    hit = coded.join(small_side(repeated, table.single[col].repeated_groups), keys, "left_semi")
-    return hit.distinct().count()
+    return coded.join(small_side(repeated, table.single[col].repeated_groups), keys, "left_semi")

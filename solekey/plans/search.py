@@ -34,7 +34,10 @@ from solekey.session import durable
 
 SAMPLE_FLOOR = 20_000
 SAMPLE_PER_ROOT = 64
-SAMPLE_GROWTH = 8
+SAMPLE_GROWTH = 4
+
+# Columns with more different values than this are not cheap to read and hash again.
+MANY_VALUES = 100_000
 
 # A pool of repeated rows is used when it is at most this part of the table.
 POOL_SHARE = 32
@@ -157,12 +160,13 @@ class _Search:
     # -- evidence from the sample -----------------------------------------------
 
     def _worth_storing(self, cols: Sequence[int]) -> bool:
-        """Codes that cost a hash of wide values are kept, unless all codes are stored already.
+        """Codes of columns with many different wide values are kept, unless all are stored already.
 
-        Other codes are read again from the source, just the columns a pass needs, which
-        costs less than a second copy of the table.
+        Other columns are read again from the source, just those a pass needs, which costs
+        less than a second copy of the table.
         """
-        return self.table.stored is None and any(self.table.wide[c] for c in cols)
+        many = [c for c in cols if self.table.wide[c] and self.table.single[c].groups > MANY_VALUES]
+        return self.table.stored is None and bool(many)
 
     def _take_sample(self) -> None:
         n_rows = self.table.n_rows
@@ -200,10 +204,13 @@ class _Search:
     def _refute(self, combos: list[Combo]) -> list[Combo]:
         """On the last level: growing samples, so that few non-unique sets are counted in full."""
         n_rows = self.sample_rows * SAMPLE_GROWTH
-        while combos and n_rows * 4 <= self.table.n_rows:
+        while combos and n_rows * 2 <= self.table.n_rows:
             rows = self.table.frame.sample(n_rows / self.table.n_rows, seed=23)
             counted = self.table.counts(combos, self.skip_nulls, rows, n_rows)
-            combos = [c for c in combos if counted[c].is_unique]
+            left = [c for c in combos if counted[c].is_unique]
+            if len(left) * 4 > len(combos) * 3:
+                return left  # most are unique or nearly so; more samples would only delay the proof
+            combos = left
             n_rows *= SAMPLE_GROWTH
         return combos
 
@@ -227,7 +234,8 @@ class _Search:
         else:
             survivors = [c for c in sampled if sampled[c] == 0]
             if last:
-                survivors = self._refute(survivors)
+                pooled = [c for c in survivors if self._parent(c, before.pool) is not None]
+                survivors = pooled + self._refute([c for c in survivors if c not in pooled])
             full, pool = self._count_survivors(survivors, before, last)
             self._unpersist(earlier)
             if not last:

@@ -116,6 +116,14 @@ def test_cells_and_values(people):
     assert rows_of(sk.value_clusters(df, ["city", "age"])) == sorted(((*k, n) for k, n in counts.items() if n > 1), key=repr)
 
 
+def test_value_clusters_of_rarely_repeated_texts(spark):
+    rows = [(f"text {i % 97}" if i < 100 else f"other {i}", i % 3) for i in range(400)] + [(None, 1)] * 2
+    df = spark.createDataFrame(rows, "body string, n int")
+    counts = Counter(("body", r[0]) for r in rows) + Counter(("n", str(r[1])) for r in rows)
+    expected = sorted(((*k, n) for k, n in counts.items() if n > 1), key=repr)
+    assert rows_of(sk.value_clusters(df)) == expected
+
+
 def brute_pli(rows, cols):
     groups = {}
     for r in rows:
