@@ -69,19 +69,19 @@ def minimal_uccs(
     df: DataFrame,
     max_arity: int | None = None,
     nulls: str = "equal",
-    max_candidates: int = 1_000_000,
+    max_candidates: int | None = None,
     sample_rows: int | None = None,
 ) -> DataFrame:
     """All minimal unique column combinations: (ucc, columns, arity).
 
-    max_arity ends the search at combinations of that size. A level with more than
-    max_candidates combinations raises an error; nothing is ever left out silently.
+    max_arity ends the search at combinations of that size. With max_candidates, a level
+    of more combinations raises an error; nothing is ever left out silently.
     """
     found, names = find(df, max_arity, nulls, max_candidates, sample_rows)
     return describe(combination_frame(df.sparkSession, sorted(found, key=lambda c: (len(c), c))), names)
 
 
-def find(df, max_arity=None, nulls="equal", max_candidates=1_000_000, sample_rows=None):
+def find(df, max_arity=None, nulls="equal", max_candidates=None, sample_rows=None):
     """The combinations as ordinals, and the column names."""
     skip_nulls = check_nulls(nulls)
     if max_arity is not None and max_arity < 1:
@@ -96,7 +96,7 @@ def find(df, max_arity=None, nulls="equal", max_candidates=1_000_000, sample_row
 
 
 class _Search:
-    def __init__(self, table: CodedTable, skip_nulls: bool, max_candidates: int, sample_rows: int | None):
+    def __init__(self, table: CodedTable, skip_nulls: bool, max_candidates: int | None, sample_rows: int | None):
         self.table = table
         self.spark = table.spark
         self.skip_nulls = skip_nulls and any(table.nulls)
@@ -149,12 +149,16 @@ class _Search:
 
     def _candidates(self, level: Level) -> list[Combo]:
         kept = combination_frame(self.spark, list(level.in_sample))
-        rows = next_candidates(kept).take(self.max_candidates + 1)
-        if len(rows) > self.max_candidates:
-            raise RuntimeError(
-                f"more than {self.max_candidates} candidates of one size; "
-                "set max_arity, raise max_candidates or pass fewer columns"
-            )
+        found = next_candidates(kept)
+        if self.max_candidates is None:
+            rows = found.collect()
+        else:
+            rows = found.take(self.max_candidates + 1)
+            if len(rows) > self.max_candidates:
+                raise RuntimeError(
+                    f"more than {self.max_candidates} candidates of one size; "
+                    "set max_arity, raise max_candidates or pass fewer columns"
+                )
         return sorted(tuple(r["cols"]) for r in rows)
 
     # -- evidence from the sample -----------------------------------------------
@@ -201,19 +205,37 @@ class _Search:
         close = hashed.join(small_side(repeated, found), "h", "left_semi")
         return not close.groupBy(*keys).count().where(F.col("count") > 1).isEmpty()
 
-    def _refute(self, combos: list[Combo]) -> list[Combo]:
-        """On the last level: growing samples, so that few non-unique sets are counted in full."""
+    def _growing_samples(self):
+        """(rows, n_rows) of ever larger samples, up to half of the table."""
         n_rows = self.sample_rows * SAMPLE_GROWTH
-        while combos and n_rows * 2 <= self.table.n_rows:
-            rows = self.table.frame.sample(n_rows / self.table.n_rows, seed=23)
+        while n_rows * 2 <= self.table.n_rows:
+            yield self.table.frame.sample(n_rows / self.table.n_rows, seed=23), n_rows
+            n_rows *= SAMPLE_GROWTH
+
+    def _refute(self, combos: list[Combo]) -> list[Combo]:
+        """On the last level: larger samples, so that few non-unique sets are counted in full."""
+        for rows, n_rows in self._growing_samples() if combos else ():
             counted = self.table.counts(combos, self.skip_nulls, rows, n_rows)
             left = [c for c in combos if counted[c].is_unique]
-            if len(left) * 4 > len(combos) * 3:
-                return left  # most are unique or nearly so; more samples would only delay the proof
+            settled = len(combos) - len(left)
             combos = left
-            n_rows *= SAMPLE_GROWTH
+            if settled < len(left):
+                break  # most are unique or nearly so; more samples would only delay the proof
         return combos
 
+    def _still_open(self, suspects: dict[Combo, list[Combo]]) -> dict[Combo, list[Combo]]:
+        """Suspects (C: parts with the same excess) that larger samples cannot tell apart either."""
+        for rows, n_rows in self._growing_samples() if suspects else ():
+            need = sorted(set(suspects).union(*suspects.values()))
+            counted = self.table.counts(need, self.skip_nulls, rows, n_rows)
+            left = {c: [p for p in ps if counted[p].excess == counted[c].excess] for c, ps in suspects.items()}
+            left = {c: ps for c, ps in left.items() if ps}
+            settled = len(suspects) - len(left)
+            suspects = left
+            if settled < len(left):
+                break
+        return suspects
+
     def _always_counts(self, col: int) -> bool:
         """Leaving the column out of a combination does not change which rows it looks at."""
         return not self.skip_nulls or not self.table.nulls[col]
@@ -269,7 +291,7 @@ class _Search:
     def _count_followers(self, sampled: dict[Combo, int], full: dict[Combo, int], before: Level) -> None:
         """Count in full where the sample leaves open whether a column follows from the rest."""
         open_sets = {c: self._followers(c, sampled[c], before.in_sample) for c in sampled if sampled[c]}
-        open_sets = {c: parts for c, parts in open_sets.items() if parts}
+        open_sets = self._still_open({c: parts for c, parts in open_sets.items() if parts})
         parts = {p for ps in open_sets.values() for p in ps if p not in before.in_full}
         need = sorted(set(open_sets) | parts)
         if not need:
