@@ -110,6 +110,17 @@ HOLES_SQL = """(SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey E
  CASE WHEN o_totalprice < 300000 THEN o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders)"""
 
 
+def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with its customer: many columns follow from others."""
+    return table(spark, sf_dir, "orders").join(
+        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    )
+
+
+WIDE_COLUMNS = COLUMNS["orders"] + COLUMNS["customer"]
+WIDE_SQL = "(SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
 def non_unique_ordinals(df: DataFrame) -> DataFrame:
     """(col): positions of the columns that are not unique by themselves."""
     position = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column_name"))
@@ -221,6 +232,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in COLUMNS:
         out[f"minimal_uccs_{name}"] = search(name, MAX_ARITY[name])
         out[f"column_uniqueness_{name}"] = lambda s, d, n=name: sk.column_uniqueness(table(s, d, n))
+    out["minimal_uccs_orders_with_customer"] = lambda s, d: sk.minimal_uccs(
+        orders_with_customer(s, d), max_arity=4
+    ).select("ucc", "arity")
     out["minimal_uccs_null_equal"] = lambda s, d: sk.minimal_uccs(with_holes(s, d)).select("ucc", "arity")
     out["minimal_uccs_null_distinct"] = lambda s, d: sk.minimal_uccs(with_holes(s, d), nulls="distinct").select(
         "ucc", "arity"
@@ -364,6 +378,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"minimal_uccs_{name}"] = ucc_sql(name, cols, MAX_ARITY[name])
         out[f"column_uniqueness_{name}"] = column_sql(name, cols)
     orders = COLUMNS["orders"]
+    out["minimal_uccs_orders_with_customer"] = ucc_sql(WIDE_SQL, WIDE_COLUMNS, 4)
     for nulls in ("equal", "distinct"):
         out[f"minimal_uccs_null_{nulls}"] = ucc_sql(HOLES_SQL, orders, nulls=nulls)
         out[f"column_uniqueness_null_{nulls}"] = column_sql(HOLES_SQL, orders, nulls)

@@ -36,6 +36,8 @@ def value_clusters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """
     cols = list(df.columns if cols is None else cols)
     wide = [c for c in cols if needs_proof(df.schema[c].dataType)]
+    if not wide:
+        return value_counts(df, cols).where(F.col("cluster_size") > 1)
     table = code_table(df, wide, prove=False)
     rare = [c for i, c in enumerate(wide) if few_repeats(table, i) and table.nulls[i] * 4 <= table.n_rows]
     parts = []

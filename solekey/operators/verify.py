@@ -22,11 +22,9 @@ def check_combinations(df: DataFrame, combos: Sequence[Sequence[str]], nulls: st
     unknown = {c for combo in combos for c in combo} - set(used)
     if unknown:
         raise ValueError(f"unknown columns {sorted(unknown)}")
-    table = code_table(df, used)
+    table = code_table(df, used, stats=False)
     keys = list(dict.fromkeys(tuple(sorted(used.index(c) for c in combo)) for combo in combos))
-    several = [k for k in keys if len(k) > 1]
-    found = table.counts(several, skip_nulls) if several else {}
-    found |= {k: table.column_counts(k[0], skip_nulls) for k in keys if len(k) == 1}
+    found = table.counts(keys, skip_nulls)
     rows = [
         (",".join(used[c] for c in k), found[k].rows, found[k].groups, found[k].largest, found[k].is_unique)
         for k in keys

@@ -332,14 +332,11 @@ class _Search:
             self.held.append(repeated)
             counts = G.read_counts(G.summary(repeated), len(batch))
             excess.update({c: s.excess for c, s in zip(batch, counts)})
-            usable = [
-                i for i, s in enumerate(counts) if s.rows and s.rows * POOL_SHARE <= self.table.n_rows and not last
-            ]
+            usable = [] if last else self._poolable(counts)
             if not usable:
                 continue
             owners.update({batch[i]: first + n for n, i in enumerate(usable)})
             n_rows.update({batch[i]: counts[i].rows for i in usable})
-            groups = sum(counts[i].groups for i in usable)
             parts.append(
                 _repeated_rows(
                     rows,
@@ -348,7 +345,6 @@ class _Search:
                     [batch_owners[i] for i in usable],
                     repeated.where(F.col("combo").isin(usable)),
                     {i: first + n for n, i in enumerate(usable)},
-                    groups,
                 )
             )
         if not parts:
@@ -359,6 +355,15 @@ class _Search:
         # Written once: later levels must not fall back on the full passes behind it.
         return excess, Pool(durable(together), owners, n_rows)
 
+    def _poolable(self, counts: list[Counts]) -> list[int]:
+        """Combinations with few repeated rows, fewest keys first, while all keys can be broadcast."""
+        usable, room = [], BROADCAST_ROWS
+        for i, s in sorted(enumerate(counts), key=lambda x: x[1].groups):
+            if s.rows and s.rows * POOL_SHARE <= self.table.n_rows and s.groups <= room:
+                usable.append(i)
+                room -= s.groups
+        return sorted(usable)
+
     def _likely_repeats(self, cells: DataFrame) -> DataFrame:
         """The cells that may repeat: cells whose hash occurs once do not.
 
@@ -398,8 +403,8 @@ def _pool_cells(rows, layout, position, owners, skip_nulls, carry=()) -> DataFra
     return keyed.select(F.col("entry.combo").alias("combo"), *G.key_names(depth), *carry)
 
 
-def _repeated_rows(rows, layout, position, owners, repeated, new_owner, groups) -> DataFrame:
-    """(owner, codes) of the rows whose key is among the repeated ones of a combination."""
+def _repeated_rows(rows, layout, position, owners, repeated, new_owner) -> DataFrame:
+    """(owner, codes) of the rows whose key is among the repeated ones; those can be broadcast."""
     depth = G.depth_of(layout)
     keyed = _pool_cells(rows, layout, position, owners, False, carry=("codes",))
     numbered = sorted(new_owner)  # cell number n stands for combination numbered[n]
@@ -407,9 +412,7 @@ def _repeated_rows(rows, layout, position, owners, repeated, new_owner, groups)
         F.col("combo").alias("c"), *[F.col(k).alias(f"r_{k}") for k in G.key_names(depth)]
     )
     number = F.array_position(F.array(*[F.lit(i) for i in numbered]), F.col("c")).cast("int") - 1
-    keys = keys.withColumn("c", number)
-    if groups <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    keys = F.broadcast(keys.withColumn("c", number))
     same = F.col("combo") == F.col("c")
     for k in G.key_names(depth):
         same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))

@@ -162,8 +162,9 @@ def test_pools_are_used_and_exact(spark, monkeypatch):
     assert any(p is not None for p in used)
 
 
-def test_pools_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(search, "BROADCAST_ROWS", -1)
+@pytest.mark.parametrize("broadcast_rows", [0, 12])
+def test_more_repeats_than_can_be_broadcast(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(search, "BROADCAST_ROWS", broadcast_rows)
     rows = table(2)
     assert answer(frame(spark, rows, 7, TYPES), sample_rows=12) == set(brute(rows, 7))
 
