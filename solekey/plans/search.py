@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from math import isqrt
+from math import isqrt, prod
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -86,7 +86,7 @@ def find(df, max_arity=None, nulls="equal", max_candidates=None, sample_rows=Non
     skip_nulls = check_nulls(nulls)
     if max_arity is not None and max_arity < 1:
         raise ValueError("max_arity must be at least 1")
-    table = code_table(df, reuse=True)
+    table = code_table(df, reuse=True, stats=False)
     search = _Search(table, skip_nulls, max_candidates, sample_rows)
     try:
         return search.run(max_arity), table.names
@@ -99,33 +99,38 @@ class _Search:
     def __init__(self, table: CodedTable, skip_nulls: bool, max_candidates: int | None, sample_rows: int | None):
         self.table = table
         self.spark = table.spark
-        self.skip_nulls = skip_nulls and any(table.nulls)
+        self.skip_nulls = skip_nulls
         self.max_candidates = max_candidates
         self.sample_rows = sample_target(table.n_rows) if sample_rows is None else sample_rows
         self.sampled: DataFrame | None = None
+        self.sample_is_table = False
+        self.nulls = [0] * len(table.names)
+        self.known: dict[Combo, Counts] = {}  # full counts of single columns
         self.slots: list[int] = []
         self.held: list[DataFrame] = []
-        self.sample_is_table = False
 
     def run(self, max_arity: int | None) -> list[Combo]:
         table = self.table
-        width = len(table.names)
-        stats = [table.column_counts(c, self.skip_nulls) for c in range(width)]
-        uccs: list[Combo] = [(c,) for c in range(width) if table.n_rows <= 1 or stats[c].is_unique]
-        # A constant column decides nothing, unless its nulls take rows out of the check.
-        rest = [
-            c for c in range(width) if (c,) not in uccs and (stats[c].groups > 1 or not self._always_counts(c))
-        ]
+        singles = [(c,) for c in range(len(table.names))]
+        if table.n_rows <= 1 or not singles:
+            return singles
+        if self.skip_nulls:
+            self._count_nulls()
+        if self._worth_storing():
+            table.keep(range(len(singles)))
+        self._take_sample()
+        in_sample = self._sample_counts(singles)
+        self.known = in_sample if self.sample_is_table else self._count_columns(in_sample)
+        uccs = [c for c in singles if c in self.known and self.known[c].is_unique]
+        rest = [c for c in singles if c not in uccs and not self._decides_nothing(c)]
         if len(rest) < 2 or max_arity == 1:
             return uccs
-        self.slots = sorted({s for c in rest for s in table.slots[c]})
-        if self._worth_storing(rest):
-            table.keep(rest)
-        self._take_sample()
-        if self._rows_repeat(tuple(rest)):
+        self.slots = sorted({s for (c,) in rest for s in table.slots[c]})
+        if self._rows_repeat(tuple(c for (c,) in rest)):
             return uccs
-        level = Level({(c,): 0 for c in rest}, {(c,): stats[c].excess for c in rest})
-        level.in_sample = {c: s.excess for c, s in self._sample_counts(list(level.in_sample)).items()}
+        level = Level(
+            {c: in_sample[c].excess for c in rest}, {c: self.known[c].excess for c in rest if c in self.known}
+        )
         size = 1
         while level.in_sample and (max_arity is None or size < max_arity):
             candidates = self._candidates(level)
@@ -136,6 +141,34 @@ class _Search:
             uccs += found
         return uccs
 
+    # -- single columns ----------------------------------------------------------
+
+    def _count_nulls(self) -> None:
+        """Nulls per column, by one scan; a table without any follows the simpler rule."""
+        firsts = [F.count(f"s{slots[0]}").alias(f"c{c}") for c, slots in enumerate(self.table.slots)]
+        row = self.table.frame.agg(*firsts).first()
+        self.nulls = [self.table.n_rows - present for present in row]
+        self.skip_nulls = any(self.nulls)
+
+    def _count_columns(self, in_sample: dict[Combo, Counts]) -> dict[Combo, Counts]:
+        """Full counts of the columns that need them.
+
+        Those with wide values were counted to prove their codes. Of the others, only
+        columns that look unique or constant in the sample are counted.
+        """
+        wide = [c for c in in_sample if self.table.wide[c[0]]]
+        known = {c: self.table.column_counts(c[0], self.skip_nulls) for c in wide}
+        open_columns = [
+            c for c, s in in_sample.items() if c not in known and (s.is_unique or s.groups == 1)
+        ]
+        if open_columns:
+            known |= self.table.counts(open_columns, self.skip_nulls)
+        return known
+
+    def _decides_nothing(self, column: Combo) -> bool:
+        """A constant column, unless its nulls take rows out of the check."""
+        return column in self.known and self.known[column].groups <= 1 and self._always_counts(column[0])
+
     def release(self) -> None:
         """Give up everything stored on the way."""
         self._unpersist(len(self.held))
@@ -163,24 +196,23 @@ class _Search:
 
     # -- evidence from the sample -----------------------------------------------
 
-    def _worth_storing(self, cols: Sequence[int]) -> bool:
-        """Codes of columns with many different wide values are kept, unless all are stored already.
+    def _worth_storing(self) -> bool:
+        """Codes are kept if a column has many different wide values, unless they are stored already.
 
-        Other columns are read again from the source, just those a pass needs, which costs
-        less than a second copy of the table.
+        Otherwise a pass reads just its own columns from the source again, which costs less
+        than a second copy of the table.
         """
-        many = [c for c in cols if self.table.wide[c] and self.table.single[c].groups > MANY_VALUES]
+        many = [s for s, wide in zip(self.table.single, self.table.wide) if wide and s.groups > MANY_VALUES]
         return self.table.stored is None and bool(many)
 
     def _take_sample(self) -> None:
         n_rows = self.table.n_rows
-        frame = self.table.frame.select(*[f"s{slot}" for slot in self.slots])
         self.sample_is_table = n_rows <= self.sample_rows
         if self.sample_is_table:
-            self.sampled = frame
+            self.sampled = self.table.frame
             return
         parts = max(1, min(self.spark.sparkContext.defaultParallelism, self.sample_rows // 2_000))
-        self.sampled = durable(frame.sample(self.sample_rows / n_rows, seed=17).repartition(parts))
+        self.sampled = durable(self.table.frame.sample(self.sample_rows / n_rows, seed=17).repartition(parts))
 
     def _sample_counts(self, combos: Sequence[Combo]) -> dict[Combo, Counts]:
         n_rows = min(self.table.n_rows, self.sample_rows)
@@ -238,7 +270,7 @@ class _Search:
 
     def _always_counts(self, col: int) -> bool:
         """Leaving the column out of a combination does not change which rows it looks at."""
-        return not self.skip_nulls or not self.table.nulls[col]
+        return not self.skip_nulls or not self.nulls[col]
 
     def _followers(self, combo: Combo, excess: int, before: dict[Combo, int]) -> list[Combo]:
         """Combinations with one column less and the same excess: that column adds nothing."""
@@ -273,20 +305,15 @@ class _Search:
         return uccs, Level(kept, full, pool)
 
     def _open(self, candidates: list[Combo], last: bool) -> list[Combo]:
-        """On the last level: without the sets that cannot have enough different keys."""
-        if not last:
-            return candidates
-        return [c for c in candidates if self._largest_possible(c) >= self._rows_at_least(c)]
-
-    def _largest_possible(self, combo: Combo) -> int:
-        product = 1
-        for col in combo:
-            product *= self.table.column_counts(col, self.skip_nulls).groups
-        return product
-
-    def _rows_at_least(self, combo: Combo) -> int:
-        missing = sum(self.table.nulls[col] for col in combo) if self.skip_nulls else 0
-        return self.table.n_rows - missing
+        """On the last level: without the sets known to have too few different keys."""
+        return [c for c in candidates if not (last and self._too_few_keys(c))]
+
+    def _too_few_keys(self, combo: Combo) -> bool:
+        counted = [self.known.get((col,)) for col in combo]
+        if None in counted:
+            return False
+        missing = sum(self.nulls[col] for col in combo) if self.skip_nulls else 0
+        return prod(s.groups for s in counted) < self.table.n_rows - missing
 
     def _count_followers(self, sampled: dict[Combo, int], full: dict[Combo, int], before: Level) -> None:
         """Count in full where the sample leaves open whether a column follows from the rest."""
