@@ -13,6 +13,14 @@ import solekey as sk
 from solekey.functions import combos
 from solekey.session import checkpoint_dir
 
+try:
+    import corpus_pipeline
+    from solekey.llm import queries as training_data
+except ModuleNotFoundError as missing:  # only where the package's folders are taken out
+    if not missing.name.startswith(("corpus_pipeline", "solekey.llm")):
+        raise
+    corpus_pipeline = training_data = None
+
 # Columns per table, in table order.
 COLUMNS = {
     "region": "r_regionkey r_name",
@@ -268,6 +276,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["delimited_text_uniqueness"] = delimited_uniqueness
     out["integer_lines_median"] = integers_median
     out["delimited_text_medians"] = file_medians
+    if training_data:
+        out |= training_data.QUERIES | {"pipeline": corpus_pipeline.run}
     return out
 
 
@@ -430,4 +440,8 @@ def oracle_sql() -> dict[str, str]:
     )
     fields = "(SELECT l_orderkey AS c0, l_partkey AS c1, l_suppkey AS c2, l_linenumber AS c3 FROM lineitem)"
     out["delimited_text_medians"] = median_sql(fields, ["c0", "c1", "c2", "c3"])
+    if training_data:
+        out |= training_data.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
