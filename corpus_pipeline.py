@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solekey.llm import decontaminate, line_dedup, packing, simhash
+from solekey.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from solekey.llm.frames import table
 from solekey.llm.queries import TOKENIZER
 from solekey.session import checkpoint_dir
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go; its lexicon is learnt from what is there."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one document only; ``n_chars`` follows the text."""
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -40,6 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", without_toxic),
     ("line_dedup", without_repeated_lines),
     ("simhash", without_near_copies),
     ("decontamination", without_benchmark_items),

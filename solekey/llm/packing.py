@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from dataclasses import dataclass
@@ -16,8 +17,8 @@ from solekey.llm.frames import doc_text, map_batches
 # Pieces that wait for a place in one task at a time.
 WINDOW = 4096
 
-# Known words of the tokenizer's cache before it is started anew.
-CACHE_WORDS = 300_000
+# Words whose ids a task remembers.
+CACHE_WORDS = 500_000
 
 # Blanks at which a text may be cut without a change of its ids: the tokenizer drops them.
 BLANKS = re.compile("[ \t\n\r\f\v]+")
@@ -39,26 +40,29 @@ class Tokens:
     """Ids of texts by a file of the tokenizers library, remembered for each word."""
 
     def __init__(self, path: str, end_id: int | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text, then the end id, as little-endian unsigned 32-bit numbers."""
-        words = BLANKS.split(text)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each whole text's ids, then the end id, as little-endian unsigned 32-bit numbers.
+
+        The first words met are remembered; others are looked up for these texts only.
+        """
+        split = [BLANKS.split(text) for text in texts]
         known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words]) + self.end
+        new = list({w for words in split for w in words if w not in known})
+        here = known if len(known) + len(new) <= CACHE_WORDS else {}
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                here[word] = np.array(found.ids, "<u4").tobytes()
+        if here is known:
+            return [b"".join([known[w] for w in words]) + self.end for words in split]
+        return [b"".join([known[w] if w in known else here[w] for w in words]) + self.end for words in split]
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
@@ -145,8 +149,8 @@ def pack_documents(
         id_type = []
         for batch in batches:
             id_type[:] = [batch.column("doc_id").type]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = tokens.ids(text or "")
+            found = tokens.ids([x or "" for x in batch.column("text").to_pylist()])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
                 total = len(ids) // 4
                 for start in range(0, total, cut):
                     piece = ids[4 * start : 4 * (start + cut)]

@@ -6,12 +6,50 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solekey.llm import decontaminate, line_dedup, packing, simhash
-from solekey.llm.frames import table
+from solekey.llm import decontaminate, line_dedup, packing, pii, simhash, toxicity
+from solekey.llm.frames import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _joined(spans, certain: bool):
+    """Spans as ``kind:start:end``, comma-joined."""
+    own = F.filter(spans, lambda s: s["certain"]) if certain else spans
+    return F.array_join(
+        F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["certain"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def _digest(found: DataFrame, kinds) -> DataFrame:
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[_count(spans, kind) for kind in kinds],
+        F.sha2(_joined(spans, True).cast("binary"), 256).alias("base_sha256"),
+        _joined(spans, False).alias("spans"),
+    )
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _digest(pii.find_personal_data(docs, pii.learn(docs)), pii.KINDS)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("kept_text").cast("binary"), 256)
@@ -67,7 +105,9 @@ FROM docs JOIN items USING (shingle) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item"""
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
