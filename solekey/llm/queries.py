@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solekey.llm import decontaminate, line_dedup, packing, pii, simhash, toxicity
+from solekey.llm import decontaminate, embeddings, line_dedup, main_text, packing, pii, secrets, simhash, toxicity, url_rules
 from solekey.llm.frames import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,25 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.find_personal_data(docs, pii.learn(docs)), pii.KINDS)
 
 
+# The rules of the query, as (verdict, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -56,6 +75,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared")
@@ -104,13 +131,35 @@ SELECT doc_id, item_id, n_item, count(*) AS n_shared
 FROM docs JOIN items USING (shingle) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item"""
 
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), ruled AS (
+  SELECT *, '.' || host AS h, CASE
+    WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM split
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled"""
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_url_rules": op2_url_rules,
+    "op3_main_text": op3_main_text,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
+    "op7_embeddings": op7_embeddings,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
+ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
