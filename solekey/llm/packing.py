@@ -15,12 +15,18 @@ from pyspark.sql import DataFrame
 from solekey.llm.frames import doc_text, map_batches
 
 # Pieces that wait for a place in one task at a time.
-WINDOW = 4096
-
-# Words whose ids a task remembers.
-CACHE_WORDS = 500_000
-
-# Blanks at which a text may be cut without a change of its ids: the tokenizer drops them.
+WINDOW = 2048
+
+# Words whose ids a Python worker remembers, from task to task; about 200 MB.
+CACHE_WORDS = 1_000_000
+
+# How the tokenizer cuts texts without odd signs into pieces, whose ids don't depend
+# on what stands around them. It lower-cases and drops white space itself.
+LETTERS, NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+# Texts with other scripts, combining or control signs, rare spaces, or strings of special tokens
+# are only cut at plain blanks.
+ODD = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f-\xa0²³¹¼½¾İ\u0250-\U0010ffff]")
 BLANKS = re.compile("[ \t\n\r\f\v]+")
 
 
@@ -36,6 +42,15 @@ class Limits:
         return np.array([self.tokens, self.segments, self.loss_tokens], np.int64)
 
 
+class Known(dict):
+    """Ids of remembered words, and for the texts at hand those of others."""
+
+    others: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.others[word]
+
+
 class Tokens:
     """Ids of texts by a file of the tokenizers library, remembered for each word."""
 
@@ -45,24 +60,47 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each whole text's ids, then the end id, as little-endian unsigned 32-bit numbers.
 
         The first words met are remembered; others are looked up for these texts only.
         """
-        split = [BLANKS.split(text) for text in texts]
+        plain = [not ODD.search(text) for text in texts]
+        split = [PIECES.findall(t.lower()) if ok else BLANKS.split(t) for t, ok in zip(texts, plain)]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        here = known if len(known) + len(new) <= CACHE_WORDS else {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                here[word] = np.array(found.ids, "<u4").tobytes()
-        if here is known:
-            return [b"".join([known[w] for w in words]) + self.end for words in split]
-        return [b"".join([known[w] if w in known else here[w] for w in words]) + self.end for words in split]
+        new = set().union(*(words for words, ok in zip(split, plain) if ok)) - known.keys()
+        odd = set().union(*(words for words, ok in zip(split, plain) if not ok)) - known.keys() - new
+        fits = len(known) + len(new) + len(odd) <= CACHE_WORDS
+        here = known if fits else {}
+        self._look_up(list(new), here)
+        odd = list(odd)
+        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            here[word] = np.array(found.ids, "<u4").tobytes()
+        known.others = {} if fits else here
+        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+
+    def _look_up(self, words: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right") * 4
+            start = 0
+            for word, end in zip(part, ends.tolist()):
+                into[word] = ids[start:end]
+                start = end
+
+
+_WORKER: dict[tuple, Tokens] = {}
+
+
+def tokens_of(path: str, end_id: int | None) -> Tokens:
+    """The worker's own tokenizer, with what it remembers."""
+    if (path, end_id) not in _WORKER:
+        _WORKER[path, end_id] = Tokens(path, end_id)
+    return _WORKER[path, end_id]
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
@@ -72,26 +110,25 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     limits) have the largest dot product with the room left; ties go to the first row. A row
     that alone exceeds a limit gets a bin of its own.
     """
-    shares = sizes / limits
-    open_ = np.lexsort((np.arange(len(sizes)), -sizes[:, 0]))
+    order = np.argsort(-sizes[:, 0], kind="stable")
+    own, limits = sizes[order], limits.astype(np.int64)
+    shares, left = own / limits, np.arange(len(own))
     bins = []
-    while len(open_):
-        room, chosen, taken = limits.astype(np.int64).copy(), [], np.zeros(len(open_), bool)
-        own, weights = sizes[open_], shares[open_]
-        fits = np.ones(len(open_), bool)
+    while len(left):
+        room, chosen = limits.copy(), []
+        here = left
         while True:
-            fits &= (own <= room).all(1) & ~taken
-            here = np.flatnonzero(fits)
+            here = here[(own[here] <= room).all(1)]
             if not len(here):
                 break
-            best = here[np.argmax(weights[here] @ (room / limits))]
-            taken[best] = True
-            chosen.append(int(open_[best]))
+            best = here[np.argmax(shares[here] @ (room / limits))]
+            chosen.append(best)
             room = room - own[best]
+            here = here[here != best]
         if not chosen:
-            taken[0], chosen = True, [int(open_[0])]
-        bins.append(chosen)
-        open_ = open_[~taken]
+            chosen = [left[0]]
+        bins.append(order[chosen].tolist())
+        left = np.setdiff1d(left, chosen, assume_unique=True)
     return bins
 
 
@@ -116,7 +153,7 @@ def pack_documents(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tokens = Tokens(tokenizer, end_id)
+        tokens = tokens_of(tokenizer, end_id)
         task, made = TaskContext.get().partitionId(), 0
         waiting: list[tuple] = []
 
