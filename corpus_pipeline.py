@@ -21,12 +21,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one document only; ``n_chars`` follows the text."""
-    more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = line_dedup.drop_repeated_lines(docs, line_dedup.MIN_CHARS, line_dedup.MIN_DOCS, *more)
-    new = {"text": F.col("kept_text")}
+    # Other columns travel under names of their own, so that none clashes with the operator's.
+    more = {c: f"__carried_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    kept = line_dedup.drop_repeated_lines(
+        docs.withColumnsRenamed(more), line_dedup.MIN_CHARS, line_dedup.MIN_DOCS, *more.values()
+    ).select("doc_id", F.col("kept_text").alias("text"), *[F.col(new).alias(old) for old, new in more.items()])
     if "n_chars" in more:
-        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
-    return kept.withColumns(new).select(*docs.columns)
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

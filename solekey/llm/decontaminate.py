@@ -238,5 +238,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, min_containment: floa
 
     Rows without a ``doc_id`` can't be named by the search and stay.
     """
-    found = find_contained(docs, items, min_containment).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("found_id"), "left_anti")
+    found = find_contained(docs, items, min_containment).select(F.col("doc_id").alias("__found_id")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__found_id"), "left_anti")

@@ -91,7 +91,8 @@ def fit(sample: np.ndarray, n_rows: int, min_cosine: float = MIN_COSINE) -> Mult
     """Codebooks from a sample of unit vectors, sized by the number of rows to index.
 
     The slack is the least with which a vector visits the cell of a partner at the least cosine
-    in ``TARGET_RECALL`` of the cases; partners are drawn in random directions.
+    in ``TARGET_RECALL`` of the cases, for partners drawn in random directions and for those that
+    vectors of the sample have in it.
     """
     k = int(min(MOST_WORDS, max(1, 2 ** round(np.log2(max(1.0, np.sqrt(n_rows / PER_CELL)))))))
     width = sample.shape[1]
@@ -105,7 +106,11 @@ def fit(sample: np.ndarray, n_rows: int, min_cosine: float = MIN_COSINE) -> Mult
     partners = min_cosine * some + np.sqrt(1 - min_cosine**2) * aside
     cells = index.cells(partners)
     reach = np.array([index.excess(some[i : i + 1], cells[i : i + 1])[0, 0] for i in range(len(some))])
-    index.slack = float(np.quantile(reach, TARGET_RECALL)) + 1e-9
+    # Partners that the sample itself holds may lie closer together than codewords do.
+    homes = index.cells(sample)
+    near, other = np.nonzero(some[:500] @ sample.T >= min_cosine)
+    held = index.excess(some[:500], homes)[near, other]
+    index.slack = max(float(np.quantile(x, TARGET_RECALL)) for x in (reach, held) if len(x)) + 1e-9
     return index
 
 

@@ -182,15 +182,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     dropped = (
         seen.join(repeated, "digest")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("owner"))
-        .agg(F.collect_set("digest").alias("digests"))
+        .groupBy(F.col("doc_id").alias("__owner"))
+        .agg(F.collect_set("digest").alias("__digests"))
     )
-    joined = doc_text(docs, *carry).join(dropped, F.col("doc_id").eqNullSafe(F.col("owner")), "left").drop("owner")
+    joined = doc_text(docs, *carry).join(dropped, F.col("doc_id").eqNullSafe(F.col("__owner")), "left").drop("__owner")
 
     def apply(batches):
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, digests in zip(batch.column("text").to_pylist(), batch.column("digests").to_pylist()):
+            for text, digests in zip(batch.column("text").to_pylist(), batch.column("__digests").to_pylist()):
                 lines, keys = keys_of(text, min_chars)
                 gone = set(digests or ())
                 stay = [x for x, k in zip(lines, keys) if not (gone and k and hashlib.sha256(k).digest() in gone)]

@@ -19,6 +19,9 @@ MIN_TOKEN = 20
 # Share of the tokens taken for random that may not be, for each encoding and class of lengths.
 FALSE_DISCOVERIES = 0.1
 
+# Tokens with p values over one half that a class needs.
+LEAST_EVIDENCE = 20
+
 # Steps of the combined p value in which tokens are counted.
 STEPS = 50
 
@@ -158,8 +161,9 @@ def thresholds(found: DataFrame, most: float = FALSE_DISCOVERIES) -> dict[tuple[
     """For each encoding and length class the least p value of a discovery.
 
     Random tokens have p values spread evenly, others small ones. The even share is read off the
-    top tenth; a threshold stands where of all tokens above it a share of ``most`` at most is
-    beyond what random ones make there. A class without such a threshold gives no discovery.
+    upper half (or the upper quarter, with one standard error, if that has less); the threshold is
+    the least one above which a share of ``most`` at most is beyond what random tokens make there.
+    A class with too few tokens in the upper half tells nothing and gives no discovery.
     Counts cover all documents; only they, a bounded table, come to the driver.
     """
     counted = (
@@ -173,16 +177,15 @@ def thresholds(found: DataFrame, most: float = FALSE_DISCOVERIES) -> dict[tuple[
         tables.setdefault((kind, size), np.zeros(STEPS))[step] = count
     least = {}
     for key, counts in tables.items():
-        top = counts[-STEPS // 10 :].sum() / (STEPS // 10)
+        half, quarter = counts[STEPS // 2 :], counts[-STEPS // 4 :]
+        if half.sum() < LEAST_EVIDENCE:
+            continue
+        even = min(half.mean(), quarter.mean() + np.sqrt(quarter.sum()) / len(quarter))
         above = np.cumsum(counts[::-1])[::-1]
-        random = np.minimum(top * np.arange(STEPS, 0, -1), above)
-        good = np.flatnonzero((above > 0) & (above - random <= most * above))
-        # From the top down without a gap, so that one lucky step below does not open the rest.
-        at = STEPS
-        while at - 1 in good:
-            at -= 1
-        if at < STEPS and top > 0:
-            least[key] = max(at, 1) / STEPS
+        beyond = above - even * np.arange(STEPS, 0, -1)
+        good = np.flatnonzero(beyond <= most * above)
+        if len(good):
+            least[key] = max(int(good[0]), 1) / STEPS
     return least
 
 

@@ -238,8 +238,8 @@ def simhash_dedup(docs: DataFrame, n_words: int = SHINGLE_WORDS, max_bits: int =
     chosen = (
         simhash_groups(docs, n_words, max_bits)
         .where("doc_id = component_id")
-        .select(F.col("doc_id").alias("kept_id"))
+        .select(F.col("doc_id").alias("__kept_id"))
         .distinct()
     )
-    named = docs.where("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    named = docs.where("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("__kept_id"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
