@@ -42,7 +42,12 @@ COLUMNS = {
 COLUMNS = {table: names.split() for table, names in COLUMNS.items()}
 
 # Largest combination to look for; None searches the whole lattice.
-MAX_ARITY = {table: None for table in COLUMNS} | {"lineitem": 3}
+MAX_ARITY = {table: None for table in COLUMNS}
+
+# Searches with so small a sample that pools, followers and passes over the whole table decide.
+# They find the same combinations as those with the usual sample.
+SMALL_SAMPLE = 200
+SMALL_SAMPLED = ["orders", "events", "customer"]
 
 CHECKED = {
     "lineitem": [
@@ -210,6 +215,28 @@ def delimited_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.column_uniqueness(sk.read_delimited(spark, path, "|"))
 
 
+def ragged_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one to three fields, blank ones among them, read back as they are."""
+    path = scratch(spark)
+    key = F.col("o_orderkey").cast("string")
+    line = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit(""))
+        .when(F.col("o_orderkey") % 4 == 1, key)
+        .when(F.col("o_orderkey") % 4 == 2, F.concat_ws("|", key, "o_orderstatus"))
+        .otherwise(F.concat_ws("|", F.lit(""), "o_orderstatus", "o_orderpriority"))
+    )
+    table(spark, sf_dir, "orders").select(line).write.text(path)
+    return sk.column_uniqueness(sk.read_delimited(spark, path, "|"))
+
+
+def carriage_return_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end in a carriage return alone."""
+    path = scratch(spark)
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), "c_mktsegment")
+    table(spark, sf_dir, "customer").select(line).write.option("lineSep", "\r").text(path)
+    return sk.column_uniqueness(sk.read_delimited(spark, path, ";"))
+
+
 def integers_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three integers per line, read as one set of numbers."""
     path = scratch(spark)
@@ -227,6 +254,11 @@ def file_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.column_medians(fields.select(*[F.col(c).cast("int").alias(c) for c in fields.columns]))
 
 
+def kth(df: DataFrame, col: str, k: int) -> DataFrame:
+    """The k-th largest value, or the least one of a smaller table."""
+    return sk.kth_largest(df, col, max(1, min(k, df.where(F.col(col).isNotNull()).count())))
+
+
 def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = sk.value_counts(table(spark, sf_dir, "events"), ["user_id", "event_type"])
     return counts.groupBy("column_name").agg(
@@ -240,9 +272,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in COLUMNS:
         out[f"minimal_uccs_{name}"] = search(name, MAX_ARITY[name])
         out[f"column_uniqueness_{name}"] = lambda s, d, n=name: sk.column_uniqueness(table(s, d, n))
-    out["minimal_uccs_orders_with_customer"] = lambda s, d: sk.minimal_uccs(
+    for name in SMALL_SAMPLED:
+        out[f"minimal_uccs_{name}_small_sample"] = lambda s, d, n=name: sk.minimal_uccs(
+            table(s, d, n), sample_rows=SMALL_SAMPLE
+        ).select("ucc", "arity")
+    out["minimal_uccs_lineitem_arity3"] = search("lineitem", 3)
+    out["minimal_uccs_orders_with_customer_arity4"] = lambda s, d: sk.minimal_uccs(
         orders_with_customer(s, d), max_arity=4
     ).select("ucc", "arity")
+    out["minimal_uccs_orders_with_customer"] = lambda s, d: sk.minimal_uccs(orders_with_customer(s, d)).select(
+        "ucc", "arity"
+    )
+    out["ragged_text_uniqueness"] = ragged_uniqueness
+    out["carriage_return_text_uniqueness"] = carriage_return_uniqueness
     out["minimal_uccs_null_equal"] = lambda s, d: sk.minimal_uccs(with_holes(s, d)).select("ucc", "arity")
     out["minimal_uccs_null_distinct"] = lambda s, d: sk.minimal_uccs(with_holes(s, d), nulls="distinct").select(
         "ucc", "arity"
@@ -263,7 +305,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"level_pairs_{name}"] = pairs(name)
         out[f"next_candidates_{name}"] = level_three(name)
     for name, (col, k) in SELECTED.items():
-        out[f"kth_largest_{name}"] = lambda s, d, n=name, c=col, k=k: sk.kth_largest(table(s, d, n), c, k)
+        out[f"kth_largest_{name}"] = lambda s, d, n=name, c=col, k=k: kth(table(s, d, n), c, k)
         out[f"exact_median_{name}"] = lambda s, d, n=name, c=col: sk.exact_median(table(s, d, n), c)
     for name, cols in MEDIANS.items():
         out[f"column_medians_{name}"] = lambda s, d, n=name, c=cols: sk.column_medians(table(s, d, n), c)
@@ -284,6 +326,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # -- the same in SQL ---------------------------------------------------------------
 
 
+# Combinations that one step of the SQL groups.
+MASKS_AT_ONCE = 128
+
+
 def masks(cols: list[str], max_arity: int | None):
     for size in range(1, (max_arity or len(cols)) + 1):
         for combo in combinations(range(len(cols)), size):
@@ -292,17 +338,25 @@ def masks(cols: list[str], max_arity: int | None):
 
 def ucc_sql(source: str, cols: list[str], max_arity: int | None = None, nulls: str = "equal") -> str:
     """Every combination is grouped; unique ones without a smaller unique one inside remain."""
-    parts = []
-    for mask, combo in masks(cols, max_arity):
-        where = " WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in combo) if nulls == "distinct" else ""
-        parts.append(
-            f"SELECT {mask} AS mask, '{','.join(combo)}' AS ucc, {len(combo)} AS arity, NOT EXISTS("
-            f"SELECT 1 FROM t{where} GROUP BY {', '.join(combo)} HAVING count(*) > 1) AS u"
-        )
+    every = list(masks(cols, max_arity))
+    batches = [every[i : i + MASKS_AT_ONCE] for i in range(0, len(every), MASKS_AT_ONCE)]
+    tables = [f"t0 AS MATERIALIZED (SELECT {', '.join(cols)} FROM {source})"]
+    for k, batch in enumerate(batches):
+        parts = []
+        for mask, combo in batch:
+            where = " WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in combo) if nulls == "distinct" else ""
+            parts.append(
+                f"SELECT {mask} AS mask, '{','.join(combo)}' AS ucc, {len(combo)} AS arity, NOT EXISTS("
+                f"SELECT 1 FROM t{k}{where} GROUP BY {', '.join(combo)} HAVING count(*) > 1) AS u"
+            )
+        tables.append(f"a{k} AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+        # The next batch reads a copy of the table that waits for this one, so that memory stays small.
+        if k + 1 < len(batches):
+            tables.append(f"t{k + 1} AS MATERIALIZED (SELECT * FROM t0 WHERE (SELECT count(*) FROM a{k}) > 0)")
+    found = " UNION ALL ".join(f"SELECT * FROM a{k} WHERE u" for k in range(len(batches)))
     return (
-        f"WITH t AS MATERIALIZED (SELECT {', '.join(cols)} FROM {source}), a AS MATERIALIZED ({' UNION ALL '.join(parts)}), "
-        "k AS (SELECT * FROM a WHERE u) SELECT ucc, CAST(arity AS INTEGER) AS arity FROM k WHERE NOT EXISTS("
-        "SELECT 1 FROM k AS s WHERE s.mask <> k.mask AND (s.mask & k.mask) = s.mask)"
+        f"WITH {', '.join(tables)}, k AS MATERIALIZED ({found}) SELECT ucc, CAST(arity AS INTEGER) AS arity FROM k "
+        "WHERE NOT EXISTS(SELECT 1 FROM k AS s WHERE s.mask <> k.mask AND (s.mask & k.mask) = s.mask)"
     )
 
 
@@ -388,7 +442,17 @@ def oracle_sql() -> dict[str, str]:
         out[f"minimal_uccs_{name}"] = ucc_sql(name, cols, MAX_ARITY[name])
         out[f"column_uniqueness_{name}"] = column_sql(name, cols)
     orders = COLUMNS["orders"]
-    out["minimal_uccs_orders_with_customer"] = ucc_sql(WIDE_SQL, WIDE_COLUMNS, 4)
+    for name in SMALL_SAMPLED:
+        out[f"minimal_uccs_{name}_small_sample"] = ucc_sql(name, COLUMNS[name])
+    out["minimal_uccs_lineitem_arity3"] = ucc_sql("lineitem", COLUMNS["lineitem"], 3)
+    out["minimal_uccs_orders_with_customer_arity4"] = ucc_sql(WIDE_SQL, WIDE_COLUMNS, 4)
+    out["minimal_uccs_orders_with_customer"] = ucc_sql(WIDE_SQL, WIDE_COLUMNS)
+    ragged = """(SELECT CASE o_orderkey % 4 WHEN 1 THEN CAST(o_orderkey AS VARCHAR) WHEN 2 THEN CAST(o_orderkey AS VARCHAR) END AS c0,
+ CASE WHEN o_orderkey % 4 >= 2 THEN o_orderstatus END AS c1, CASE WHEN o_orderkey % 4 = 3 THEN o_orderpriority END AS c2
+ FROM orders)"""
+    out["ragged_text_uniqueness"] = column_sql(ragged, ["c0", "c1", "c2"])
+    lines = "(SELECT c_custkey AS c0, c_nationkey AS c1, c_mktsegment AS c2 FROM customer)"
+    out["carriage_return_text_uniqueness"] = column_sql(lines, ["c0", "c1", "c2"])
     for nulls in ("equal", "distinct"):
         out[f"minimal_uccs_null_{nulls}"] = ucc_sql(HOLES_SQL, orders, nulls=nulls)
         out[f"column_uniqueness_null_{nulls}"] = column_sql(HOLES_SQL, orders, nulls)
@@ -410,7 +474,10 @@ def oracle_sql() -> dict[str, str]:
         out[f"level_pairs_{name}"] = pairs_sql(name, COLUMNS[name])
         out[f"next_candidates_{name}"] = level_three_sql(name, COLUMNS[name])
     for name, (col, k) in SELECTED.items():
-        out[f"kth_largest_{name}"] = f"SELECT {col} AS value FROM {name} ORDER BY {col} DESC LIMIT 1 OFFSET {k - 1}"
+        out[f"kth_largest_{name}"] = (
+            f"SELECT {col} AS value FROM {name} ORDER BY {col} DESC LIMIT 1 OFFSET "
+            f"(SELECT greatest(least({k}, count({col})), 1) - 1 FROM {name})"
+        )
         out[f"exact_median_{name}"] = f"SELECT quantile_disc({col}, 0.5) AS value FROM {name}"
     for name, cols in MEDIANS.items():
         out[f"column_medians_{name}"] = median_sql(name, cols)

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def all_but_last(cols: Column) -> Column:
     """The prefix two combinations must share to be joined."""
     return F.slice(cols, 1, F.size(cols) - 1)
@@ -49,6 +54,10 @@ def label(cols: Column, columns: Sequence[str]) -> Column:
 
 
 def positions(names: Column, columns: Sequence[str]) -> Column:
-    """Column names to ordinals, sorted."""
+    """Column names to ordinals, sorted; a name that is not there is an error."""
     table = F.array(*[F.lit(c) for c in columns])
-    return F.array_sort(F.transform(names, lambda n: (F.array_position(table, n) - 1).cast("int")))
+    unknown = F.concat(F.lit("no such column: "), F.array_join(F.array_except(names, table), ", "))
+    ordinals = F.array_sort(F.transform(names, lambda n: (F.array_position(table, n) - 1).cast("int")))
+    return F.when(F.size(F.array_except(names, table)) == 0, ordinals).otherwise(
+        F.raise_error(unknown).cast("array<int>")
+    )

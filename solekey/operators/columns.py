@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solekey.functions.combos import column
 from solekey.functions.codes import needs_proof
 from solekey.operators.frames import local_frame
 from solekey.plans.coded import check_nulls, code_table, few_repeats, rows_with_repeated_codes
@@ -17,9 +18,9 @@ def cells(df: DataFrame, cols: Sequence[str] | None = None, row_id_col: str | No
     """One row per cell: (row_id if asked for, column_name, value as text)."""
     cols = [c for c in df.columns if c != row_id_col] if cols is None else list(cols)
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]
+        *[F.struct(F.lit(c).alias("column_name"), column(c).cast("string").alias("value")) for c in cols]
     )
-    ids = [] if row_id_col is None else [F.col(f"`{row_id_col}`").alias("row_id")]
+    ids = [] if row_id_col is None else [column(row_id_col).alias("row_id")]
     return df.select(*ids, F.explode(pairs).alias("cell")).select(*["row_id"][: len(ids)], "cell.*")
 
 
@@ -45,7 +46,7 @@ def value_clusters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         parts.append(value_counts(df, [c for c in cols if c not in rare]))
     for c in rare:
         likely = rows_with_repeated_codes(table, wide.index(c)).select(F.col("value").alias(c))
-        empty = df.where(F.col(f"`{c}`").isNull()).select(f"`{c}`")
+        empty = df.where(column(c).isNull()).select(column(c))
         parts.append(value_counts(likely.unionByName(empty) if table.nulls[wide.index(c)] else likely))
     return reduce(DataFrame.unionByName, parts).where(F.col("cluster_size") > 1)
 

@@ -52,5 +52,10 @@ def describe(combos: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def undescribe(combos: DataFrame, columns: list[str], name: str = "ucc") -> DataFrame:
-    """Adds `cols` to a frame that names its combinations in the public form."""
-    return combos.withColumn("cols", X.positions(F.split(F.col(name), ","), columns))
+    """Adds `cols` to a frame that names its combinations in the public form.
+
+    The names are those in the array `columns` where the frame has it (a name may hold a comma),
+    else those in `name`. Unknown names raise an error.
+    """
+    named = F.col("columns") if dict(combos.dtypes).get("columns") == "array<string>" else F.split(F.col(name), ",")
+    return combos.withColumn("cols", X.positions(named, columns))

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solekey.functions.combos import column
 from solekey.plans.coded import code_table
 
 # The largest clusters are broadcast: never more rows than this, whatever the table. Each
@@ -57,7 +58,7 @@ def single_column_pli(df: DataFrame, row_id_col: str, cols: Sequence[str] | None
     cells = F.array(
         *[F.struct(F.lit(c).alias("col"), *[key(slots, j) for j in range(depth)]) for c, slots in enumerate(table.slots)]
     )
-    rows = df.select(F.col(f"`{row_id_col}`").alias("row_id"), F.explode(cells).alias("cell")).select("row_id", "cell.*")
+    rows = df.select(column(row_id_col).alias("row_id"), F.explode(cells).alias("cell")).select("row_id", "cell.*")
     name = F.get(F.array(*[F.lit(c) for c in cols]), F.col("col")).alias("column_name")
     return _attach(rows, ["col", *keys]).select(name, "cluster_id", "row_id")
 

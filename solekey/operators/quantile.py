@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from solekey.functions.combos import column
+
 # A range of at most this many values is sorted to read off the answer.
 FEW_VALUES = 100_000
 
@@ -44,7 +46,7 @@ class _Target:
         return self.value is not None or self.inside <= FEW_VALUES
 
     def condition(self) -> Column:
-        v = F.col(f"`{self.col}`")
+        v = column(self.col)
         ok = v.isNotNull()
         if self.low is not None:
             ok = ok & (v > F.lit(self.low))
@@ -57,7 +59,7 @@ def _counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     for c in cols:
         if not isinstance(df.schema[c].dataType, T.NumericType):
             raise TypeError(f"column {c} is not numeric")
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.count(column(c)).alias(str(i)) for i, c in enumerate(cols)]).first()
     return {c: row[i] for i, c in enumerate(cols)}
 
 
@@ -76,7 +78,7 @@ def _ends_known(t: _Target) -> bool:
 
 def _pivots(t: _Target) -> Column:
     """Sample percentiles on both sides of the wanted rank; `__draw` is a uniform random number."""
-    v = F.when(t.condition(), F.col(f"`{t.col}`"))
+    v = F.when(t.condition(), column(t.col))
     if t.stuck:
         # The last pivots split nothing off: take the ends, which are values.
         return F.array(F.min(v), F.max(v))
@@ -106,7 +108,7 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     pivots = [_usable(t, p) for t, p in zip(targets, asked)]
     sums = []
     for i, (t, ps) in enumerate(zip(targets, pivots)):
-        v, inside = F.col(f"`{t.col}`"), t.condition()
+        v, inside = column(t.col), t.condition()
         for j, p in enumerate(ps):
             sums.append(F.count_if(inside & (v < F.lit(p))).alias(f"{i}_{j}_less"))
             sums.append(F.count_if(inside & (v == F.lit(p))).alias(f"{i}_{j}_same"))
@@ -135,7 +137,7 @@ def _value_at(df: DataFrame, t: _Target) -> DataFrame:
     dtype = df.schema[t.col].dataType
     if t.value is not None:
         return df.sparkSession.range(1).select(F.lit(t.value).cast(dtype).alias("value"))
-    counted = df.where(t.condition()).groupBy(F.col(f"`{t.col}`").alias("value")).count()
+    counted = df.where(t.condition()).groupBy(column(t.col).alias("value")).count()
     upto = F.sum("count").over(Window.orderBy("value")) + F.lit(t.below)
     ranked = counted.select("value", "count", upto.alias("upto"))
     return ranked.where((F.col("upto") > t.rank) & (F.col("upto") - F.col("count") <= t.rank)).select("value")
@@ -158,13 +160,13 @@ def exact_median(df: DataFrame, col: str) -> DataFrame:
     """The middle value; of the two middle ones of an even number, the smaller."""
     n = _counts(df, [col])[col]
     if n == 0:
-        return df.select(F.col(f"`{col}`").alias("value")).limit(0)
+        return df.select(column(col).alias("value")).limit(0)
     return _one(df, col, n, n - (n // 2 + 1))
 
 
 def _one(df: DataFrame, col: str, n: int, rank: int) -> DataFrame:
     target = _Target(col, rank, n)
-    narrow = df.select(F.col(f"`{col}`"))
+    narrow = df.select(column(col))
     _locate(narrow, [target])
     return _value_at(narrow, target)
 
@@ -173,7 +175,7 @@ def column_medians(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """(column_name, median) of numeric columns; the mean of the two middle values for an even count."""
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    narrow = df.select(*[F.col(f"`{c}`") for c in cols])
+    narrow = df.select(*[column(c) for c in cols])
     counts = _counts(narrow, cols)
     targets = {c: [_Target(c, r, n) for r in sorted({(n - 1) // 2, n // 2})] for c, n in counts.items() if n}
     _locate(narrow, [t for ts in targets.values() for t in ts])

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solekey.functions.combos import column
 from solekey.functions import codes as C
 from solekey.plans import groups as G
 from solekey.plans.groups import Combo, Counts
@@ -119,7 +120,7 @@ def code_table(
     for name in names:
         C.check_groupable(name, schema[name])
     wide = [C.needs_proof(schema[name]) for name in names]
-    values = [F.col(f"`{name}`") for name in names]
+    values = [column(name) for name in names]
     exprs = [
         (hasher(value, 0) if wide[i] else C.code(value, schema[name])).alias(f"s{i}")
         for i, (name, value) in enumerate(zip(names, values))
@@ -173,7 +174,7 @@ def _collided(table: CodedTable, cols: Sequence[int]) -> list[int]:
     for same_type in whole.values():
         for batch in table.batches(same_type):
             pairs = F.array(
-                *[F.struct(F.lit(c).alias("col"), F.col(f"`{table.names[c]}`").alias("value")) for c in batch]
+                *[F.struct(F.lit(c).alias("col"), column(table.names[c]).alias("value")) for c in batch]
             )
             distinct = (
                 table.source.select(F.explode(pairs).alias("p"))
@@ -202,7 +203,7 @@ def few_repeats(table: CodedTable, col: int) -> bool:
 def rows_with_repeated_codes(table: CodedTable, col: int) -> DataFrame:
     """(s..., value): the rows of a column whose code occurs more than once, nulls left out."""
     keys = [f"s{s}" for s in table.slots[col]]
-    value = F.col(f"`{table.names[col]}`")
+    value = column(table.names[col])
     coded = table.source.select(*[table.exprs[s] for s in table.slots[col]], value.alias("value"))
     coded = coded.where(F.col("value").isNotNull())
     repeated = coded.groupBy(*keys).count().where(F.col("count") > 1).drop("count")

@@ -234,3 +234,24 @@ def test_column_medians(spark, monkeypatch, few):
     got = {r.column_name: r.median for r in sk.column_medians(df).collect()}
     exact = df.agg(F.median("a"), F.median("b")).first()
     assert got == {"a": exact[0], "b": exact[1], "c": None}
+
+
+def test_undescribe_takes_names_as_they_are(spark):
+    names = ["a,b", "c", "d`e"]
+    level = spark.createDataFrame([([0, 2],), ([1, 2],)], "cols array<int>")
+    back = sk.undescribe(sk.describe(level, names), names).select("cols")
+    assert sorted(r.cols for r in back.collect()) == [[0, 2], [1, 2]]
+    with pytest.raises(Exception, match="no such column"):
+        sk.undescribe(spark.createDataFrame([("c,x",)], "ucc string"), names).collect()
+
+
+def test_names_with_a_backtick(spark):
+    df = spark.createDataFrame([(1, 2, "x"), (2, 2, "x"), (3, 1, "y")], "`a``b` int, c int, `d.e` string")
+    assert {r.ucc for r in sk.minimal_uccs(df).collect()} == {"a`b"}
+    assert sk.exact_median(df, "a`b").first().value == 2
+
+
+def test_supersets_of_longer_combinations_go(spark):
+    every = spark.createDataFrame([([0, 1, 2],), ([0, 1, 3],), ([1, 2, 3],), ([0, 2, 3],)], "cols array<int>")
+    known = spark.createDataFrame([([0, 1],), ([1, 2, 3],)], "cols array<int>")
+    assert [r.cols for r in sk.prune_supersets(every, known).collect()] == [[0, 2, 3]]
