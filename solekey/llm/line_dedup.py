@@ -169,7 +169,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     n_bits = min(max(n_bits, LEAST_BITS), MOST_BITS)
     twice = spark.sparkContext.broadcast(bloom_filters(docs, n_bits, min_chars)[1])
     seen = durable(suspects(docs, twice, n_bits, min_chars))
-    repeated = (
+    # Written, so that it meets the suspects in a join of two exchanges, which Spark can split.
+    repeated = durable(
         seen.distinct()
         .groupBy("digest")
         .agg(
