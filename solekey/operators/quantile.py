@@ -177,17 +177,35 @@ def column_medians(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     narrow = df.select(*[column(c) for c in cols])
     counts = _counts(narrow, cols)
-    targets = {c: [_Target(c, r, n) for r in sorted({(n - 1) // 2, n // 2})] for c, n in counts.items() if n}
-    _locate(narrow, [t for ts in targets.values() for t in ts])
-    parts = []
-    for c in cols:
-        name = F.lit(c).alias("column_name")
-        if c not in targets:
-            parts.append(df.sparkSession.range(1).select(name, F.lit(None).cast("double").alias("median")))
-            continue
-        for t in targets[c]:
-            parts.append(_value_at(narrow, t).select(name, F.col("value").cast("double").alias("median")))
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    return together.groupBy("column_name").agg(F.avg("median").alias("median"))
+    targets = [_Target(c, r, n) for c, n in counts.items() if n for r in sorted({(n - 1) // 2, n // 2})]
+    _locate(narrow, targets)
+    known = [(c, None) for c, n in counts.items() if not n]
+    known += [(t.col, float(t.value)) for t in targets if t.value is not None]
+    settled = df.sparkSession.createDataFrame(known, "column_name string, median double")
+    left = {i: t for i, t in enumerate(targets) if t.value is None}
+    found = _values_at(narrow, left) if left else settled.limit(0)
+    return settled.unionByName(found).groupBy("column_name").agg(F.avg("median").alias("median"))
+
+
+def _values_at(df: DataFrame, targets: dict[int, _Target]) -> DataFrame:
+    """(column_name, median) of all narrowed targets from one pass over the table.
+
+    Each value inside an open interval becomes one row for its target. As medians are doubles,
+    values are compared as such.
+    """
+    entries = [
+        F.when(t.condition(), F.struct(F.lit(i).alias("target"), column(t.col).cast("double").alias("value")))
+        for i, t in targets.items()
+    ]
+    inside = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    counted = inside.groupBy(F.col("e.target").alias("target"), F.col("e.value").alias("value")).count()
+
+    def of_target(key):
+        pairs = [x for i, t in targets.items() for x in (F.lit(i), F.lit(key(t)))]
+        return F.element_at(F.create_map(*pairs), F.col("target"))
+
+    upto = F.sum("count").over(Window.partitionBy("target").orderBy("value")) + of_target(lambda t: t.below)
+    ranked = counted.select("target", "value", "count", upto.alias("upto"))
+    rank = of_target(lambda t: t.rank)
+    hit = ranked.where((F.col("upto") > rank) & (F.col("upto") - F.col("count") <= rank))
+    return hit.select(of_target(lambda t: t.col).alias("column_name"), F.col("value").alias("median"))

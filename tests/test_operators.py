@@ -236,6 +236,14 @@ def test_column_medians(spark, monkeypatch, few):
     assert got == {"a": exact[0], "b": exact[1], "c": None}
 
 
+def test_medians_of_many_columns_take_one_last_pass(spark, tmp_path):
+    spark.range(1000).selectExpr(*[f"id * {k} % 97 AS c{k}" for k in range(1, 8)]).write.parquet(str(tmp_path / "t"))
+    medians = sk.column_medians(spark.read.parquet(str(tmp_path / "t")))
+    plan = medians._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SinglePartition" not in plan
+    assert medians.count() == 7
+
+
 def test_undescribe_takes_names_as_they_are(spark):
     names = ["a,b", "c", "d`e"]
     level = spark.createDataFrame([([0, 2],), ([1, 2],)], "cols array<int>")
