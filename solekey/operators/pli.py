@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from solekey.functions.combos import column
 from solekey.plans.coded import code_table
+from solekey.session import durable
 
 # The largest clusters are broadcast: never more rows than this, whatever the table. Each
-# cluster left for the shuffle then holds at most one HOT_CLUSTERS-th of all rows.
+# cluster left for the shuffle then holds at most one HOT_CLUSTERS-th of all cells (rows by
+# columns), or of all rows where one combination is indexed.
 HOT_CLUSTERS = 1_000
 
 
@@ -30,7 +32,7 @@ def _clusters(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _attach(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with the cluster_id of their key, for keys that occur more than once; null equals null."""
-    clusters = _clusters(rows, keys)
+    clusters = durable(_clusters(rows, keys))  # counted once, read as the hot ones and as all
     same: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     order = [F.desc("size"), "cluster_id", *[f"__{k}" for k in keys]]
     hot = F.broadcast(clusters.orderBy(*order).limit(HOT_CLUSTERS))
@@ -43,7 +45,8 @@ def _attach(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def single_column_pli(df: DataFrame, row_id_col: str, cols: Sequence[str] | None = None) -> DataFrame:
     """(column_name, cluster_id, row_id) for every column; row ids must be distinct and fixed.
 
-    Nulls of a column form one cluster. Use with_row_id() where the table has no key.
+    The index is written once, so that every column_index() reads it as it is. Nulls of a
+    column form one cluster. Use with_row_id() where the table has no key.
     Values are matched by their proven codes, so long texts are not shuffled.
     """
     cols = [c for c in df.columns if c != row_id_col] if cols is None else list(cols)
@@ -60,7 +63,7 @@ def single_column_pli(df: DataFrame, row_id_col: str, cols: Sequence[str] | None
     )
     rows = df.select(column(row_id_col).alias("row_id"), F.explode(cells).alias("cell")).select("row_id", "cell.*")
     name = F.get(F.array(*[F.lit(c) for c in cols]), F.col("col")).alias("column_name")
-    return _attach(rows, ["col", *keys]).select(name, "cluster_id", "row_id")
+    return durable(_attach(rows, ["col", *keys]).select(name, "cluster_id", "row_id"))
 
 
 def column_index(plis: DataFrame, column: str) -> DataFrame:
@@ -78,4 +81,4 @@ def intersect_pli(first: DataFrame, *others: DataFrame) -> DataFrame:
     for i, other in enumerate(others, start=1):
         joined = joined.join(other.select("row_id", F.col("cluster_id").alias(f"c{i}")), "row_id")
     keys = [f"c{i}" for i in range(len(others) + 1)]
-    return _attach(joined, keys).select("cluster_id", "row_id")
+    return _attach(durable(joined), keys).select("cluster_id", "row_id")

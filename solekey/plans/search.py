@@ -75,7 +75,8 @@ def minimal_uccs(
     """All minimal unique column combinations: (ucc, columns, arity).
 
     max_arity ends the search at combinations of that size. With max_candidates, a level
-    of more combinations raises an error; nothing is ever left out silently.
+    of more combinations raises an error; nothing is ever left out silently. sample_rows
+    sets the size of the first sample: it changes the plan, never the answer.
     """
     found, names = find(df, max_arity, nulls, max_candidates, sample_rows)
     return describe(combination_frame(df.sparkSession, sorted(found, key=lambda c: (len(c), c))), names)
@@ -231,11 +232,15 @@ class _Search:
         # Rows with different hashes are different; only equal hashes are looked at closely.
         hashed = rows.withColumn("h", F.xxhash64(*keys))
         repeated = hashed.groupBy("h").count().where(F.col("count") > 1).select("h")
-        found = repeated.count()
-        if not found:
-            return False
-        close = hashed.join(small_side(repeated, found), "h", "left_semi")
-        return not close.groupBy(*keys).count().where(F.col("count") > 1).isEmpty()
+        repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = repeated.count()
+            if not found:
+                return False
+            close = hashed.join(small_side(repeated, found), "h", "left_semi")
+            return not close.groupBy(*keys).count().where(F.col("count") > 1).isEmpty()
+        finally:
+            repeated.unpersist()
 
     def _growing_samples(self):
         """(rows, n_rows) of ever larger samples, up to half of the table."""

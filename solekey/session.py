@@ -11,6 +11,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go when nothing refers to their frame any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Cells (row x combination) one shuffle partition should receive at most. A cell

@@ -244,6 +244,14 @@ def test_medians_of_many_columns_take_one_last_pass(spark, tmp_path):
     assert medians.count() == 7
 
 
+def test_index_is_read_not_made_again(spark, tmp_path):
+    spark.range(200).selectExpr("id", "id % 7 AS a", "id % 11 AS b", "id % 3 AS c").write.parquet(str(tmp_path / "t"))
+    plis = sk.single_column_pli(spark.read.parquet(str(tmp_path / "t")), "id")
+    met = sk.intersect_pli(*[sk.column_index(plis, c) for c in "abc"])
+    assert "FileScan" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.isEmpty()
+
+
 def test_undescribe_takes_names_as_they_are(spark):
     names = ["a,b", "c", "d`e"]
     level = spark.createDataFrame([([0, 2],), ([1, 2],)], "cols array<int>")
