@@ -86,6 +86,11 @@ MEDIANS = {
     "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
 }
 
+COUNTED = ["user_id", "event_type"]
+
+# Tables whose combinations of three columns are pruned by unique ones of any size.
+TRIPLES = ["orders", "part"]
+
 # Pairs and triples of columns that are not unique, as the search would join them.
 LATTICE = ["part", "customer", "orders"]
 
@@ -259,11 +264,16 @@ def kth(df: DataFrame, col: str, k: int) -> DataFrame:
     return sk.kth_largest(df, col, max(1, min(k, df.where(F.col(col).isNotNull()).count())))
 
 
-def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = sk.value_counts(table(spark, sf_dir, "events"), ["user_id", "event_type"])
-    return counts.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_values"), F.sum("cluster_size").alias("n_cells"), F.max("cluster_size").alias("largest")
-    )
+def pruned_triples(name: str):
+    """Three columns each, without those that contain a minimal unique combination of any size."""
+
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, name)
+        every = sk.combination_frame(spark, list(combinations(range(len(df.columns)), 3)))
+        known = sk.undescribe(sk.minimal_uccs(df), df.columns).select("cols")
+        return sk.describe(sk.prune_supersets(every, known), df.columns).select("ucc", "arity")
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -296,7 +306,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"check_combinations_{name}"] = lambda s, d, n=name, c=asked: sk.check_combinations(table(s, d, n), c)
     for name, cols in CLUSTERED.items():
         out[f"value_clusters_{name}"] = lambda s, d, n=name, c=cols: sk.value_clusters(table(s, d, n), c)
-    out["value_counts_events"] = cell_counts
+    out["value_counts_events"] = lambda s, d: sk.value_counts(table(s, d, "events"), COUNTED)
+    for name in TRIPLES:
+        out[f"prune_supersets_triples_{name}"] = pruned_triples(name)
     for name, (key, cols) in INDEXED.items():
         out[f"single_column_pli_{name}"] = lambda s, d, n=name, k=key, c=cols: sk.single_column_pli(table(s, d, n), k, c)
     for name in INTERSECTED:
@@ -462,10 +474,16 @@ def oracle_sql() -> dict[str, str]:
     for name, cols in CLUSTERED.items():
         out[f"value_clusters_{name}"] = cluster_sql(name, cols)
     out["value_counts_events"] = " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_cells, max(n) AS largest "
-        f"FROM (SELECT count(*) AS n FROM events GROUP BY {c})"
-        for c in ("user_id", "event_type")
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS cluster_size FROM events GROUP BY {c}"
+        for c in COUNTED
     )
+    for name in TRIPLES:
+        triples = ", ".join(f"('{','.join(combo)}')" for combo in combinations(COLUMNS[name], 3))
+        out[f"prune_supersets_triples_{name}"] = (
+            f"SELECT c.ucc, CAST(3 AS INTEGER) AS arity FROM (VALUES {triples}) AS c(ucc) WHERE NOT EXISTS("
+            f"SELECT 1 FROM ({ucc_sql(name, COLUMNS[name])}) AS m "
+            "WHERE list_has_all(string_split(c.ucc, ','), string_split(m.ucc, ',')))"
+        )
     for name, (key, cols) in INDEXED.items():
         out[f"single_column_pli_{name}"] = pli_sql(name, key, cols)
     for name, (key, cols) in INTERSECTED.items():

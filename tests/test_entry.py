@@ -26,6 +26,15 @@ PART = [
     "column_medians_lineitem",
     "delimited_text_uniqueness",
     "integer_lines_median",
+    "minimal_uccs_orders_small_sample",
+    "minimal_uccs_events_small_sample",
+    "minimal_uccs_orders_with_customer_arity4",
+    "minimal_uccs_lineitem_arity3",
+    "prune_supersets_triples_orders",
+    "ragged_text_uniqueness",
+    "carriage_return_text_uniqueness",
+    "kth_largest_events",
+    "value_counts_events",
 ]
 
 
