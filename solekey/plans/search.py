@@ -39,9 +39,13 @@ SAMPLE_GROWTH = 4
 # Columns with more different values than this are not cheap to read and hash again.
 MANY_VALUES = 100_000
 
-# A pool of repeated rows is used when it is at most this part of the table.
+# A pool of repeated rows is used when it is at most this part of the table, while all pools
+# of a level together have no more rows than the table.
 POOL_SHARE = 32
 
+# Growing samples up to this part of the table are drawn in one pass and written.
+DRAWN_SHARE = 8
+
 
 def sample_target(n_rows: int) -> int:
     return max(SAMPLE_FLOOR, SAMPLE_PER_ROOT * isqrt(n_rows))
@@ -109,6 +113,7 @@ class _Search:
         self.known: dict[Combo, Counts] = {}  # full counts of single columns
         self.slots: list[int] = []
         self.held: list[DataFrame] = []
+        self.drawn: DataFrame | None = None
 
     def run(self, max_arity: int | None) -> list[Combo]:
         table = self.table
@@ -246,9 +251,24 @@ class _Search:
         """(rows, n_rows) of ever larger samples, up to half of the table."""
         n_rows = self.sample_rows * SAMPLE_GROWTH
         while n_rows * 2 <= self.table.n_rows:
-            yield self.table.frame.sample(n_rows / self.table.n_rows, seed=23), n_rows
+            share = n_rows / self.table.n_rows
+            if self.table.stored is None and n_rows * DRAWN_SHARE <= self.table.n_rows:
+                yield self._drawn_rows().where(F.col("draw") < share), n_rows
+            else:
+                yield self.table.frame.sample(share, seed=23), n_rows
             n_rows *= SAMPLE_GROWTH
 
+    def _drawn_rows(self) -> DataFrame:
+        """Rows with a random number below 1 / DRAWN_SHARE; smaller samples are filters on it.
+
+        Drawn at the first use and written, so that later samples, batches and levels don't
+        read and code the source again.
+        """
+        if self.drawn is None:
+            numbered = self.table.frame.withColumn("draw", F.rand(23))
+            self.drawn = durable(numbered.where(F.col("draw") < 1 / DRAWN_SHARE))
+        return self.drawn
+
     def _refute(self, combos: list[Combo]) -> list[Combo]:
         """On the last level: larger samples, so that few non-unique sets are counted in full."""
         for rows, n_rows in self._growing_samples() if combos else ():
@@ -353,6 +373,7 @@ class _Search:
         parts: list[DataFrame] = []
         owners: dict[Combo, int] = {}
         n_rows: dict[Combo, int] = {}
+        spare = self.table.n_rows
         for rows, batch, batch_owners in jobs:
             first = len(owners)
             layout = self.table.layout(batch)
@@ -364,11 +385,12 @@ class _Search:
             self.held.append(repeated)
             counts = G.read_counts(G.summary(repeated), len(batch))
             excess.update({c: s.excess for c, s in zip(batch, counts)})
-            usable = [] if last else self._poolable(counts)
+            usable = [] if last else self._poolable(counts, spare)
             if not usable:
                 continue
             owners.update({batch[i]: first + n for n, i in enumerate(usable)})
             n_rows.update({batch[i]: counts[i].rows for i in usable})
+            spare -= sum(counts[i].rows for i in usable)
             parts.append(
                 _repeated_rows(
                     rows,
@@ -387,13 +409,17 @@ class _Search:
         # Written once: later levels must not fall back on the full passes behind it.
         return excess, Pool(durable(together), owners, n_rows)
 
-    def _poolable(self, counts: list[Counts]) -> list[int]:
-        """Combinations with few repeated rows, fewest keys first, while all keys can be broadcast."""
+    def _poolable(self, counts: list[Counts], spare: int) -> list[int]:
+        """Combinations with few repeated rows, fewest keys first.
+
+        As many as leave all keys small enough to broadcast and all rows within ``spare``.
+        """
         usable, room = [], BROADCAST_ROWS
         for i, s in sorted(enumerate(counts), key=lambda x: x[1].groups):
-            if s.rows and s.rows * POOL_SHARE <= self.table.n_rows and s.groups <= room:
+            if s.rows and s.rows * POOL_SHARE <= self.table.n_rows and s.groups <= room and s.rows <= spare:
                 usable.append(i)
                 room -= s.groups
+                spare -= s.rows
         return sorted(usable)
 
     def _likely_repeats(self, cells: DataFrame) -> DataFrame:

@@ -175,6 +175,44 @@ def test_pools_are_used_and_exact(spark, monkeypatch):
     assert any(p is not None for p in used)
 
 
+def test_growing_samples_are_drawn_once(spark, monkeypatch):
+    from solekey.plans import coded
+
+    monkeypatch.setattr(coded, "is_small", lambda *a: False)
+    drawn, steps = [], []
+    durable, growing = search.durable, search._Search._growing_samples
+
+    def written(df):
+        if "draw" in df.columns:
+            drawn.append(df)
+        return durable(df)
+
+    def spy(self):
+        for rows, n_rows in growing(self):
+            steps.append("draw" in rows.columns)
+            yield rows, n_rows
+
+    monkeypatch.setattr(search, "durable", written)
+    monkeypatch.setattr(search._Search, "_growing_samples", spy)
+    for seed in (0, 3):
+        rows = table(seed)
+        df = frame(spark, rows, 7, TYPES)
+        for cap in (None, 3):
+            before = len(drawn)
+            assert answer(df, sample_rows=6, max_arity=cap) == set(brute(rows, 7, cap))
+            assert len(drawn) - before <= 1  # once a search, however many levels ask for it
+    assert any(steps) and drawn
+
+
+def test_pool_rows_of_a_level_are_bounded():
+    looking = object.__new__(search._Search)
+    looking.table = type("Table", (), {"n_rows": 1000})()
+    few = search.Counts(20, 10, 2, 10, 20)
+    assert looking._poolable([few] * 8, 1000) == list(range(8))
+    assert looking._poolable([few] * 8, 45) == [0, 1]
+    assert looking._poolable([few] * 8, 0) == []
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 12])
 def test_more_repeats_than_can_be_broadcast(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(search, "BROADCAST_ROWS", broadcast_rows)
