@@ -25,8 +25,8 @@ TARGET_RECALL = 0.97
 # Vectors of a cell aimed at, and codewords of a half at most (2 x 4096 words are broadcast).
 PER_CELL, MOST_WORDS = 16, 4096
 
-# Members of a cell that one task compares at a time; fuller cells are split.
-BLOCK = 2048
+# Members of a cell, and visitors to it, that meet in one group; fuller cells are split by both.
+BLOCK, VISITORS = 2048, 8192
 
 
 @dataclass
@@ -122,7 +122,7 @@ def _unit(values: list, width: int) -> np.ndarray:
 
 
 def _compare(batches, index: MultiIndex, min_cosine: float):
-    """Links within blocks of cells from rows sorted by block, members before visitors.
+    """Links within groups, the blocks and parts of cells, from rows sorted by them, members first.
 
     For each row: how many vectors it links with, and links that join a block's linked rows.
     A pair that both sides' visits find is counted for each side where it is the visitor; else
@@ -137,7 +137,7 @@ def _compare(batches, index: MultiIndex, min_cosine: float):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     for batch in batches:
-        keys = list(zip(batch.column("cell").to_pylist(), batch.column("block").to_pylist()))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "part"))))
         role = batch.column("visitor").to_numpy(zero_copy_only=False)
         home = batch.column("home").to_numpy()
         ids, dims, copies = (batch.column(c).to_numpy() for c in ("class", "dims", "copies"))
@@ -191,7 +191,8 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample_r
 
     The index is fitted on a bounded sample and holds every vector: each class stands in the
     cell of its nearest codewords and visits the cells within its reach. Visitors meet members
-    in blocks of bounded size and only counts and links that join are sent on, never all pairs.
+    in groups of bounded size on both sides and only counts and links that join are sent on,
+    never all pairs.
     """
     rows = durable(
         vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn(
@@ -230,21 +231,40 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample_r
     placed = durable(
         map_batches(own, place, "class long, copies long, dims int, embedding array<double>, home long, visits array<long>")
     )
-    crowd = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    columns = ["cell", "block", "visitor", "home", "class", "dims", "copies", "embedding"]
+    # Every class visits its own cell, so each cell with members has visitors.
+    crowd = (
+        placed.groupBy(F.col("home").alias("cell"))
+        .agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        .join(
+            placed.select(F.explode("visits").alias("cell"))
+            .groupBy("cell")
+            .agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts")),
+            "cell",
+        )
+    )
+    columns = ["cell", "block", "part", "visitor", "home", "class", "dims", "copies", "embedding"]
+    # A member stands in one block, in all its parts; a visitor comes to all blocks, in one part.
     members = placed.join(crowd, F.col("home") == F.col("cell")).select(
-        "*", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor")
+        "*",
+        F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(False).alias("visitor"),
     )
     visitors = (
         placed.select("home", "class", "dims", "copies", "embedding", F.explode("visits").alias("cell"))
         .join(crowd, "cell")
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
+        .select(
+            "*",
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.pmod(F.xxhash64("class", F.lit("visitor")), F.col("parts")).cast("int").alias("part"),
+            F.lit(True).alias("visitor"),
+        )
     )
     met = (
         members.select(*columns)
         .unionByName(visitors.select(*columns))
-        .repartition("cell", "block")
-        .sortWithinPartitions("cell", "block", "visitor")
+        .repartition("cell", "block", "part")
+        .sortWithinPartitions("cell", "block", "part", "visitor")
     )
     found = durable(
         map_batches(met, lambda batches: _compare(batches, index.value, min_cosine), "a long, b long, n long")

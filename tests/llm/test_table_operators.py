@@ -233,6 +233,7 @@ def test_split_cells_change_nothing(spark, monkeypatch):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {r.vec_id: r for r in embeddings.near_duplicates(vectors).collect()}
     monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "VISITORS", 24)
     split = {r.vec_id: r for r in embeddings.near_duplicates(vectors).collect()}
     assert whole == split and all(r.component_id == 0 for r in whole.values())
     assert sum(r.n_links for r in whole.values()) >= 0.95 * 199 * 200
