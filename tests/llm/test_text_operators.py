@@ -75,6 +75,33 @@ def test_trees_add_spans_of_the_same_make_and_keep_the_certain_ones(spark):
     assert {s[:3] for s in spans} >= set(plain_pii(texts[0]))
 
 
+def test_personal_data_of_other_makes_is_found_by_its_context(spark):
+    rng = random.Random(7)
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(n):
+        return next(x for x in iter(lambda: "4" + number(n - 1), None) if pii.luhn(x))
+
+    texts = []
+    for i in range(400):
+        octets = ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        texts.append(
+            f"tel: +49 30 {number(3)} {number(4)} or mail: max.m{i}@firma.de, looked at it. Then server {octets} "
+            f"and visa {card(16)} but parcel {number(18)} of order {number(16)} in release 300.{number(3)}.400.7 was lost"
+        )
+    own = ["tel: 030 1234 5678", "mail: eva.lang (at) firma (dot) de", "visa 378282246310005", "server 2001:db8:0:0:1:2:3:4"]
+    other = ["parcel 1234567890128", "order 10 20 30", "looked at her. Then"]
+    docs = spark.createDataFrame(rows_of([*texts, *own, *other]), DOCS)
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    for i, (text, kind) in enumerate(zip(own, ("phone", "email", "card", "ip")), 400):
+        assert [(s.kind, s.certain, text[s.start : s.end]) for s in found[i]] == [(kind, False, text.split(" ", 1)[1])]
+    assert [found[i] for i in range(404, 407)] == [[], [], []]
+    assert all({s.kind for s in found[i] if not s.certain} <= {"email"} for i in range(400))
+    assert sum(not s.certain for i in range(400) for s in found[i]) == 0
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(1)
     rows = rng.random((2000, 3))
