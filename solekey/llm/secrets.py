@@ -19,9 +19,13 @@ MIN_TOKEN = 20
 # Share of the tokens taken for random that may not be, for each encoding and class of lengths.
 FALSE_DISCOVERIES = 0.1
 
-# Tokens with p values over one half that a class needs.
+# Tokens with p values over one half that a class needs to be judged by itself alone.
 LEAST_EVIDENCE = 20
 
+# The p value that a token of a class without that evidence needs at least: of tokens under 32 signs,
+# then of longer ones. Of the other long tokens in the source of Python's own library few reach it.
+SHORT_LEVEL, LONG_LEVEL = 0.25, 0.05
+
 # Steps of the combined p value in which tokens are counted.
 STEPS = 50
 
@@ -157,13 +161,31 @@ def candidate_tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+def level(size: int) -> float:
+    """The p value that counts in a class of lengths of which too little is known."""
+    return SHORT_LEVEL if size <= length_class(31) else LONG_LEVEL
+
+
+def _least(counts: np.ndarray, most: float) -> float | None:
+    """The least p value above which a share of ``most`` at most is beyond what random tokens make."""
+    half, quarter = counts[STEPS // 2 :], counts[-STEPS // 4 :]
+    even = min(half.mean(), quarter.mean() + np.sqrt(quarter.sum()) / len(quarter))
+    above = np.cumsum(counts[::-1])[::-1]
+    beyond = above - even * np.arange(STEPS, 0, -1)
+    good = np.flatnonzero(beyond <= most * above)
+    return max(int(good[0]), 1) / STEPS if len(good) else None
+
+
 def thresholds(found: DataFrame, most: float = FALSE_DISCOVERIES) -> dict[tuple[str, int], float]:
     """For each encoding and length class the least p value of a discovery.
 
     Random tokens have p values spread evenly, others small ones. The even share is read off the
     upper half (or the upper quarter, with one standard error, if that has less); the threshold is
     the least one above which a share of ``most`` at most is beyond what random tokens make there.
-    A class with too few tokens in the upper half tells nothing and gives no discovery.
+    A class with too few tokens in the upper half is judged together with the neighbouring lengths
+    of its encoding, then with the whole encoding, then with all tokens, and, if they are too few
+    as well or don't tell, by a fixed level for its length, which is the least in each case. So
+    a single random token can be found in a table of any size.
     Counts cover all documents; only they, a bounded table, come to the driver.
     """
     counted = (
@@ -176,16 +198,15 @@ def thresholds(found: DataFrame, most: float = FALSE_DISCOVERIES) -> dict[tuple[
     for kind, size, step, count in counted:
         tables.setdefault((kind, size), np.zeros(STEPS))[step] = count
     least = {}
-    for key, counts in tables.items():
-        half, quarter = counts[STEPS // 2 :], counts[-STEPS // 4 :]
-        if half.sum() < LEAST_EVIDENCE:
+    for (kind, size), counts in tables.items():
+        if counts[STEPS // 2 :].sum() >= LEAST_EVIDENCE:
+            if (p := _least(counts, most)) is not None:
+                least[kind, size] = p
             continue
-        even = min(half.mean(), quarter.mean() + np.sqrt(quarter.sum()) / len(quarter))
-        above = np.cumsum(counts[::-1])[::-1]
-        beyond = above - even * np.arange(STEPS, 0, -1)
-        good = np.flatnonzero(beyond <= most * above)
-        if len(good):
-            least[key] = max(int(good[0]), 1) / STEPS
+        near = sum(c for (k, n), c in tables.items() if k == kind and abs(n - size) <= 1)
+        pools = (near, sum(c for (k, _), c in tables.items() if k == kind), sum(tables.values()))
+        told = (_least(c, most) for c in pools if c[STEPS // 2 :].sum() >= LEAST_EVIDENCE)
+        least[kind, size] = max(level(size), next((p for p in told if p is not None), 0.0))
     return least
 
 

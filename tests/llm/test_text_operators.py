@@ -156,6 +156,21 @@ def test_random_tokens_are_discovered_and_repeated_ones_are_not(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_single_random_keys_are_found_in_a_small_table(spark):
+    rng = random.Random(11)
+    keys = [("base64", 48), ("base32", 56), ("hex_upper", 40), ("letters_digits", 100), ("base64_url", 30)]
+    texts = []
+    for name, n in keys:
+        signs = secrets.ALPHABETS[name]
+        drawn = ("".join(rng.choice(signs) for _ in range(n)) for _ in iter(int, 1))
+        texts.append(f"see {next(x for x in drawn if secrets.encoding(x) == name and secrets.battery([x], name)[0] > 0.3)} end")
+    plain = ["see one-of-the-many-names-of-a-page end", "see " + "=" * 40 + " end", "see " + "Abab01" * 8 + " end"]
+    docs = spark.createDataFrame(rows_of([*texts, *plain]), DOCS)
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert [found[i] for i in range(5)] == [[(f"random_{name}", 4, 4 + n)] for name, n in keys]
+    assert [found[i] for i in range(5, 8)] == [[], [], []]
+
+
 def toxic_tables(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
