@@ -155,15 +155,50 @@ def scores(found) -> dict[str, float]:
     return by_path
 
 
+def _inside(path: str, outer: str) -> bool:
+    return path == outer or path.startswith(outer + ">")
+
+
+def whole_path(found, path: str) -> str:
+    """The path of the whole text, of which the container rated best may be only the body.
+
+    From the best container the outermost article around it is taken, or else the outermost main.
+    Then its parents are taken as long as they add running text and either hold nothing else that
+    is left out or add only what stands in them directly, such as a title or a lead. The page's body
+    is taken only on the second ground, and not around an article. So text beside the body
+    container is kept, and what is left out stays out by its own mark.
+    """
+    steps, named = path.split(">"), False
+    for wanted in ("article", "main"):
+        at = next((i for i, step in enumerate(steps) if step.split(".", 1)[0] == wanted), None)
+        if at is not None:
+            path, named = ">".join(steps[: at + 1]), True
+            break
+    while outer := path.rpartition(">")[0]:
+        tag = outer.rsplit(">", 1)[-1].split(".", 1)[0]
+        added = [x for x in found if _inside(x[0], outer) and not _inside(x[0], path)]
+        kept = [x for x in added if not x[1]]
+        if 2 * sum(len(t) * links for _, _, t, links in kept) > sum(len(t) for _, _, t, _ in kept):
+            break
+        if (tag == "body" or len(kept) < len(added)) and any(p != outer for p, _, _, _ in kept):
+            break
+        if tag == "html" or tag == "body" and (named or not kept):
+            break
+        path = outer
+    return path
+
+
 def best_path(found) -> tuple[str, float] | None:
-    return max(scores(found).items(), key=lambda x: (x[1], x[0]), default=None)
+    """The path of the main text and the score of its best container."""
+    best = max(scores(found).items(), key=lambda x: (x[1], x[0]), default=None)
+    return best and (whole_path(found, best[0]), best[1])
 
 
 def text_below(found, path: str | None) -> str:
     """The blocks in containers of the path, or in the page's own best where it has none."""
-    own = [t for p, noise, t, _ in found if not noise and path and (p == path or p.startswith(path + ">"))]
+    own = [t for p, noise, t, _ in found if not noise and path and _inside(p, path)]
     if not own and (best := best_path(found)):
-        own = [t for p, noise, t, _ in found if not noise and (p == best[0] or p.startswith(best[0] + ">"))]
+        own = [t for p, noise, t, _ in found if not noise and _inside(p, best[0])]
     return "\n".join(own)
 
 
@@ -173,7 +208,7 @@ def host_column(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``vote_host, winner``: for each host the path that most of its pages rate best.
+    """``vote_host, winner``: for each host the path that most of its pages take for their main text's.
 
     Votes are added up in each task before they are shuffled; ties go to the larger score, then
     to the path that sorts last. Pages without text don't vote.

@@ -238,6 +238,25 @@ def test_host_paths_win_over_a_page_of_its_own_mind(spark):
     assert {r.text for r in found.where("page_id = 9").collect()} == {"short"}
 
 
+def main_texts(spark, pages):
+    rows = [(i, f"http://h{i}.org/", x) for i, x in enumerate(pages)]
+    found = main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return [r.text for r in found.orderBy("page_id").collect()]
+
+
+def test_text_beside_the_body_container_is_kept(spark):
+    body = "long text " * 99 + "end"
+    inner = f"<h1>Title</h1><p>lead</p><div class='entry-content'><p>{body}</p></div>"
+    out = "<nav><a href='/'>menu</a></nav>"
+    pages = [f"<article>{inner}</article>", f"<article><section>{inner}</section></article>", f"<main>{inner}</main>", f"<div>{inner}</div>"]
+    pages += [f"<div>{inner}<div class='comments'><p>bad</p></div></div>", f"<article>{inner}<aside>no</aside></article>"]
+    pages = [f"<html><body>{out}{x}<div class='box'>other</div></body></html>" for x in pages]
+    assert main_texts(spark, pages) == [f"Title\nlead\n{body}"] * len(pages)
+    links = f"<html><body><div><div><a href='/'>one</a> <a href='/'>two</a></div>{inner[inner.index('<div'):]}</div></body></html>"
+    bare = f"<html><body>{out}{inner}<footer>no</footer></body></html>"
+    assert main_texts(spark, [links, bare]) == [body, f"Title\nlead\n{body}"]
+
+
 def test_ids_of_words_are_the_ids_of_the_text():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, tokens = Tokenizer.from_file(path), packing.Tokens(path, 2)
