@@ -21,9 +21,10 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 BLANKS = re.compile(r"\s+")
 
 # Elements by their part in a page.
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title".split())  # up to the next closing tag, or the page's end
+EMBEDDED = frozenset("noscript template iframe svg object select annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav aside form footer button dialog menu head".split()) | RAW
+BOILERPLATE = frozenset("nav aside form footer button dialog menu head".split()) | RAW | EMBEDDED
 CONTAINERS = frozenset("html body div section article main td th center table tbody tr blockquote".split())
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre figure figcaption address header hr thead tfoot caption details summary".split()
@@ -72,15 +73,42 @@ def _opened(tag: str, attributes: str, parent: _Node) -> _Node:
     return _Node(tag, path, noise, parent, article)
 
 
+def _embedded(page: str) -> dict[int, int]:
+    """Where each embedded element ends, by the end of its opening tag; open and empty ones are not in it."""
+    ends, opened, at = {}, defaultdict(list), 0
+    while m := MARKUP.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in EMBEDDED and m[1]:
+            if opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif tag in EMBEDDED and not _self_closed(m[3]):
+            opened[tag].append(at)
+        elif tag in RAW and not m[1] and not (opened["svg"] and _self_closed(m[3])):
+            at = _raw_end(page, tag, at, len(page))
+    return ends
+
+
+def _self_closed(attributes: str) -> bool:
+    return (attributes or "").rstrip().endswith("/")
+
+
+def _raw_end(page: str, tag: str, at: int, missing: int) -> int:
+    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+    return close.end() if close else missing
+
+
 def blocks(page: str) -> list[tuple[str, bool, str, float]]:
     """All blocks of text in page order: container path, noise or not, text, share in links.
 
     References are decoded, white space inside a block is one blank, blocks without text are
-    left out. ``br`` is white space; markup inside a block joins its parts.
+    left out. ``br`` is white space; markup inside a block joins its parts. Scripts and the like
+    run to their closing tag, as browsers read them; embedded elements end where they are closed,
+    inner ones counted, and are empty if they never are. Formulas are text, without annotations.
     """
     root = _Node("", "", False, None, False)
     node, parts, found = root, [], []
     linked, in_link, at = 0, 0, 0
+    ends = None
 
     def close_block():
         nonlocal linked
@@ -119,8 +147,11 @@ def blocks(page: str) -> list[tuple[str, bool, str, float]]:
                     node = top.parent
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = _raw_end(page, tag, at, len(page))
+            continue
+        if tag in EMBEDDED:
+            ends = _embedded(page) if ends is None else ends
+            at = ends.get(at, at)
             continue
         if tag == "br":
             parts.append(" ")
@@ -130,7 +161,7 @@ def blocks(page: str) -> list[tuple[str, bool, str, float]]:
             close_block()
             while node.tag == "p" or node.tag in CLOSES.get(tag, ()):
                 node = node.parent
-            if not (m[3] or "").rstrip().endswith("/"):
+            if not _self_closed(m[3]):
                 node = _opened(tag, m[3], node)
         elif tag == "hr":
             close_block()

@@ -257,6 +257,17 @@ def test_text_beside_the_body_container_is_kept(spark):
     assert main_texts(spark, [links, bare]) == [body, f"Title\nlead\n{body}"]
 
 
+def test_embedded_elements_take_no_text_with_them(spark):
+    parts = ["<svg class='icon'/>", "<svg><title>i</title><svg>j</svg><text>k</text></svg>", "<object>a<object>b</object>c</object>", "<svg viewBox='0'>"]
+    parts += ["<iframe src='x'/>", "<object/>", "<svg><!-- </svg> --><script>'</svg>'</script>m</svg>", "<select><option>n</select>", "<noscript>p</noscript>", "<svg><title/></svg>"]
+    pages = [f"<html><body><article><p>before</p>{x}<p>after</p></article></body></html>" for x in parts]
+    assert main_texts(spark, pages) == ["before\nafter"] * len(parts)
+    formula = "<math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math>"
+    pages = [f"<article><p>if {formula} then</p><math display='block'/><p>after</p></article>", "<article><p>before</p><script src='x'/>if(a)"]
+    assert main_texts(spark, pages) == ["if x<2 then\nafter", "before"]
+    assert main_text.blocks("<svg>" * 20_000 + "text")[0][2] == "text"
+
+
 def test_ids_of_words_are_the_ids_of_the_text():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, tokens = Tokenizer.from_file(path), packing.Tokens(path, 2)
