@@ -1,7 +1,12 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, then exact checks."""
+"""Benchmark decontamination: size-partitioned MinHash containment search, then exact checks.
+
+The shortest items are searched by all their shingles instead of a sketch.
+"""
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,13 +19,17 @@ from solekey.session import durable
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
 
-# Hash functions of a sketch. A window that holds 0.8 of an item has a similarity to it of 0.19
-# at least, so all of its minima differ in one case of (1 - 0.19) ** 48, or 4 in 100,000.
+# Hash functions of a sketch. A window that holds 0.8 of a sketched item has a similarity to it of
+# 0.19 at least, so all of its minima differ in one case of (1 - 0.19) ** 48, or 4 in 100,000.
 SKETCH = 48
 
 # The least size class: items of up to so many shingles are searched in the same windows.
 LEAST_CLASS = 8
 
+# Items of up to so many shingles are too small a part of those windows. They form a class of
+# their own, in which all shingles of items and documents are compared.
+EXACT_SHINGLES, EXACT_CLASS = 4, 1
+
 # Positions of a text sketched at a time.
 CHUNK = 4096
 
@@ -50,8 +59,8 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """The power of two, LEAST_CLASS at least, that is no less than n."""
-    return max(LEAST_CLASS, 1 << (n - 1).bit_length())
+    """The power of two, LEAST_CLASS at least, that is no less than n; few shingles have their own class."""
+    return EXACT_CLASS if n <= EXACT_SHINGLES else max(LEAST_CLASS, 1 << (n - 1).bit_length())
 
 
 def block_minima(hashes: np.ndarray, block: int) -> np.ndarray:
@@ -96,7 +105,10 @@ def _slot(size: int, values: np.ndarray, n_slots: int) -> np.ndarray:
 
 
 def sketch_items(items: DataFrame) -> DataFrame:
-    """``item_id, item_shingles, size_class, sketch`` of items with at least one shingle."""
+    """``item_id, item_shingles, size_class, sketch`` of items with at least one shingle.
+
+    The sketch of an item of the exact class is the hashes of all its shingles.
+    """
 
     def run(batches):
         for batch in batches:
@@ -105,8 +117,10 @@ def sketch_items(items: DataFrame) -> DataFrame:
                 own = sorted(set(shingles(text)))
                 if own:
                     hashed = np.array([xxhash.xxh64_intdigest(x) for x in own], np.uint64)
-                    least = (hashed[None, :] * _MULTIPLIERS[:, None]).min(1).view(np.int64)
-                    rows.append((item, [x.decode("utf-8", "surrogatepass") for x in own], size_class(len(own)), least.tolist()))
+                    size = size_class(len(own))
+                    least = hashed if size == EXACT_CLASS else (hashed[None, :] * _MULTIPLIERS[:, None]).min(1)
+                    decoded = [x.decode("utf-8", "surrogatepass") for x in own]
+                    rows.append((item, decoded, size, least.view(np.int64).tolist()))
             if rows:
                 a, b, c, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -131,9 +145,14 @@ def _filter(values: DataFrame, n_slots: int) -> bytes:
         bits = np.zeros(n_slots, bool)
         for batch in batches:
             sizes = batch.column("size_class").to_numpy()
-            least = np.array(batch.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(-1, SKETCH)
+            sketches = batch.column("sketch").to_pylist()
             for size in np.unique(sizes):
-                bits[_slot(int(size), least[sizes == size].T, n_slots).ravel()] = True
+                own = [sketches[i] for i in np.flatnonzero(sizes == size)]
+                if size == EXACT_CLASS:
+                    least = np.array([[x for sketch in own for x in sketch]], np.int64)
+                else:
+                    least = np.array(own, np.int64).reshape(-1, SKETCH).T
+                bits[_slot(int(size), least.view(np.uint64), n_slots).ravel()] = True
         for at in np.unique(np.flatnonzero(bits) // LEAST_SLOTS).tolist():
             piece = np.packbits(bits[at * LEAST_SLOTS : (at + 1) * LEAST_SLOTS]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([piece])], ["piece", "bits"])
@@ -152,7 +171,8 @@ def find_contained(docs: DataFrame, items: DataFrame, min_containment: float = M
     distinct five-word shingles. Items are parted by size; a document is sketched in windows
     twice as long as the items of a class, so that a short item inside a long document is still
     a good part of a window. A window that shares a minimum with an item makes a candidate, and
-    each candidate is checked exactly, over the document's whole text.
+    each candidate is checked exactly, over the document's whole text. Items of up to
+    ``EXACT_SHINGLES`` shingles are candidates wherever one of them occurs.
 
     Null, empty and too short texts (under five words) have no shingles: such an item is never
     found, such a document holds nothing. Repeated rows of either table give repeated results.
@@ -162,7 +182,7 @@ def find_contained(docs: DataFrame, items: DataFrame, min_containment: float = M
     spark = docs.sparkSession
     known = durable(sketch_items(items).withColumn("item_row", F.monotonically_increasing_id()))
     stats = known.agg(F.count(F.lit(1)), F.collect_set("size_class")).first()
-    classes = sorted(stats[1])
+    sketched, exact = sorted(set(stats[1]) - {EXACT_CLASS}), EXACT_CLASS in stats[1]
     n_slots = min(max(1 << (stats[0] * SKETCH * SLOTS_PER_VALUE).bit_length(), LEAST_SLOTS), MOST_SLOTS)
     bits = spark.sparkContext.broadcast(_filter(known, n_slots))
 
@@ -176,7 +196,11 @@ def find_contained(docs: DataFrame, items: DataFrame, min_containment: float = M
             rows, hits = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = set()
-                for size, minima in window_minima(shingle_hashes(text), classes) if classes else ():
+                hashes = shingle_hashes(text)
+                searched = window_minima(hashes, sketched) if sketched else ()
+                if exact and len(hashes):
+                    searched = chain(searched, [(EXACT_CLASS, hashes[None, :])])
+                for size, minima in searched:
                     slot = _slot(size, minima, n_slots)
                     near = has(slot[0])
                     if near.any():
@@ -205,6 +229,8 @@ def find_contained(docs: DataFrame, items: DataFrame, min_containment: float = M
         "doc_row", "h.size_class", F.col("h.at").alias("at"), F.col("h.value").alias("value")
     )
     minima = known.select("item_row", "size_class", F.posexplode("sketch").alias("at", "value"))
+    if exact:  # its shingles have no place; a document's are all hits of place 0
+        minima = minima.withColumn("at", F.when(F.col("size_class") == EXACT_CLASS, 0).otherwise(F.col("at")))
     pairs = hits.join(minima, ["size_class", "at", "value"]).select("doc_row", "item_row").distinct()
     checked = (
         pairs.join(known.select("item_row", "item_id", "item_shingles"), "item_row")

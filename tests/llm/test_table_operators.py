@@ -199,6 +199,20 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.find_contained(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_few_shingles_are_never_missed(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, 5 + (i % 4 if i >= 600 else 0), 10**6))) for i in range(700)]
+    rows = []
+    for i, (_, item) in enumerate(items):
+        body = words(rng, 200)
+        at = rng.randrange(20, 180)
+        rows.append((i, " ".join([*body[:at], *item.split(), *body[at:]])))
+    bench = spark.createDataFrame([*items, (900, " ".join(words(rng, 30)))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.find_contained(documents(spark, rows), bench).collect()}
+    sizes = [len(text.split()) - 4 for _, text in items]
+    assert got == {(i, i, n, n) for i, n in enumerate(sizes)}
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [x / np.linalg.norm(x) for x in rng.standard_normal((300, 16))]
