@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from solekey.llm.frames import doc_text, map_batches
 
@@ -133,14 +134,21 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int | None = 2, limits: Limits = Limits(), loss_on_first: bool = False
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int | None = 2,
+    limits: Limits = Limits(),
+    loss_on_first: bool = False,
+    prompt_column: str | None = None,
 ) -> DataFrame:
     """One row for each piece of each row of ``docs(doc_id, text)``, placed in a sequence.
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens``. A
     document's ids are those of its whole text by the tokenizer file, then ``end_id``. It is
-    cut every ``limits.tokens`` (or ``limits.loss_tokens``, if that is less) ids; the pieces
-    are packed under all three limits. A piece's first id bears no loss unless ``loss_on_first``.
+    cut where a piece reaches ``limits.tokens`` ids or ``limits.loss_tokens`` of them that bear loss;
+    the pieces are packed under all three limits. A piece's first id bears no loss unless
+    ``loss_on_first``. ``prompt_column`` says how many of a document's first ids bear none either;
+    null is none of them. Without it the limit of loss binds only if it is below that of tokens.
 
     Null and empty texts are the end id alone (nothing at all without an end id). Repeated rows
     are packed each for itself. An empty table gives an empty result; other columns of ``docs``
@@ -149,7 +157,6 @@ def pack_documents(
     last window's remainder. Sequence ids are unique: the task's number and a count.
     """
     at_most = limits.sizes()
-    cut = int(min(limits.tokens, limits.loss_tokens + (not loss_on_first)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -187,12 +194,15 @@ def pack_documents(
         for batch in batches:
             id_type[:] = [batch.column("doc_id").type]
             found = tokens.ids([x or "" for x in batch.column("text").to_pylist()])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
-                total = len(ids) // 4
-                for start in range(0, total, cut):
-                    piece = ids[4 * start : 4 * (start + cut)]
-                    length = len(piece) // 4
-                    waiting.append((doc_id, start, length, zlib.crc32(piece), total, length - (not loss_on_first)))
+            prompts = batch.column("prompt_ids").to_pylist() if prompt_column else [0] * len(found)
+            for doc_id, ids, prompt in zip(batch.column("doc_id").to_pylist(), found, prompts):
+                total, start = len(ids) // 4, 0
+                while start < total:
+                    bearing = max(start + (not loss_on_first), prompt or 0)
+                    end = max(start + 1, min(total, start + limits.tokens, bearing + limits.loss_tokens))
+                    piece = ids[4 * start : 4 * end]
+                    waiting.append((doc_id, start, end - start, zlib.crc32(piece), total, max(0, end - bearing)))
+                    start = end
                 if len(waiting) >= WINDOW and (rows := placed(False)):
                     yield record(rows)
         if waiting and (rows := placed(True)):
@@ -202,4 +212,5 @@ def pack_documents(
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
         "loss_tokens long"
     )
-    return map_batches(doc_text(docs), run, schema)
+    more = [F.col(prompt_column).cast("long").alias("prompt_ids")] if prompt_column else []
+    return map_batches(doc_text(docs, *more), run, schema)

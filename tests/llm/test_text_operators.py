@@ -303,6 +303,24 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_prompts_bear_no_loss(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, "the pack of wolves " * n, p) for i, (n, p) in enumerate([(20, 70), (20, 70), (100, 300), (50, None), (9, 500), (60, 0)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, asked int")
+    limits = packing.Limits(256, 8, 40)
+    pieces = packing.pack_documents(docs, path, 2, limits, prompt_column="asked").collect()
+    sequences, covered = {}, dict.fromkeys(range(6), 0)
+    for p in pieces:
+        asked = rows[p.doc_id][2] or 0
+        assert p.loss_tokens == sum(i >= asked for i in range(p.start + 1, p.start + p.length))
+        covered[p.doc_id] += p.length
+        sequences.setdefault(p.sequence_id, []).append(p)
+    assert all(covered[p.doc_id] == p.doc_tokens for p in pieces)
+    for own in sequences.values():
+        assert sum(p.length for p in own) <= 256 and len(own) <= 8 and sum(p.loss_tokens for p in own) <= 40
+    assert any(p.length > 200 and p.loss_tokens == 0 for p in pieces)
+
+
 def test_dot_product_prefers_what_fits_the_room():
     limits = np.array([10, 4, 10])
     bins = packing.pack(np.array([[6, 1, 6], [6, 1, 6], [4, 1, 4], [4, 1, 4], [12, 1, 1]]), limits)
