@@ -23,7 +23,8 @@ FALSE_DISCOVERIES = 0.1
 LEAST_EVIDENCE = 20
 
 # The p value that a token of a class without that evidence needs at least: of tokens under 32 signs,
-# then of longer ones. Of the other long tokens in the source of Python's own library few reach it.
+# then of longer ones. In the source of Python's own library 11% of short letters_digits tokens reach
+# it, 1% of base64 and base64_url ones, but 48% of lower-case ones; of longer ones of these 2% at most.
 SHORT_LEVEL, LONG_LEVEL = 0.25, 0.05
 
 # Steps of the combined p value in which tokens are counted.
