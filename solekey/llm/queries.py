@@ -6,10 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solekey.llm import decontaminate, embeddings, line_dedup, main_text, packing, pii, secrets, simhash, toxicity, url_rules
+from solekey.llm import (
+    byte_bpe,
+    decontaminate,
+    embeddings,
+    line_dedup,
+    main_text,
+    packing,
+    pii,
+    secrets,
+    simhash,
+    toxicity,
+    url_rules,
+)
 from solekey.llm.frames import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _joined(spans, certain: bool):
@@ -98,6 +111,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", print_hex.alias("fingerprint"), "component_id")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = (public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), *ranks)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return byte_bpe.decode(encoded, *ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP4_SQL = f"""
@@ -159,6 +184,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}

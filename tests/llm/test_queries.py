@@ -13,7 +13,7 @@ from test_table_operators import groups_of, plain_lines
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entries
-from solekey.llm import decontaminate, queries, simhash, toxicity
+from solekey.llm import byte_bpe, decontaminate, queries, simhash, toxicity
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -34,7 +34,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entries.queries())
 
 
