@@ -10,12 +10,14 @@ from solekey.llm import (
     byte_bpe,
     decontaminate,
     embeddings,
+    hard_negatives,
     line_dedup,
     main_text,
     packing,
     pii,
     secrets,
     simhash,
+    spelling,
     toxicity,
     url_rules,
 )
@@ -111,6 +113,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", print_hex.alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("run")))
+    at = (h % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(h % 97 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.count_words(words))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    found = hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, scale=256)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = (public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), *ranks)
@@ -173,6 +191,62 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled"""
 
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS c, list_transform(string_split(doc_id || ':' || run, ''), lambda x: unicode(x)) AS points
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_LOWER}') AS run
+        FROM documents) GROUP BY doc_id, run
+), bytes AS (
+  SELECT run, c, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + p // 64, 128 + p % 64] END))
+    AS bytes FROM runs
+), hashed AS (
+  -- crc32: take in a byte, then shift eight times (marked -1).
+  SELECT run, c, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda b: [b::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda h, b: CASE WHEN b >= 0 THEN xor(h, b) ELSE xor(h >> 1, 3988292384 * (h & 1)) END)) AS h FROM bytes
+), cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+    ELSE run END AS word, c FROM hashed
+), w AS MATERIALIZED (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), d AS MATERIALIZED (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS part FROM (SELECT word, unnest(range(length(word))) AS i FROM w)
+), near AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b FROM d AS a JOIN d AS b ON a.i = b.i AND a.part = b.part AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON w.word = d.part
+  UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.part
+), best AS (
+  SELECT a AS word, count(*) AS n_near, min({{'less': -n, 'b': b}}) AS best FROM near JOIN w ON w.word = near.b GROUP BY a
+), formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * n THEN best.b END AS form,
+    CASE WHEN -best.less >= 2 * n THEN -best.less END AS form_n FROM w LEFT JOIN best ON w.word = best.word
+), steps AS (
+  SELECT word, word AS at FROM formed UNION ALL
+  SELECT steps.word, f.form FROM steps JOIN formed AS f ON f.word = steps.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, steps.at AS root, f.n, f.n_near, f.form_n FROM formed AS f JOIN steps ON steps.word = f.word
+WHERE NOT EXISTS(SELECT 1 FROM formed AS g WHERE g.word = steps.at AND g.form IS NOT NULL)"""
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r AS a JOIN r AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_url_rules": op2_url_rules,
@@ -184,7 +258,15 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLE_SQL = {"op2_url_rules": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
+ORACLE_SQL = {
+    "op2_url_rules": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op8_decontaminate": OP8_SQL,
+    "op11_spelling": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+}
