@@ -29,7 +29,7 @@ WIDTHS = (4, 8, 16, 32, 64)
 # Cells of a padded matrix, so that its memory is bounded.
 CELLS = 1 << 20
 
-# Pieces whose ids are remembered between batches, each at most as long as the widest bucket.
+# Pieces whose ids are remembered from batch to batch.
 REMEMBERED = 200_000
 
 NONE = np.iinfo(np.int32).max
@@ -81,13 +81,21 @@ class PairTable:
         return found
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ...: positions of runs one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
+
+
 class Vocabulary:
-    """The ranks of a file, its pairs, and the pieces met before."""
+    """The ranks of a file, its pairs, and the pieces met before.
+
+    The ids of remembered piece number i are ``flat[start[i] : start[i] + size[i]]``.
+    """
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             self.ids = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.bytes_of = {rank: token for token, rank in self.ids.items()}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in self.ids.items():
@@ -97,60 +105,87 @@ class Vocabulary:
                     pairs[left, right] = rank
         self.pairs = PairTable(pairs)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, batch: list[str]) -> list[list[int]]:
-        """Token ids of each text."""
+        # Bytes of every token, one after the other; -1 for numbers that are no token.
+        self.token_bytes = np.frombuffer(b"".join(self.ids), np.uint8)
+        size = np.array([len(token) for token in self.ids])
+        of = np.array(list(self.ids.values()))
+        self.token_size = np.full(of.max() + 1, -1)
+        self.token_start = np.zeros(of.max() + 1, np.int64)
+        self.token_size[of], self.token_start[of] = size, np.cumsum(size) - size
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts one after the other, and where each text's ids begin and end."""
         cut = [self.pieces(text) for text in batch]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in set(chain.from_iterable(cut)) if p not in self.known]
-        found = dict(zip(new, self.encode_pieces([p.encode() for p in new])))
-        self.known |= {p: ids for p, ids in found.items() if len(p) <= WIDTHS[-1]}
-        long = {p: ids for p, ids in found.items() if len(p) > WIDTHS[-1]}
-        of = self.known.__getitem__ if not long else lambda p: long[p] if p in long else self.known[p]
-        return [list(chain.from_iterable(map(of, parts))) for parts in cut]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {width: [] for width in WIDTHS}
-        for i, piece in enumerate(pieces):
-            whole = self.ids.get(piece)
-            if whole is not None:
-                out[i] = (whole,)
-                continue
-            width = next((w for w in WIDTHS if len(piece) <= w), None)
-            if width is None:
-                out[i] = tuple(self._merge_long(self.single[np.frombuffer(piece, np.uint8)]).tolist())
-            else:
-                buckets[width].append(i)
-        for width, members in buckets.items():
-            for at in range(0, len(members), CELLS // width):
-                self._merge_rows([pieces[i] for i in members[at : at + CELLS // width]], members[at:], width, out)
-        return out
-
-    def _merge_rows(self, pieces: list[bytes], number: list[int], width: int, out: list) -> None:
+        new = list(set(chain.from_iterable(cut)) - self.known.keys())
+        flat, size = self.encode_pieces([p.encode() for p in new])
+        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        ends = np.cumsum([0, *map(len, cut)])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, ends[-1])
+        sizes = self.size[at]
+        ids = self.flat[ragged(self.start[at], sizes)]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        if len(self.known) > REMEMBERED or len(self.flat) > REMEMBERED * WIDTHS[-1]:
+            self._forget()
+        return ids, offsets
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens, and how many each token has."""
+        known = (ids >= 0) & (ids < len(self.token_size))
+        if not known.all() or (self.token_size[ids] < 0).any():
+            raise ValueError("an id that the ranks don't hold")
+        size = self.token_size[ids]
+        return self.token_bytes[ragged(self.token_start[ids], size)], size
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has."""
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start, joined = np.cumsum(length) - length, np.frombuffer(b"".join(pieces), np.uint8)
+        whole = np.fromiter((self.ids.get(p, -1) for p in pieces), np.int32, len(pieces))
+        at = np.flatnonzero(whole >= 0)
+        done = [(at, whole[at], np.ones(len(at), np.int64))]  # pieces, their ids, how many each
+        shortest = 0
+        for width in WIDTHS:
+            members = np.flatnonzero((whole < 0) & (length > shortest) & (length <= width))
+            shortest = width
+            for first in range(0, len(members), CELLS // width):
+                rows = members[first : first + CELLS // width]
+                tokens = np.full((len(rows), width), -1, np.int32)
+                filled = np.arange(width) < length[rows, None]
+                tokens[filled] = self.single[joined[ragged(start[rows], length[rows])]]
+                done += self._merge_rows(rows, tokens, length[rows])
+        for i in np.flatnonzero((whole < 0) & (length > shortest)):
+            ids = self._merge_long(self.single[joined[start[i] : start[i] + length[i]]])
+            done.append((np.array([i]), ids, np.array([len(ids)])))
+        size = np.zeros(len(pieces), np.int64)
+        for rows, _, n in done:
+            size[rows] = n
+        start, flat = np.cumsum(size) - size, np.empty(size.sum(), np.int32)
+        for rows, ids, n in done:
+            flat[ragged(start[rows], n)] = ids
+        return flat, size
+
+    def _merge_rows(self, rows: np.ndarray, tokens: np.ndarray, length: np.ndarray) -> list[tuple]:
         """Merge the leftmost pair of least rank in every row, round by round."""
-        length = np.array([len(p) for p in pieces])
-        tokens = np.full((len(pieces), width), -1, np.int32)
-        tokens[np.arange(width) < length[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        rows = np.array(number[: len(pieces)])
+        out = []
         ranks = self._ranks(tokens)
         while len(rows):
             first = ranks.argmin(axis=1)  # the leftmost of equal ones
             each = np.arange(len(rows))
             least = ranks[each, first]
-            done = least == NONE
-            for row, ids, n in zip(rows[done], tokens[done].tolist(), length[done]):
-                out[row] = tuple(ids[:n])
-            on = ~done
-            rows, tokens, ranks, first, least = rows[on], tokens[on], ranks[on], first[on], least[on]
-            length, each = length[on] - 1, np.arange(len(rows))
-            if not len(rows):
-                return
+            done, on = least == NONE, least != NONE
+            if done.any():
+                left = tokens[done]
+                out.append((rows[done], left[left >= 0], length[done]))
+                rows, tokens, ranks, first, least = rows[on], tokens[on], ranks[on], first[on], least[on]
+                length, each = length[on], np.arange(len(rows))
+            length = length - 1
             tokens[each, first] = least
             # All rows lose the token behind their merge: the matrix gets one column narrower.
             kept = np.arange(tokens.shape[1] - 1)
@@ -164,6 +199,7 @@ class Vocabulary:
                 ok = (pair >= 0) & (pair < ranks.shape[1])
                 row, col = each[ok], pair[ok]
                 ranks[row, col] = self.pairs.look_up(tokens[row, col], tokens[row, col + 1])
+        return out
 
     def _ranks(self, tokens: np.ndarray) -> np.ndarray:
         return self.pairs.look_up(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(len(tokens), -1)
@@ -212,8 +248,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = vocabulary(path, pattern)
         for batch in batches:
-            ids = pa.array(own.encode(texts(batch)), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            ids, ends = own.encode(texts(batch))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(doc_text(docs), run, f"doc_id {kind}, ids array<int>")
@@ -229,9 +266,14 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = vocabulary(path, pattern)
         for batch in batches:
-            decoded = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            data, size = own.decode(ids)
+            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(np.concatenate([[0], counts]))]
+            decoded = [data[a:b].tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"]
+                [batch.column("doc_id"), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"]
             )
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
