@@ -36,3 +36,8 @@ def doc_text(docs: DataFrame, *more: str) -> DataFrame:
 def held_out(doc_id) -> F.col:
     """Rows that no model may learn from: crc32 of the id's text leaves 0 when divided by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def drawn(hashed, share: float):
+    """Rows whose 64-bit hash falls into a share of all hashes, however small the share."""
+    return F.shiftrightunsigned(hashed, 11) / float(2**53) < share

@@ -31,14 +31,36 @@ BLOCKS = CONTAINERS | frozenset(
 ) | BOILERPLATE
 # A tag that opens closes these, if they are the innermost open block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-NOISE = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menus|sidebar|side|footer|header|masthead|cookie|cookies|consent|gdpr|notice|notices|banner|"
-    r"ad|ads|adv|advert|adverts|advertisement|advertising|promo|sponsor|sponsored|comment|comments|commentlist|disqus|discussion|"
-    r"share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|signup|login|search|popup|modal|"
-    r"overlay|toolbar|pagination|pager|widget|skip|alert)(?:[-_\s]|\d|$)",
-    re.I,
-)
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+# Names of classes and ids. The first kind tells what a container holds, the second
+# where it stands, the third may as well be the head or a part of an article.
+CONTENT_NAMES = (
+    "ad ads adv advert adverts advertisement advertising promo sponsor sponsored comment comments commentlist disqus discussion "
+    "share sharing social related recommended newsletter subscribe signup login cookie cookies consent gdpr popup modal"
+).split()
+PLACE_NAMES = (
+    "nav navbar navigation menu menus sidebar footer breadcrumb breadcrumbs search overlay toolbar pagination pager widget skip"
+).split()
+HEAD_NAMES = "header masthead side notice notices banner alert".split()
+INLINE_NAMES = "ad ads advert adverts advertisement promo sponsored share sharing social".split()
+ROLES = frozenset("navigation contentinfo complementary search dialog form menu".split())
+HEAD_ROLES = frozenset("banner alert".split())
+
+
+def _named(words) -> re.Pattern:
+    return re.compile(rf"(?:^|[-_])(?:{'|'.join(words)})(?:[-_]|\d|$)", re.I)
+
+
+CONTENT, PLACE, HEAD, INLINE = map(_named, (CONTENT_NAMES, PLACE_NAMES, HEAD_NAMES, INLINE_NAMES))
+# Such a name says that something else has or lacks the part, or how parts are laid out.
+QUALIFIED = re.compile(r"(?:^|[-_])(?:with|without|has|no|by)(?:[-_]|$)", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+UNSEEN = re.compile(r"style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+# A page is read without regard to a name if without its containers less than this share of the text is left.
+LEAST_LEFT = 0.1
+
 MAIN = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body|text)(?:[-_\s]|$)", re.I)
 DIGITS = re.compile(r"\d+")
 
@@ -47,14 +69,16 @@ LEVEL, TELLING, WIDE = 0.9, 1.5, 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "parent", "article")
+    """An open block: `noise` by its make, `named` the numbers of the containers around it that a name puts in doubt."""
 
-    def __init__(self, tag, path, noise, parent, article):
-        self.tag, self.path, self.noise, self.parent, self.article = tag, path, noise, parent, article
+    __slots__ = ("tag", "path", "noise", "parent", "article", "named")
 
+    def __init__(self, tag, path, noise, parent, article, named=()):
+        self.tag, self.path, self.noise, self.parent, self.article, self.named = tag, path, noise, parent, article, named
 
-def _opened(tag: str, attributes: str, parent: _Node) -> _Node:
-    """A container's node: its path has tags and classes without numbers, so that pages agree."""
+
+def _names(attributes: str) -> tuple[list[tuple[str, str]], str]:
+    """Classes and ids, and the role."""
     names, role = [], ""
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         value = m[2] or m[3] or m[4] or ""
@@ -62,15 +86,67 @@ def _opened(tag: str, attributes: str, parent: _Node) -> _Node:
             role = value.lower()
         else:
             names.append((m[1].lower(), value))
-    label = " ".join(v for _, v in names)
+    return names, role
+
+
+def _hidden(attributes: str) -> bool:
+    low = (attributes or "").lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    return bool(HIDDEN.search(QUOTED.sub("''", attributes)) or UNSEEN.search(attributes))
+
+
+def _opened(tag: str, attributes: str, parent: _Node, doubts: list[bool]) -> _Node:
+    """A block's node: a container's path has tags and classes without numbers, so that pages agree.
+
+    A container whose name speaks of something else than the article gets a number in ``doubts``
+    (whether the name tells what it holds). Names that may be the head of an article say nothing
+    inside one.
+    """
+    names, role = _names(attributes)
     article = parent.article or tag in ("article", "main") or role in ("main", "article")
-    noise = parent.noise or tag in BOILERPLATE or role in ROLES or (tag == "header" and not parent.article)
-    noise = noise or bool(label and tag not in ("html", "body", "article", "main") and NOISE.search(label))
+    noise = parent.noise or tag in BOILERPLATE or role in ROLES or _hidden(attributes)
+    noise = noise or not parent.article and (tag == "header" or role in HEAD_ROLES)
+    named = parent.named
+    if names and not noise and tag not in ("html", "body", "article", "main"):
+        tokens = [t for _, v in names for t in v.split() if not QUALIFIED.search(t)]
+        content = any(CONTENT.search(t) for t in tokens)
+        place = any(PLACE.search(t) for t in tokens)
+        head = tag not in HEADINGS and not parent.article and any(HEAD.search(t) for t in tokens)
+        if content or place or head:
+            named = (*named, len(doubts))
+            doubts.append(content)
     path = parent.path
     if tag in CONTAINERS:
         classes = sorted({DIGITS.sub("", c).strip("-_").lower() for k, v in names if k == "class" for c in v.split()} - {""})
         path = f"{path}>{'.'.join([tag, *classes])}"
-    return _Node(tag, path, noise, parent, article)
+    return _Node(tag, path, noise, parent, article, named)
+
+
+def _settled(rows, doubts: list[bool], holds: set[int]) -> list[tuple[str, bool, str, float]]:
+    """Blocks with the names weighed: those of containers around nearly the whole text don't count.
+
+    A container's name is passed over if hardly any running text is left without it and it has
+    most of what is missing; one whose name tells what it holds, only if it has a main heading
+    or an article in it.
+    """
+    weight = [0.0 if noise else len(text) * (1 - links) for _, noise, _, text, links in rows]
+    total, off = sum(weight), set()
+    while doubts:
+        left, missing = 0.0, defaultdict(float)
+        for (_, _, named, _, _), w in zip(rows, weight):
+            active = [n for n in named if n not in off]
+            if not active:
+                left += w
+            else:
+                missing[active[0]] += w
+        if not missing or left >= LEAST_LEFT * total:
+            break
+        number, most = max(missing.items(), key=lambda x: (x[1], -x[0]))
+        if 2 * most < total - left or doubts[number] and number not in holds:
+            break
+        off.add(number)
+    return [(path, noise or any(n not in off for n in named), text, links) for path, noise, named, text, links in rows]
 
 
 def _embedded(page: str) -> dict[int, int]:
@@ -104,24 +180,29 @@ def blocks(page: str) -> list[tuple[str, bool, str, float]]:
     left out. ``br`` is white space; markup inside a block joins its parts. Scripts and the like
     run to their closing tag, as browsers read them; embedded elements end where they are closed,
     inner ones counted, and are empty if they never are. Formulas are text, without annotations.
+    Hidden elements are noise; hidden parts of a block, and those named as adverts or for sharing,
+    are left out of it.
     """
     root = _Node("", "", False, None, False)
     node, parts, found = root, [], []
     linked, in_link, at = 0, 0, 0
     ends = None
+    doubts: list[bool] = []
+    holds: set[int] = set()  # containers in doubt with a main heading or an article in them
+    muted, depth = "", 0  # an element inside a block that is left out, and how many of its kind are open
 
     def close_block():
-        nonlocal linked
+        nonlocal linked, muted
         if parts:
             text = BLANKS.sub(" ", "".join(parts)).strip()
             if text:
-                found.append((node.path, node.noise, text, min(1.0, linked / len(text))))
+                found.append((node.path, node.noise, node.named, text, min(1.0, linked / len(text))))
             parts.clear()
-        linked = 0
+        linked, muted = 0, ""
 
     def add(raw):
         nonlocal linked
-        if raw:
+        if raw and not muted:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if in_link:
@@ -133,6 +214,13 @@ def blocks(page: str) -> list[tuple[str, bool, str, float]]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag == muted:
+            depth += -1 if m[1] else 0 if _self_closed(m[3]) else 1
+            if not depth:
+                muted = ""
+        elif not muted and not m[1] and m[3] and tag not in BLOCKS and tag not in VOID and not _self_closed(m[3]):
+            if _hidden(m[3]) or any(INLINE.search(t) for _, v in _names(m[3])[0] for t in v.split()):
+                muted, depth = tag, 1
         if m[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
@@ -162,12 +250,14 @@ def blocks(page: str) -> list[tuple[str, bool, str, float]]:
             while node.tag == "p" or node.tag in CLOSES.get(tag, ()):
                 node = node.parent
             if not _self_closed(m[3]):
-                node = _opened(tag, m[3], node)
+                node = _opened(tag, m[3], node, doubts)
+                if tag in ("h1", "article", "main"):
+                    holds.update(node.named)
         elif tag == "hr":
             close_block()
     add(page[at:])
     close_block()
-    return found
+    return _settled(found, doubts, holds)
 
 
 def scores(found) -> dict[str, float]:
@@ -275,8 +365,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Pass one rates each page's containers and lets the pages of a host vote on the path of the
     main text (tags and classes without numbers); pass two reads every page again and takes the
     blocks below its host's winning path, in page order, joined by one newline. A page without
-    that path is read by its own best. Menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts, styles and comments are left out wherever they stand.
+    that path is read by its own best. Menus, footers, sidebars, adverts, forms, scripts, styles,
+    comments and what is hidden are left out wherever they stand, headers and notices of the page
+    outside an article or main element. Names of classes and ids are passed over where a page
+    would lose nearly all its text by them.
 
     Null and empty pages, and pages without such text, give an empty text. Null urls and urls
     without a host vote together. Repeated rows each give a row; an empty table gives an empty

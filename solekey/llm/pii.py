@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solekey.llm.boosting import Boosted
-from solekey.llm.frames import doc_text, map_batches
+from solekey.llm.frames import doc_text, drawn, map_batches
 from solekey.session import durable
 
 KINDS = ("email", "ip", "card", "phone")
@@ -107,7 +108,33 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return [(kind, *m.span()) for kind, form in GENERATORS for m in form.finditer(text)]
 
 
-def impossible(text: str, kind: str, start: int, end: int, sure) -> bool:
+class Taken:
+    """Spans of one kind that don't overlap, by start; overlaps are found by bisection."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def overlapping(self, start: int, end: int):
+        """The spans that share a sign with start..end."""
+        i = bisect_right(self.ends, start)
+        while i < len(self.starts) and self.starts[i] < end:
+            yield self.starts[i], self.ends[i]
+            i += 1
+
+    def meets(self, start: int, end: int) -> bool:
+        return next(self.overlapping(start, end), None) is not None
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
+def by_kind(spans) -> dict[str, Taken]:
+    return {kind: Taken(sorted((a, b) for k, a, b in spans if k == kind)) for kind in KINDS}
+
+
+def impossible(text: str, kind: str, start: int, end: int, sure: dict[str, Taken]) -> bool:
     """Whether a span can't be of its kind, whatever is said around it.
 
     It is part of a longer word or number, lies in a certain span of another kind, or breaks a rule
@@ -117,7 +144,7 @@ def impossible(text: str, kind: str, start: int, end: int, sure) -> bool:
     own = text[start:end]
     if text[max(0, start - 1) : start].isalnum() or text[end : end + 1].isalnum():
         return True
-    if any(k != kind and a < end and start < b for k, a, b in sure):
+    if any(k != kind and taken.meets(start, end) for k, taken in sure.items()):
         return True
     if kind == "email":
         domain = DOT.split(AT.split(own)[-1])
@@ -173,10 +200,10 @@ def described(text: str, sure=None) -> list[tuple[tuple[str, int, int], list[flo
     A candidate is certain if a certain span of its kind covers half of it.
     """
     proposed = candidates(text)
-    sure = (base_spans(text) if sure is None else sure) if proposed else []
+    sure = by_kind((base_spans(text) if sure is None else sure) if proposed else [])
     rows = []
     for kind, start, end in proposed:
-        if any(k == kind and 2 * (min(end, b) - max(start, a)) > end - start for k, a, b in sure):
+        if any(2 * (min(end, b) - max(start, a)) > end - start for a, b in sure[kind].overlapping(start, end)):
             known = SURE
         else:
             known = NOT if impossible(text, kind, start, end, sure) else OPEN
@@ -190,10 +217,11 @@ def chosen(sure, rated, least: dict[str, float]) -> list[tuple[str, int, int, bo
     Certain spans always stay. Of the open candidates those above their kind's threshold are taken
     from the likeliest on, where nothing of the same kind is taken yet.
     """
-    taken = [(*x, True) for x in sure]
+    taken, held = [(*x, True) for x in sure], by_kind(sure)
     for kind, start, end, odds in sorted(rated, key=lambda x: -x[3]):
-        if odds >= least.get(kind, np.inf) and not any(k == kind and start < b and a < end for k, a, b, _ in taken):
+        if odds >= least.get(kind, np.inf) and not held[kind].meets(start, end):
             taken.append((kind, start, end, False))
+            held[kind].add(start, end)
     return sorted(taken, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -239,9 +267,9 @@ def _trees(docs: DataFrame, most: int) -> Boosted | None:
     # Documents without any wide form are told apart by Spark itself and never reach Python.
     own = doc_text(docs).where(F.col("text").rlike(r"[0-9@]|(?i:\(at\)|\[at\]|\sat\s)|::"))
     share = min(1.0, 4 * most / max(1, docs.count()))
-    own = own.where(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = map_batches(own, run, "draw long, features array<double>, right boolean").orderBy("draw").limit(most)
-    sample = drawn.collect()
+    own = own.where(drawn(F.xxhash64("doc_id", F.lit("pii")), share))
+    rows = map_batches(own, run, "draw long, features array<double>, right boolean")
+    sample = rows.orderBy("draw").limit(most).collect()
     right = np.array([r.right for r in sample], float)
     if not len(sample) or right.min() == right.max():
         return None

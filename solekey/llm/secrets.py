@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,18 @@ def length_class(n) -> int:
     return int(n).bit_length()
 
 
+def merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover together, in order and apart."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidate_tokens(docs: DataFrame) -> DataFrame:
     """``doc_id, base, tokens`` for every row: certain spans, and all other long tokens with p values."""
 
@@ -135,8 +148,10 @@ def candidate_tokens(docs: DataFrame) -> DataFrame:
             base, found = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 base.append(base_spans(text or ""))
+                starts, ends = merged(base[-1])
                 for m in TOKEN.finditer(text or ""):
-                    if not any(a < m.end() and m.start() < b for _, a, b in base[-1]):
+                    at = bisect_right(ends, m.start())
+                    if at == len(starts) or starts[at] >= m.end():
                         if name := encoding(m[0]):
                             found.append((i, m.start(), m.end(), name, m[0]))
             tokens = [[] for _ in base]

@@ -9,6 +9,9 @@ from solekey.session import durable
 
 DEFAULT_VERDICT = "allow"
 
+# Stands between host and path in a key, so that no host is the beginning of a longer label.
+END = "\x00"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,12 +37,13 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, "\\.")), ".")
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each domain above it, longest first; none for an empty host."""
+def host_suffixes(host: Column, most_labels: int) -> Column:
+    """The host's last labels, at most so many, and each domain above, longest first; none for an empty host."""
     labels = F.split(host, "\\.")
     n = F.size(labels)
+    first = F.greatest(n - most_labels + 1, F.lit(1))
     return F.when(
-        host != "", F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+        host != "", F.transform(F.sequence(first, n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -53,7 +57,7 @@ def keyed_rules(rules: DataFrame) -> DataFrame:
     own = (
         rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
         .select(
-            F.concat(reversed_host(F.translate("host", _UPPER, _LOWER)), F.col("path")).alias("key"),
+            F.concat(reversed_host(F.translate("host", _UPPER, _LOWER)), F.lit(END), F.col("path")).alias("key"),
             F.concat(F.translate("host", _UPPER, _LOWER), F.col("path")).alias("rule"),
             "verdict",
         )
@@ -69,9 +73,17 @@ def keyed_rules(rules: DataFrame) -> DataFrame:
 
 
 def _prefixes(key: Column) -> Column:
+    """All beginnings of a rule's key, or of a key cut to the longest rule's length."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), lambda i: F.substr(key, F.lit(1), i))
 
 
+def _extent(known: DataFrame) -> tuple[int, int]:
+    """Signs of the longest rule's key and labels of its longest host: no url is looked at beyond them."""
+    labels = F.size(F.split(F.substring_index("key", END, 1), "\\."))
+    row = known.agg(F.max(F.length("key")), F.max(labels)).first()
+    return max(1, row[0] or 0), max(1, row[1] or 0)
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages(page_id, url)``.
 
@@ -80,7 +92,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     ``rule`` is its host and path. Urls that fit none get a null rule and the ``default`` verdict.
 
     A url becomes one key for its host and for each domain above it, so that a rule fits if a key
-    lies in the rule's interval. Rules and keys are sorted together into ranges; a key that very
+    lies in the rule's interval. Keys are made only of as many labels as a rule's host has, and cut
+    to the length of the longest rule, which changes no beginning that a rule could have. Rules and keys are sorted together into ranges; a key that very
     many urls share is split by a hash of the page. A range starts with the rules that enclose
     its first key. In each range one sorted sweep hands on the chain of the last rule begun:
     the stack of nested rules, of which those already ended are taken off. Rules and urls meet
@@ -92,12 +105,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     """
     spark = pages.sparkSession
     known = durable(keyed_rules(rules))
+    longest, most_labels = _extent(known)
     urls = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
     parts = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(host_suffixes(F.col("host")))
+    suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(host_suffixes(F.col("host"), most_labels))
     no_chain = F.lit(None).cast(known.schema["chain"].dataType)
     keys = parts.select("page_id", "host", "path", F.posexplode(suffixes).alias("level", "suffix")).select(
-        F.concat(reversed_host(F.col("suffix")), F.col("path")).alias("key"),
+        F.substr(F.concat(reversed_host(F.col("suffix")), F.lit(END), F.col("path")), F.lit(1), F.lit(longest)).alias("key"),
         no_chain.alias("chain"),
         F.lit(1).alias("kind"),
         F.xxhash64("page_id", "level").alias("salt"),
@@ -136,7 +150,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     best = F.array_max(
         F.transform(
             "fits",
-            lambda r: F.struct(F.length(r["rule"]).alias("size"), r["key"].alias("key"), r["rule"].alias("rule"), r["verdict"].alias("verdict")),
+            lambda r: F.struct(F.length(r["rule"]).alias("size"), F.replace(r["key"], F.lit(END), F.lit("")).alias("key"), r["rule"].alias("rule"), r["verdict"].alias("verdict")),
         )
     )
     # A url's own key (level 0) stands once for each of its rows, however often the row repeats.

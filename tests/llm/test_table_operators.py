@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -282,6 +283,23 @@ def test_url_rules(spark):
     assert {r.rule for r in url_rules.judge(pages, rules.limit(0)).collect()} == {None}
 
 
+def test_very_long_urls(spark):
+    rules = spark.createDataFrame([("block", "org", "/a"), ("allow", "x.org", "/aa"), ("block", "y", "")], "verdict string, host string, path string")
+    urls = [
+        "http://x.org/" + "a" * 1_000_000,
+        "http://" + "a." * 200_000 + "x.org/ab",
+        "http://" + "b" * 1_000_000 + ".org/b",
+        "http://y" + "y" * 1_000_000,
+        "http://sub.y?" + "q" * 1_000_000,
+    ]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 3)], "page_id long, url string")
+    began = time.monotonic()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, rules).select("page_id", "rule", "verdict").collect()}
+    one = [("x.org/aa", "allow"), ("org/a", "block"), (None, "allow"), (None, "allow"), ("y", "block")]
+    assert got == dict(enumerate(one * 3))
+    assert time.monotonic() - began < 120
+
+
 def test_many_nested_rules(spark):
     rng = random.Random(11)
     hosts = ["a", "b.a", "c.b.a", "d", "b.d"]

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 import re
 import zlib
 
@@ -49,6 +50,40 @@ def test_long_runs_take_no_quadratic_time():
         secrets.base_spans(text)
 
 
+def plain_overlap(spans, kind, start, end, same):
+    return any((k == kind) == same and a < end and start < b for k, a, b in spans)
+
+
+def test_overlaps_found_by_bisection_are_all(spark):
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = [(kind, a, a + rng.randint(1, 3)) for kind in pii.KINDS for a in range(0, 60, 4) if rng.random() < 0.5]
+        held = pii.by_kind(spans)
+        start = rng.randrange(60)
+        end = start + rng.randint(1, 12)
+        for kind in pii.KINDS:
+            assert held[kind].meets(start, end) == plain_overlap(spans, kind, start, end, True)
+            assert any(t.meets(start, end) for k, t in held.items() if k != kind) == plain_overlap(spans, kind, start, end, False)
+        starts, ends = secrets.merged(spans)
+        covered = {i for _, a, b in spans for i in range(a, b)}
+        assert covered == {i for a, b in zip(starts, ends) for i in range(a, b)}
+        assert all(b < a for b, a in zip(ends, starts[1:]))
+
+
+def test_many_spans_take_no_quadratic_time(spark):
+    """Ten megabytes of addresses, and of hashes, in a single text each."""
+    lines = "\n".join(f"mail a{i}@example.org from 10.0.{i % 256}.{i % 251}" for i in range(240_000))
+    detector = pii.Detector(trees=type("Even", (), {"odds": lambda self, x: np.zeros(len(x))})(), least={k: -1.0 for k in pii.KINDS})
+    began = time.monotonic()
+    found = detector.spans(lines)
+    assert len(lines) >= 10_000_000 and sum(s[0] == "email" and s[3] for s in found) == 240_000
+    hashes = " ".join(f"{i:040x}" for i in range(250_000))
+    rows = spark.createDataFrame([(1, hashes)], "doc_id long, text string")
+    (row,) = secrets.candidate_tokens(rows).collect()
+    assert len(row.base) == 250_000 and not row.tokens
+    assert time.monotonic() - began < 300
+
+
 def test_personal_data_of_odd_tables(spark):
     card = "4111 1111 1111 1111"
     texts = [None, "", LONG, f"a@b.co {card}, 10.0.0.1 +1 (017) 555-7713", f"a@b.co {card}, 10.0.0.1 +1 (017) 555-7713"]
@@ -257,6 +292,65 @@ def test_text_beside_the_body_container_is_kept(spark):
     assert main_texts(spark, [links, bare]) == [body, f"Title\nlead\n{body}"]
 
 
+LONG = "The river rose again in the night and the lower fields were under water by dawn. " * 3
+
+# Hand-marked pages: html and the lines that are the article's.
+MARKED = {
+    "wrapper that says it has a sidebar": (
+        f'<div class="with-sidebar"><div class="content"><h1>Title</h1><p>{LONG}</p></div><div class="sidebar">Links here</div></div>',
+        ["Title", LONG],
+    ),
+    "wrapper that is laid out side by side": (f'<div class="side-by-side"><div class="content"><p>{LONG}</p></div></div>', [LONG]),
+    "wrapper with a plain name of noise": (f'<div class="sidebar-layout"><div><h1>Title</h1><p>{LONG}</p></div></div>', ["Title", LONG]),
+    "wrapper named social with an article": (f'<div class="social"><article><h1>T</h1><p>{LONG}</p></article></div>', ["T", LONG]),
+    "header element in an article": (
+        f'<header>Site</header><article><header class="entry-header"><h1>Title</h1></header><p>{LONG}</p></article>',
+        ["Title", LONG],
+    ),
+    "heading named header": (f'<main><h1 class="article-header">Title</h1><p>{LONG}</p></main>', ["Title", LONG]),
+    "heading named header without article": (f'<div class="content"><h1 class="header">Title</h1><p>{LONG}</p></div>', ["Title", LONG]),
+    "container named header in an article": (
+        f'<article><div class="post-header"><h1>Title</h1><p>By a writer</p></div><p>{LONG}</p></article>',
+        ["Title", "By a writer", LONG],
+    ),
+    "alert in an article": (f'<article><p class="alert">Corrected today.</p><p>{LONG}</p></article>', ["Corrected today.", LONG]),
+    "notice and header of the page": (
+        f'<div class="notice">We use cookies.</div><div class="header">Site</div><article><p>{LONG}</p></article>',
+        [LONG],
+    ),
+    "hidden parts": (
+        f'<article><p hidden>Secret</p><p style="color:red; display:none">Gone</p><p title="a hidden gem">{LONG}</p>'
+        f'<p>Seen <span hidden>not <span>this</span></span>again</p></article>',
+        [LONG, "Seen again"],
+    ),
+    "share buttons in a line": (
+        f'<article><p>{LONG}</p><p>Last line.<span class="share-buttons">Share <span>now</span></span></p></article>',
+        [LONG, "Last line."],
+    ),
+    "more comments than article": (
+        f'<article><p>{LONG}</p></article><div class="comments"><article class="comment"><p>{LONG * 4}</p></article></div>',
+        [LONG],
+    ),
+    "comments in the article": (f'<article><p>{LONG}</p><div id="comments"><p>{LONG * 2}</p></div></article>', [LONG]),
+    "only an advert": ('<nav><a href="/">Home</a></nav><div class="ad">Buy this now.</div><footer>Imprint</footer>', []),
+    "only menus": ('<nav><a href="/">Home</a></nav><footer>Imprint</footer>', []),
+}
+
+
+@pytest.mark.parametrize("name", MARKED)
+def test_hand_marked_pages(spark, name):
+    page, lines = MARKED[name]
+    page = f"<html><head><title>x</title></head><body>{page}</body></html>"
+    assert main_text.text_below(main_text.blocks(page), None) == "\n".join(x.strip() for x in lines)
+
+
+def test_hand_marked_pages_of_many_hosts(spark):
+    rows = [(i, f"http://h{i}.org/a", f"<body>{page}</body>") for i, (page, _) in enumerate(MARKED.values())]
+    found = main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in found.collect()}
+    assert got == {i: "\n".join(x.strip() for x in lines) for i, (_, lines) in enumerate(MARKED.values())}
+
+
 def test_embedded_elements_take_no_text_with_them(spark):
     parts = ["<svg class='icon'/>", "<svg><title>i</title><svg>j</svg><text>k</text></svg>", "<object>a<object>b</object>c</object>", "<svg viewBox='0'>"]
     parts += ["<iframe src='x'/>", "<object/>", "<svg><!-- </svg> --><script>'</svg>'</script>m</svg>", "<select><option>n</select>", "<noscript>p</noscript>", "<svg><title/></svg>"]
