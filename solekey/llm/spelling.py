@@ -5,8 +5,9 @@ vector with as many ones as letters. One replaced letter changes two members, on
 or deleted letter one. Members are dealt into a few parts; of words that differ in at most
 two members all parts but two are equal, of those that differ in one all but one. So each
 word gets a signature for every choice of parts to leave out, together with the length at
-which the two words can meet, and only words with an equal signature are compared. The
-signatures miss no pair. An equi-join brings the words together, the edit distance decides.
+which the two words can meet and with its first or its second half, of which one edit leaves
+one as it is. Only words with an equal signature are compared; the signatures miss no pair.
+An equi-join brings the words together, the edit distance decides.
 
 Null words and words that nobody counted have no place in the result; repeated words must be
 summed before. Empty tables give empty tables.
@@ -25,8 +26,8 @@ from solekey.llm.frames import doc_text, map_batches
 from solekey.session import durable
 
 # Parts of which two, or one, are left out.
-PARTS_OF_TWO = 8
-PARTS_OF_ONE = 5
+PARTS_OF_TWO = 4
+PARTS_OF_ONE = 2
 
 # Letters placed by how often they occur; rarer ones are placed by their code point.
 RANKED_LETTERS = 256
@@ -83,14 +84,13 @@ def group_variants(counted: DataFrame, ratio: int = 2) -> DataFrame:
 
 def near_pairs(counted: DataFrame) -> DataFrame:
     """``a, n_a, b, n_b``: every pair of words one edit apart, once."""
-    signed = durable(_signed(counted))
-    part = lambda role: signed.where(F.col("role") == role)
-    apart = F.levenshtein("a", "b", 1) == 1
-    side = lambda df, name: df.select("key", F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
-    same, longer, shorter = part(0), part(1), part(2)
-    replaced = side(same, "a").join(side(same, "b"), "key").where((F.col("a") < F.col("b")) & apart)
-    inserted = side(longer, "a").join(side(shorter, "b"), "key").where(apart)
-    return durable(replaced.drop("key").unionByName(inserted.drop("key")).dropDuplicates(["a", "b"]))
+    signed = _signed(counted)
+    a, b = (signed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("role", "word", "n")]) for x in "ab")
+    roles = (F.col("role_a") == 0) & (F.col("role_b") == 0) & (F.col("word_a") < F.col("word_b"))
+    roles = roles | (F.col("role_a") == 1) & (F.col("role_b") == 2)
+    met = a.join(b, "key").where(roles & (F.levenshtein("word_a", "word_b", 1) == 1))
+    names = {"word_a": "a", "n_a": "n_a", "word_b": "b", "n_b": "n_b"}
+    return durable(met.select(*[F.col(old).alias(new) for old, new in names.items()]).dropDuplicates(["a", "b"]))
 
 
 def _signed(counted: DataFrame) -> DataFrame:
@@ -112,36 +112,56 @@ def _signed(counted: DataFrame) -> DataFrame:
 
 
 def signatures(words: list[str], place: dict[int, int]):
-    """(role, a key for each word) for every choice of parts to leave out."""
-    length = np.array([len(w) for w in words], np.uint64)
+    """(role, a key for each word) for every choice of parts to leave out and each half that is kept."""
+    length = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    whose = np.repeat(np.arange(len(words)), length.astype(np.int64))
+    whose = np.repeat(np.arange(len(words)), length)
+    from_start = np.arange(len(points)) - np.repeat(np.cumsum(length) - length, length)
+    from_end = np.repeat(length, length) - 1 - from_start
     order = np.lexsort((points, whose))
     first = np.ones(len(order), bool)
     first[1:] = (np.diff(points[order]) != 0) | (np.diff(whose[order]) != 0)
     at = np.arange(len(order))
     nth = np.empty(len(order), np.int64)
     nth[order] = at - np.maximum.accumulate(np.where(first, at, 0))  # 0 for the first of its kind in the word
-    members = _mixed(points.astype(np.uint64) * np.uint64(1 << 32) + nth.astype(np.uint64))
     different, back = np.unique(points, return_inverse=True)
     spot = np.array([place.get(int(p), int(p)) for p in different], np.int64)[back] + nth
 
-    def parts(n):
-        sums = np.zeros((len(words), n), np.uint64)
-        np.add.at(sums, (whose, spot % n), members)
-        return sums
+    def hashed(more, salt):
+        return _mixed((points.astype(np.uint64) << np.uint64(32)) + (more.astype(np.uint64) << np.uint64(2)) + np.uint64(salt))
 
-    two, one = parts(PARTS_OF_TWO), parts(PARTS_OF_ONE)
-    whole = one.sum(axis=1, dtype=np.uint64)
+    def total(values, where):
+        out = np.zeros(len(words), np.uint64)
+        np.add.at(out, whose[where], values[where])
+        return out
 
-    def key(rest, meet, choice):
-        return _mixed(rest + _mixed(meet * np.uint64(1 << 16) + np.uint64(choice))).view(np.int64)
+    members, heads, tails = hashed(nth, 1), hashed(from_start, 2), hashed(from_end, 3)
 
-    for choice, (i, j) in enumerate(combinations(range(PARTS_OF_TWO), 2)):
-        yield 0, key(whole - two[:, i] - two[:, j], length, choice)
-    for i in range(PARTS_OF_ONE):
-        for role in (1, 2):
-            yield role, key(whole - one[:, i], length + np.uint64(role - 1), 1 << 10 | i)
+    def parts(n):
+        return [total(members, spot % n == i) for i in range(n)]
+
+    def halves(size):
+        """Hashes of the first half of ``size`` letters and of the last ones that make up the rest."""
+        half = size // 2
+        return total(heads, from_start < np.repeat(half, length)), total(tails, from_end < np.repeat(size - half, length))
+
+    def keys(left_out, all_parts, meet, kept, choice):
+        rest = sum(p for i, p in enumerate(all_parts) if i not in left_out)
+        for side, half in enumerate(kept):
+            mark = _mixed((meet.astype(np.uint64) << np.uint64(16)) + np.uint64(choice << 1 | side))
+            yield _mixed(_mixed(half + mark) + rest).view(np.int64)
+
+    none = np.zeros(len(words), np.uint64)
+    two, one = [none, *parts(PARTS_OF_TWO)], [none, *parts(PARTS_OF_ONE)]
+    same, longer = halves(length), halves(length - 1)
+    for choice, (i, j) in enumerate(combinations(range(1, PARTS_OF_TWO + 1), 2)):
+        for key in keys((i, j), two, length, same, choice):
+            yield 0, key
+    for i in range(1, PARTS_OF_ONE + 1):
+        for key in keys((i,), one, length, longer, 1 << 10 | i):
+            yield 1, key
+        for key in keys((i,), one, length + 1, same, 1 << 10 | i):
+            yield 2, key
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
