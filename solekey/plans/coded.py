@@ -13,7 +13,7 @@ from solekey.functions.combos import column
 from solekey.functions import codes as C
 from solekey.plans import groups as G
 from solekey.plans.groups import Combo, Counts
-from solekey.session import combinations_per_job, is_small, spread
+from solekey.session import is_small, roomy, spread
 
 NULLS = ("equal", "distinct")
 MAX_SLOTS = 4
@@ -61,19 +61,14 @@ class CodedTable:
     def layout(self, combos: Sequence[Combo]) -> list[tuple[int, ...]]:
         return [tuple(s for col in combo for s in self.slots[col]) for combo in combos]
 
-    def batches(self, combos: Sequence[Combo], n_rows: int | None = None):
-        step = combinations_per_job(self.spark, self.n_rows if n_rows is None else n_rows)
-        for at in range(0, len(combos), step):
-            yield combos[at : at + step]
-
     def counts(self, combos: Sequence[Combo], skip_nulls: bool, rows: DataFrame | None = None, n_rows=None):
-        """Exact group statistics of every combination, by one job per batch."""
+        """Exact group statistics of every combination; one read of the codes for all of them."""
+        if not combos:
+            return {}
         frame = self.frame if rows is None else rows
-        found: dict[Combo, Counts] = {}
-        for batch in self.batches(combos, n_rows):
-            sized = G.sizes(G.cells(frame, self.layout(batch), skip_nulls))
-            found.update(zip(batch, G.read_counts(G.summary(sized), len(batch))))
-        return found
+        with roomy(self.spark, len(combos) * (self.n_rows if n_rows is None else n_rows)):
+            sized = G.sizes(G.cells(frame, self.layout(combos), skip_nulls))
+            return dict(zip(combos, G.read_counts(G.summary(sized), len(combos))))
 
     def column_counts(self, col: int, skip_nulls: bool) -> Counts:
         """Statistics of a single column under the null rule, from the counts already made."""
@@ -89,6 +84,19 @@ class CodedTable:
             seen.repeated_rows + (empty if again else 0),
         )
 
+    def profile(self) -> list[tuple[int, int]]:
+        """(nulls, about how many different values) of every column, by sketches that tasks merge."""
+        codes = [F.xxhash64(*[f"s{s}" for s in slots]) if len(slots) > 1 else F.col(f"s{slots[0]}") for slots in self.slots]
+        firsts = [F.count(f"s{slots[0]}").alias(f"c{i}") for i, slots in enumerate(self.slots)]
+        row = self.frame.agg(*firsts, *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(codes)]).first()
+        return [(self.n_rows - row[f"c{i}"], row[f"d{i}"]) for i in range(len(self.slots))]
+
+    def reorder(self, order: Sequence[int]) -> None:
+        """Number the columns anew: column i is the one that was number order[i]."""
+        for name in ("names", "slots", "wide", "single", "nulls"):
+            old = getattr(self, name)
+            setattr(self, name, [old[i] for i in order])
+
     def keep(self, cols: Sequence[int]) -> None:
         """Store only the code columns of `cols`, for use by several passes."""
         wanted = sorted({s for col in cols for s in self.slots[col]})
@@ -172,20 +180,20 @@ def _collided(table: CodedTable, cols: Sequence[int]) -> list[int]:
         else:
             whole.setdefault(table.source.schema[table.names[c]].dataType.simpleString(), []).append(c)
     for same_type in whole.values():
-        for batch in table.batches(same_type):
-            pairs = F.array(
-                *[F.struct(F.lit(c).alias("col"), column(table.names[c]).alias("value")) for c in batch]
-            )
-            distinct = (
-                table.source.select(F.explode(pairs).alias("p"))
-                .select("p.*")
-                .where(F.col("value").isNotNull())
-                .distinct()
-                .groupBy("col")
-                .count()
-            )
+        pairs = F.array(
+            *[F.struct(F.lit(c).alias("col"), column(table.names[c]).alias("value")) for c in same_type]
+        )
+        distinct = (
+            table.source.select(F.explode(pairs).alias("p"))
+            .select("p.*")
+            .where(F.col("value").isNotNull())
+            .distinct()
+            .groupBy("col")
+            .count()
+        )
+        with roomy(table.spark, table.n_rows * len(same_type)):
             found = {r["col"]: r["count"] for r in distinct.collect()}
-            failed += [c for c in batch if found.get(c, 0) != table.single[c].groups]
+        failed += [c for c in same_type if found.get(c, 0) != table.single[c].groups]
     return sorted(failed)
 
 

@@ -49,13 +49,13 @@ def depth_of(layout: Sequence[Sequence[int]]) -> int:
     return max(len(slots) for slots in layout)
 
 
-def plan_of(layout: Sequence[Sequence[int]], position: dict[int, int], numbers: Iterable[int], owners=None) -> Column:
+def plan_of(layout, position: dict[int, int], numbers: Iterable[int], owners=None, depth: int | None = None) -> Column:
     """A constant array with one entry per combination: its number and where its keys are."""
-    depth = depth_of(layout)
+    depth = depth_of(layout) if depth is None else depth
     entries = []
     for i, number in enumerate(numbers):
         entry = {"combo": number} if owners is None else {"combo": number, "owner": owners[i]}
-        entry |= {f"p{j}": position[slot] for j, slot in enumerate(layout[i])}
+        entry |= {f"p{j}": position[slot] for j, slot in enumerate(layout[i]) if slot is not None}
         entries.append(entry)
     fields = ["combo int"] + (["owner int"] if owners is not None else []) + [f"p{j} int" for j in range(depth)]
     return F.from_json(F.lit(json.dumps(entries)), f"array<struct<{','.join(f.replace(' ', ':') for f in fields)}>>")
@@ -73,11 +73,16 @@ def complete(entry: str, depth: int) -> Column:
     return ok
 
 
-def cells(rows: DataFrame, layout: Sequence[Sequence[int]], skip_nulls: bool) -> DataFrame:
-    """(combo, k0, k1, ...): one cell per row and combination; `layout` lists code columns s<i>."""
-    depth = depth_of(layout)
-    used = sorted({slot for slots in layout for slot in slots})
-    plan = plan_of(layout, {slot: i for i, slot in enumerate(used)}, range(len(layout)))
+def cells(
+    rows: DataFrame, layout: Sequence[Sequence[int | None]], skip_nulls: bool, numbers=None, depth: int | None = None
+) -> DataFrame:
+    """(combo, k0, k1, ...): one cell per row and combination; `layout` lists code columns s<i>.
+
+    Combinations are numbered from 0, or by `numbers`; there are `depth` keys, or as many as needed.
+    """
+    depth = depth_of(layout) if depth is None else depth
+    used = sorted({slot for slots in layout for slot in slots if slot is not None})
+    plan = plan_of(layout, {slot: i for i, slot in enumerate(used)}, numbers or range(len(layout)), depth=depth)
     exploded = rows.select(F.array(*[F.col(f"s{slot}") for slot in used]).alias("codes")).select(
         "codes", F.explode(plan).alias("entry")
     )

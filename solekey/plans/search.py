@@ -13,13 +13,18 @@ drops it. Constant and equivalent columns are special cases.
 
 Counting in full leaves behind the keys that repeat. A superset can only repeat within
 those rows, so it is checked on them alone; the pools shrink from level to level.
+
+What a level has to ask of the whole table it asks in a few waves, each of which reads the
+codes once for all its combinations (plans.waves). Columns are numbered by how many different
+values they have, most first, so that combinations with a prefix in common are few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from math import isqrt, prod
+from functools import reduce
+from math import isqrt
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -28,13 +33,22 @@ from pyspark.sql import functions as F
 from solekey.operators.frames import combination_frame
 from solekey.operators.lattice import describe, next_candidates
 from solekey.plans import groups as G
+from solekey.plans import waves
+from solekey.plans.bounds import cover_bound
 from solekey.plans.coded import BROADCAST_ROWS, CodedTable, check_nulls, code_table, small_side
+from solekey.plans.dual import find_dual
 from solekey.plans.groups import Combo, Counts
-from solekey.session import durable
+from solekey.plans.state import SearchState
+from solekey.session import durable, roomy, temporary
 
 SAMPLE_FLOOR = 20_000
 SAMPLE_PER_ROOT = 64
-SAMPLE_GROWTH = 4
+
+# A coherent sample of a column is used if it has at most so many times the rows of the uniform one.
+COHERENT_EXCESS = 4
+
+# Columns with about so many values at most are counted exactly, for bounds.
+FEW_VALUES = 1_000
 
 # Columns with more different values than this are not cheap to read and hash again.
 MANY_VALUES = 100_000
@@ -43,8 +57,8 @@ MANY_VALUES = 100_000
 # of a level together have no more rows than the table.
 POOL_SHARE = 32
 
-# Growing samples up to this part of the table are drawn in one pass and written.
-DRAWN_SHARE = 8
+
+METHODS = ("levels", "dual")
 
 
 def sample_target(n_rows: int) -> int:
@@ -55,7 +69,7 @@ def sample_target(n_rows: int) -> int:
 class Pool:
     """Rows that repeat under some combinations: (owner int, codes array<bigint>)."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     owners: dict[Combo, int]
     n_rows: dict[Combo, int]
 
@@ -75,86 +89,170 @@ def minimal_uccs(
     nulls: str = "equal",
     max_candidates: int | None = None,
     sample_rows: int | None = None,
+    method: str = "levels",
+    resume: str | None = None,
 ) -> DataFrame:
     """All minimal unique column combinations: (ucc, columns, arity).
 
     max_arity ends the search at combinations of that size. With max_candidates, a level
     of more combinations raises an error; nothing is ever left out silently. sample_rows
-    sets the size of the first sample: it changes the plan, never the answer.
+    sets the size of the first sample: it changes the plan, never the answer. So does method:
+    "levels" goes up level by level, "dual" through the sets of columns that rows agree on,
+    which suits wide tables. With the name resume, a search by levels keeps what it knows in
+    the shared folder after every level; called again under that name, also by another
+    driver, it goes on from there. The state is deleted when the search ends.
     """
-    found, names = find(df, max_arity, nulls, max_candidates, sample_rows)
+    found, names = find(df, max_arity, nulls, max_candidates, sample_rows, method, resume)
     return describe(combination_frame(df.sparkSession, sorted(found, key=lambda c: (len(c), c))), names)
 
 
-def find(df, max_arity=None, nulls="equal", max_candidates=None, sample_rows=None):
-    """The combinations as ordinals, and the column names."""
+def find(df, max_arity=None, nulls="equal", max_candidates=None, sample_rows=None, method="levels", resume=None):
+    """The combinations as ordinals, and the column names. Frames written on the way are deleted."""
     skip_nulls = check_nulls(nulls)
     if max_arity is not None and max_arity < 1:
         raise ValueError("max_arity must be at least 1")
-    table = code_table(df, reuse=True, stats=False)
-    search = _Search(table, skip_nulls, max_candidates, sample_rows)
-    try:
-        return search.run(max_arity), table.names
-    finally:
-        search.release()
-        table.release()
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
+    if resume is not None and method != "levels":
+        raise ValueError("only a search by levels can be resumed")
+    with temporary(df.sparkSession):
+        table = code_table(df, reuse=True, stats=False)
+        names, order, search = table.names, list(range(len(table.names))), None
+        try:
+            profile = table.profile() if table.n_rows > 1 else []
+            order.sort(key=lambda c: -profile[c][1] if profile else 0)
+            table.reorder(order)
+            profile = [profile[c] for c in order] if profile else []
+            search = _Search(table, skip_nulls, max_candidates, sample_rows, profile)
+            if resume is not None:
+                about = {"columns": df.dtypes, "rows": table.n_rows, "nulls": nulls, "max_arity": max_arity, "order": order}
+                search.state = SearchState(df.sparkSession, resume, about)
+            found = search.run_dual(max_arity) if method == "dual" else search.run(max_arity)
+        finally:
+            if search:
+                search.release()
+            table.release()
+    return [tuple(sorted(order[c] for c in combo)) for combo in found], names
 
 
 class _Search:
-    def __init__(self, table: CodedTable, skip_nulls: bool, max_candidates: int | None, sample_rows: int | None):
+    def __init__(self, table: CodedTable, skip_nulls: bool, max_candidates: int | None, sample_rows, profile):
         self.table = table
         self.spark = table.spark
-        self.skip_nulls = skip_nulls
         self.max_candidates = max_candidates
         self.sample_rows = sample_target(table.n_rows) if sample_rows is None else sample_rows
         self.sampled: DataFrame | None = None
         self.sample_is_table = False
-        self.nulls = [0] * len(table.names)
+        self.nulls = [empty for empty, _ in profile] if skip_nulls else [0] * len(table.names)
+        self.skip_nulls = skip_nulls and any(self.nulls)  # a table without any follows the simpler rule
+        self.profile = profile
         self.known: dict[Combo, Counts] = {}  # full counts of single columns
+        self.bounds: dict[Combo, int] = {}  # no combination has more different keys
         self.slots: list[int] = []
         self.held: list[DataFrame] = []
-        self.drawn: DataFrame | None = None
+        self.coherent: Pool | None = None
+        self.settled = 0  # by bounds alone
+        self.state: SearchState | None = None
 
     def run(self, max_arity: int | None) -> list[Combo]:
         table = self.table
         singles = [(c,) for c in range(len(table.names))]
         if table.n_rows <= 1 or not singles:
             return singles
-        if self.skip_nulls:
-            self._count_nulls()
         if self._worth_storing():
             table.keep(range(len(singles)))
+        if self.state and (kept := self.state.read()):
+            size, uccs, level = self._remembered(*kept)
+        else:
+            size, uccs, level = self._first_level(singles, max_arity)
+        while level.in_sample and (max_arity is None or size < max_arity):
+            candidates = self._candidates(level)
+            size += 1
+            if not candidates:
+                break
+            found, level = self._check(candidates, level, last=size == max_arity)
+            uccs += found
+            self._remember(size, uccs, level)
+        if self.state:
+            self.state.clear()
+        return uccs
+
+    def run_dual(self, max_arity: int | None) -> list[Combo]:
+        table = self.table
+        if table.n_rows <= 1 or not table.names:
+            return [(c,) for c in range(len(table.names))]
+        if self._worth_storing():
+            table.keep(range(len(table.names)))
+        self._take_sample()
+        sample = None if self.sample_is_table else self.sampled
+        return find_dual(table, sample, self.sample_rows, self.skip_nulls, max_arity, self.max_candidates)
+
+    def _first_level(self, singles: list[Combo], max_arity: int | None) -> tuple[int, list[Combo], Level]:
+        """Single columns: the size 1, the unique ones, and what is known of the others."""
+        table = self.table
         self._take_sample()
         in_sample = self._sample_counts(singles)
         self.known = in_sample if self.sample_is_table else self._count_columns(in_sample)
+        self._count_few_values()
         uccs = [c for c in singles if c in self.known and self.known[c].is_unique]
         rest = [c for c in singles if c not in uccs and not self._decides_nothing(c)]
         if len(rest) < 2 or max_arity == 1:
-            return uccs
+            return 1, uccs, Level({})
         self.slots = sorted({s for (c,) in rest for s in table.slots[c]})
         if self._rows_repeat(tuple(c for (c,) in rest)):
-            return uccs
+            return 1, uccs, Level({})
         level = Level(
             {c: in_sample[c].excess for c in rest}, {c: self.known[c].excess for c in rest if c in self.known}
         )
-        size = 1
-        while level.in_sample and (max_arity is None or size < max_arity):
-            candidates = self._candidates(level)
-            size += 1
-            if not candidates:
-                break
-            found, level = self._check(candidates, level, last=size == max_arity)
-            uccs += found
-        return uccs
+        self._remember(1, uccs, level)
+        return 1, uccs, level
+
+    # -- state kept for another driver -------------------------------------------
+
+    def _remember(self, size: int, uccs: list[Combo], level: Level) -> None:
+        if not self.state or not level.in_sample:
+            return
+        pairs = lambda found: [[list(c), n] for c, n in found.items()]
+        facts = {
+            "size": size,
+            "uccs": [list(c) for c in uccs],
+            "slots": self.slots,
+            "in_sample": pairs(level.in_sample),
+            "in_full": pairs(level.in_full),
+            "bounds": pairs(self.bounds),
+            "sample_is_table": self.sample_is_table,
+        }
+        frames = {} if self.sample_is_table else {"sample": self.sampled}
+        if level.pool:
+            facts |= {"owners": pairs(level.pool.owners), "n_rows": pairs(level.pool.n_rows)}
+            frames["pool"] = level.pool.rows
+        self.state.write(size, facts, frames)
+
+    def _remembered(self, facts: dict, frames: dict[str, DataFrame]) -> tuple[int, list[Combo], Level]:
+        known = lambda pairs: {tuple(c): n for c, n in pairs}
+        self.slots, self.bounds = facts["slots"], known(facts["bounds"])
+        self.sample_is_table = facts["sample_is_table"]
+        self.sampled = self.table.frame if self.sample_is_table else durable(frames["sample"])
+        pool = None
+        if "pool" in frames:
+            # Copied, as the level's folder goes when the next level is finished.
+            pool = Pool(durable(frames["pool"]), known(facts["owners"]), known(facts["n_rows"]))
+        level = Level(known(facts["in_sample"]), known(facts["in_full"]), pool)
+        return facts["size"], [tuple(c) for c in facts["uccs"]], level
 
     # -- single columns ----------------------------------------------------------
 
-    def _count_nulls(self) -> None:
-        """Nulls per column, by one scan; a table without any follows the simpler rule."""
-        firsts = [F.count(f"s{slots[0]}").alias(f"c{c}") for c, slots in enumerate(self.table.slots)]
-        row = self.table.frame.agg(*firsts).first()
-        self.nulls = [self.table.n_rows - present for present in row]
-        self.skip_nulls = any(self.nulls)
+    def _count_few_values(self) -> None:
+        """Exact numbers of values, for bounds: of columns counted before, and of those with few values."""
+        empty = [n if not self.skip_nulls else 0 for n, _ in self.profile]
+        self.bounds = {c: s.groups for c, s in self.known.items()}
+        few = [c for c, (_, n) in enumerate(self.profile) if n <= FEW_VALUES and (c,) not in self.bounds]
+        if few:
+            values = [F.struct(*[f"s{s}" for s in self.table.slots[c]]) for c in few]
+            present = [F.when(F.col(f"s{self.table.slots[c][0]}").isNotNull(), v) for c, v in zip(few, values)]
+            sizes = [F.size(F.collect_set(v)).alias(str(c)) for c, v in zip(few, present)]
+            row = self.table.frame.agg(*sizes).first()
+            self.bounds |= {(c,): row[str(c)] + (1 if empty[c] else 0) for c in few}
 
     def _count_columns(self, in_sample: dict[Combo, Counts]) -> dict[Combo, Counts]:
         """Full counts of the columns that need them.
@@ -247,51 +345,42 @@ class _Search:
         finally:
             repeated.unpersist()
 
-    def _growing_samples(self):
-        """(rows, n_rows) of ever larger samples, up to half of the table."""
-        n_rows = self.sample_rows * SAMPLE_GROWTH
-        while n_rows * 2 <= self.table.n_rows:
-            share = n_rows / self.table.n_rows
-            if self.table.stored is None and n_rows * DRAWN_SHARE <= self.table.n_rows:
-                yield self._drawn_rows().where(F.col("draw") < share), n_rows
-            else:
-                yield self.table.frame.sample(share, seed=23), n_rows
-            n_rows *= SAMPLE_GROWTH
-
-    def _drawn_rows(self) -> DataFrame:
-        """Rows with a random number below 1 / DRAWN_SHARE; smaller samples are filters on it.
-
-        Drawn at the first use and written, so that later samples, batches and levels don't
-        read and code the source again.
-        """
-        if self.drawn is None:
-            numbered = self.table.frame.withColumn("draw", F.rand(23))
-            self.drawn = durable(numbered.where(F.col("draw") < 1 / DRAWN_SHARE))
-        return self.drawn
-
     def _refute(self, combos: list[Combo]) -> list[Combo]:
-        """On the last level: larger samples, so that few non-unique sets are counted in full."""
-        for rows, n_rows in self._growing_samples() if combos else ():
-            counted = self.table.counts(combos, self.skip_nulls, rows, n_rows)
-            left = [c for c in combos if counted[c].is_unique]
-            settled = len(combos) - len(left)
-            combos = left
-            if settled < len(left):
-                break  # most are unique or nearly so; more samples would only delay the proof
-        return combos
-
-    def _still_open(self, suspects: dict[Combo, list[Combo]]) -> dict[Combo, list[Combo]]:
-        """Suspects (C: parts with the same excess) that larger samples cannot tell apart either."""
-        for rows, n_rows in self._growing_samples() if suspects else ():
-            need = sorted(set(suspects).union(*suspects.values()))
-            counted = self.table.counts(need, self.skip_nulls, rows, n_rows)
-            left = {c: [p for p in ps if counted[p].excess == counted[c].excess] for c, ps in suspects.items()}
-            left = {c: ps for c, ps in left.items() if ps}
-            settled = len(suspects) - len(left)
-            suspects = left
-            if settled < len(left):
-                break
-        return suspects
+        """On the last level: the combinations without a repeat in the coherent sample of their first column."""
+        self._draw_coherent({c[0] for c in combos})
+        pool = self.coherent
+        drawn = [c for c in combos if (c[0],) in pool.owners]
+        if not drawn:
+            return combos
+        position = {slot: i for i, slot in enumerate(self.slots)}
+        owners = [pool.owners[(c[0],)] for c in drawn]
+        with roomy(self.spark, sum(pool.n_rows[(c[0],)] for c in drawn)):
+            cells = _pool_cells(pool.rows, self.table.layout(drawn), position, owners, self.skip_nulls)
+            counts = G.read_counts(G.summary(G.sizes(cells).where(F.col("size") > 1)), len(drawn))
+        refuted = {c for c, s in zip(drawn, counts) if s.rows}
+        return [c for c in combos if c not in refuted]
+
+    def _draw_coherent(self, columns: set[int]) -> None:
+        """For each column a sample with all rows of every value in it, so that repeats stay together.
+
+        Which values are drawn is up to their hash. A column whose draw has far more rows than
+        wanted, because a drawn value is frequent, gets no sample.
+        """
+        share = self.sample_rows / self.table.n_rows
+        drawn = {
+            c: (F.shiftrightunsigned(F.xxhash64(F.lit(31), *[f"s{s}" for s in self.table.slots[c]]), 11) / float(2**53) < share)
+            & (F.lit(True) if not self.skip_nulls else F.col(f"s{self.table.slots[c][0]}").isNotNull())
+            for c in sorted(columns)
+        }
+        row = self.table.frame.agg(*[F.count_if(hit).alias(str(c)) for c, hit in drawn.items()]).first()
+        usable = {c: n for c in drawn if 0 < (n := row[str(c)]) <= COHERENT_EXCESS * self.sample_rows}
+        owners = {(c,): i for i, c in enumerate(usable)}
+        which = F.array_compact(F.array(*[F.when(drawn[c], F.lit(i)) for (c,), i in owners.items()]))
+        codes = F.array(*[F.col(f"s{slot}") for slot in self.slots]).alias("codes")
+        rows = None
+        if usable:
+            rows = durable(self.table.frame.select(F.explode(which).alias("owner"), codes))
+        self.coherent = Pool(rows, owners, {(c,): n for c, n in usable.items()})
 
     def _always_counts(self, col: int) -> bool:
         """Leaving the column out of a combination does not change which rows it looks at."""
@@ -305,52 +394,46 @@ class _Search:
     # -- one level ----------------------------------------------------------------
 
     def _check(self, candidates: list[Combo], before: Level, last: bool) -> tuple[list[Combo], Level]:
-        sampled = {c: s.excess for c, s in self._sample_counts(self._open(candidates, last)).items()}
+        known = {c for c in candidates if self._too_few_keys(c)}
+        self.settled += len(known)
+        asked = [c for c in candidates if not (last and c in known)]
+        sampled = {c: s.excess for c, s in self._sample_counts(asked).items()}
         earlier = len(self.held)
-        pool = None
+        pool, dropped = None, set()
         if self.sample_is_table:
             full = sampled
         else:
-            survivors = [c for c in sampled if sampled[c] == 0]
+            survivors = [c for c in sampled if sampled[c] == 0 and c not in known]
             if last:
                 pooled = [c for c in survivors if self._parent(c, before.pool) is not None]
-                survivors = pooled + self._refute([c for c in survivors if c not in pooled])
+                rest = [c for c in survivors if c not in pooled]
+                survivors = pooled + (self._refute(rest) if rest else [])
             full, pool = self._count_survivors(survivors, before, last)
             self._unpersist(earlier)
             if not last:
-                self._count_followers(sampled, full, before)
+                dropped = set(self._determined(sampled, before))
+        self.bounds |= {c: self.table.n_rows - excess for c, excess in full.items()}
         uccs = [c for c in candidates if full.get(c) == 0]
         if last:
             return uccs, Level({})
         kept = {
             c: sampled[c]
             for c in candidates
-            if full.get(c) != 0 and not (c in full and self._followers(c, full[c], before.in_full))
+            if full.get(c) != 0
+            and c not in dropped
+            and not (c in full and self._followers(c, full[c], before.in_full))
         }
         return uccs, Level(kept, full, pool)
 
-    def _open(self, candidates: list[Combo], last: bool) -> list[Combo]:
-        """On the last level: without the sets known to have too few different keys."""
-        return [c for c in candidates if not (last and self._too_few_keys(c))]
-
     def _too_few_keys(self, combo: Combo) -> bool:
-        counted = [self.known.get((col,)) for col in combo]
-        if None in counted:
-            return False
+        """Known counts leave fewer different keys than rows: the combination repeats, without a job."""
         missing = sum(self.nulls[col] for col in combo) if self.skip_nulls else 0
-        return prod(s.groups for s in counted) < self.table.n_rows - missing
-
-    def _count_followers(self, sampled: dict[Combo, int], full: dict[Combo, int], before: Level) -> None:
-        """Count in full where the sample leaves open whether a column follows from the rest."""
-        open_sets = {c: self._followers(c, sampled[c], before.in_sample) for c in sampled if sampled[c]}
-        open_sets = self._still_open({c: parts for c, parts in open_sets.items() if parts})
-        parts = {p for ps in open_sets.values() for p in ps if p not in before.in_full}
-        need = sorted(set(open_sets) | parts)
-        if not need:
-            return
-        counted = self.table.counts(need, self.skip_nulls)
-        before.in_full.update({p: counted[p].excess for p in parts})
-        full.update({c: counted[c].excess for c in open_sets})
+        return cover_bound(combo, self.bounds) < self.table.n_rows - missing
+
+    def _determined(self, sampled: dict[Combo, int], before: Level) -> dict[Combo, list[Combo]]:
+        """Combinations in which one column follows from the rest, where the sample leaves that open."""
+        suspects = {c: self._followers(c, sampled[c], before.in_sample) for c in sampled if sampled[c]}
+        return waves.determined(self.table, {c: parts for c, parts in suspects.items() if parts}, self.skip_nulls)
 
     # -- counting in full ------------------------------------------------------
 
@@ -361,53 +444,47 @@ class _Search:
         pooled = [c for c in combos if parent[c] is not None]
         fresh = [c for c in combos if parent[c] is None]
         position = {slot: i for i, slot in enumerate(self.slots)}
-        jobs = []  # (rows with owner and codes, combinations, their owners)
-        if pooled:
-            jobs.append((pool.rows, pooled, [pool.owners[parent[c]] for c in pooled]))
-        whole = self.table.frame.select(
-            F.lit(0).alias("owner"), F.array(*[F.col(f"s{slot}") for slot in self.slots]).alias("codes")
-        )
-        jobs += [(whole, batch, [0] * len(batch)) for batch in self.table.batches(fresh)]
-
         excess: dict[Combo, int] = {}
+        kept = Pool(None, {}, {})
         parts: list[DataFrame] = []
-        owners: dict[Combo, int] = {}
-        n_rows: dict[Combo, int] = {}
-        spare = self.table.n_rows
-        for rows, batch, batch_owners in jobs:
-            first = len(owners)
-            layout = self.table.layout(batch)
-            if rows is whole:
-                keyed = self._likely_repeats(G.cells(self.table.frame, layout, self.skip_nulls))
-            else:
-                keyed = _pool_cells(rows, layout, position, batch_owners, self.skip_nulls)
-            repeated = G.sizes(keyed).where(F.col("size") > 1).persist(StorageLevel.MEMORY_AND_DISK)
-            self.held.append(repeated)
-            counts = G.read_counts(G.summary(repeated), len(batch))
-            excess.update({c: s.excess for c, s in zip(batch, counts)})
-            usable = [] if last else self._poolable(counts, spare)
+
+        def add(rows, batch, batch_owners, keys, counts) -> None:
+            """Put the rows of the batch's repeated keys into the next pool, as far as there is room."""
+            usable = [] if last else self._poolable(counts, self.table.n_rows - sum(kept.n_rows.values()))
             if not usable:
-                continue
-            owners.update({batch[i]: first + n for n, i in enumerate(usable)})
-            n_rows.update({batch[i]: counts[i].rows for i in usable})
-            spare -= sum(counts[i].rows for i in usable)
-            parts.append(
-                _repeated_rows(
-                    rows,
-                    [layout[i] for i in usable],
-                    position,
-                    [batch_owners[i] for i in usable],
-                    repeated.where(F.col("combo").isin(usable)),
-                    {i: first + n for n, i in enumerate(usable)},
-                )
+                return
+            first = len(kept.owners)
+            new_owner = {i: first + n for n, i in enumerate(usable)}
+            kept.owners.update({batch[i]: owner for i, owner in new_owner.items()})
+            kept.n_rows.update({batch[i]: counts[i].rows for i in usable})
+            layout = self.table.layout([batch[i] for i in usable])
+            own = [batch_owners[i] for i in usable]
+            parts.append(_repeated_rows(rows, layout, position, own, keys.where(F.col("combo").isin(usable)), new_owner))
+
+        if pooled:
+            owners = [pool.owners[parent[c]] for c in pooled]
+            with roomy(self.spark, sum(pool.n_rows[parent[c]] for c in pooled)):
+                cells = _pool_cells(pool.rows, self.table.layout(pooled), position, owners, self.skip_nulls)
+                keys = G.sizes(cells).where(F.col("size") > 1).persist(StorageLevel.MEMORY_AND_DISK)
+                self.held.append(keys)
+                counts = G.read_counts(G.summary(keys), len(pooled))
+            excess.update({c: s.excess for c, s in zip(pooled, counts)})
+            add(pool.rows, pooled, owners, keys, counts)
+        if fresh:
+            most = 0 if last else self.table.n_rows // POOL_SHARE
+            found = waves.repeats(self.table, fresh, self.skip_nulls, lambda s: s.rows > most, self.held)
+            excess.update({c: s.excess for c, s in found.counts.items() if c not in found.refuted})
+            whole = self.table.frame.select(
+                F.lit(0).alias("owner"), F.array(*[F.col(f"s{slot}") for slot in self.slots]).alias("codes")
             )
+            if found.keys:
+                counts = [G.NOTHING if c in found.refuted else found.counts[c] for c in fresh]
+                add(whole, fresh, [0] * len(fresh), reduce(DataFrame.unionByName, found.keys), counts)
         if not parts:
             return excess, None
-        together = parts[0]
-        for part in parts[1:]:
-            together = together.unionByName(part)
         # Written once: later levels must not fall back on the full passes behind it.
-        return excess, Pool(durable(together), owners, n_rows)
+        kept.rows = durable(reduce(DataFrame.unionByName, parts))
+        return excess, kept
 
     def _poolable(self, counts: list[Counts], spare: int) -> list[int]:
         """Combinations with few repeated rows, fewest keys first.
@@ -422,24 +499,6 @@ class _Search:
                 spare -= s.rows
         return sorted(usable)
 
-    def _likely_repeats(self, cells: DataFrame) -> DataFrame:
-        """The cells that may repeat: cells whose hash occurs once do not.
-
-        Shuffles one long per cell instead of all its keys. The combinations that come here
-        hardly repeat, so few hashes are left and the cells that have them are found without
-        a shuffle; with more hashes than can be broadcast all cells are grouped.
-        """
-        hashed = cells.withColumn("h", F.xxhash64(*cells.columns))
-        repeated = hashed.groupBy("h").count().where(F.col("count") > 1).select("h")
-        repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
-        self.held.append(repeated)
-        found = repeated.count()
-        if found > BROADCAST_ROWS:
-            return cells
-        if not found:
-            return cells.limit(0)
-        return hashed.join(F.broadcast(repeated), "h", "left_semi").drop("h")
-
     def _parent(self, combo: Combo, pool: Pool | None) -> Combo | None:
         if pool is None:
             return None

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,14 @@ RECOMMENDED = {
 # is a handful of 8-byte keys, so this is on the order of 100 MB per partition.
 CELLS_PER_PARTITION = 2_000_000
 
+# Shuffle partitions of one job at most; beyond them partitions grow and spill.
+MOST_PARTITIONS = 100_000
+
+PARTITION_SETTINGS = (
+    "spark.sql.shuffle.partitions",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+)
+
 # Below this a table has too few rows per core for its own splits to be of use.
 ROWS_PER_CORE = 100_000
 
@@ -48,18 +59,81 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write the frame once; later reads survive executor loss and see the same rows."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _written(df, getattr(_local, "scopes", None))
+
+
+def _written(df: DataFrame, scopes: list[list[str]] | None) -> DataFrame:
+    written = df.checkpoint(eager=True)
+    if scopes:
+        file = written._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            scopes[-1].append(file.get())
+    return written
+
+
+_local = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What durable() writes inside is deleted at the end, also after an error; nothing may read it later.
+
+    Gives a function that writes a frame for use after the end.
+    """
+    scopes = _local.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield lambda df: _written(df, scopes[:-1])
+    finally:
+        for path in scopes.pop():
+            delete(spark, path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, hadoop = file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, the same for every session; else this session's own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
-    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get(PARTITION_SETTINGS[1], None) or spark.conf.get(PARTITION_SETTINGS[0]))
+
+
+def room(spark: SparkSession) -> int:
+    """Cells that a job may deal out with the session's own number of shuffle partitions."""
+    return shuffle_partitions(spark) * CELLS_PER_PARTITION
 
 
-def combinations_per_job(spark: SparkSession, n_rows: int, most: int = 256) -> int:
-    """How many combinations one job may check so that its shuffle partitions stay small."""
-    room = shuffle_partitions(spark) * CELLS_PER_PARTITION
-    return max(1, min(most, room // max(1, n_rows)))
+@contextmanager
+def roomy(spark: SparkSession, n_cells: int) -> Iterator[None]:
+    """Jobs that run inside get as many shuffle partitions as so many cells need, if the session has fewer.
+
+    The session's settings are as before afterwards.
+    """
+    wanted = min(MOST_PARTITIONS, -(-n_cells // CELLS_PER_PARTITION))
+    if wanted <= shuffle_partitions(spark):
+        yield
+        return
+    before = {key: spark.conf.get(key, None) for key in PARTITION_SETTINGS}
+    try:
+        for key in PARTITION_SETTINGS:
+            if key == PARTITION_SETTINGS[0] or before[key] is not None:
+                spark.conf.set(key, str(wanted))
+        yield
+    finally:
+        for key, value in before.items():
+            if value is not None:
+                spark.conf.set(key, value)
 
 
 def spread(df: DataFrame, n_rows: int) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import pytest
 from brute import is_unique, minimal_uccs as brute
 
-from solekey.plans import search
+from solekey import session
+from solekey.plans import search, waves
 from solekey.plans.search import find, minimal_uccs
 
 
@@ -17,37 +18,24 @@ def answer(df, **options):
     return {tuple(c) for c in find(df, **options)[0]}
 
 
-def lines(text, delimiter=","):
-    return [tuple(v or None for v in line.split(delimiter)) for line in text.strip().splitlines()]
-
+def strings(seed, n, sizes, holes=0.0):
+    """Rows of short texts from a seed, column i with about sizes[i] values; some fields empty."""
+    rng = random.Random(seed)
+    rows = [tuple(None if rng.random() < holes else f"v{rng.randrange(k)}" for k in sizes) for _ in range(n)]
+    return list(dict.fromkeys(rows))
 
-# A number for each row; the other three columns are a key only together.
-PAINTS = """
-1,red,matt,tin
-2,red,matt,tube
-3,red,gloss,tin
-4,blue,gloss,tin
-"""
 
-# Invented parcels: empty fields in the middle, and keys of one to three columns.
-PARCELS = """
-label,from,via,to,weight,kind,paid,gate,zone,shelf
-p1,oak,,elm,3,box,y,north one,z1,11
-p2,ash,,elm,5,bag,n,east four,z1,12
-p3,oak,fir,yew,5,box,n,west six,z1,13
-p4,ash,,elm,3,bag,y,west two,z1,13
-p5,ash,,yew,3,box,n,south nine,z1,12
-p6,ash,fir,yew,4,box,y,east three,z1,14
-"""
+# Five hundred readings with keys of two to five columns, and sixty with empty fields.
+READINGS = strings(101, 500, [400, 90, 40, 12, 7, 5])
+SPARSE = strings(202, 60, [40, 25, 9, 6, 6, 4, 3, 3], holes=0.15)
 
-CASES = [PAINTS, PARCELS]
+CASES = [READINGS, SPARSE]
 
 
-@pytest.mark.parametrize("text", CASES)
-def test_known_answers(spark, text):
-    rows = lines(text)
+@pytest.mark.parametrize("rows", CASES)
+def test_known_answers(spark, rows):
     expected = set(brute(rows, len(rows[0])))
-    assert max(map(len, expected)) >= 2
+    assert max(map(len, expected)) >= 3
     assert answer(frame(spark, rows, len(rows[0]))) == expected
 
 
@@ -81,11 +69,12 @@ def test_constant_and_equivalent_columns(spark):
 
 
 def test_public_form(spark):
-    out = minimal_uccs(frame(spark, lines(PAINTS), 4))
+    rows = [(i % 6, i // 6, i) for i in range(24)]
+    out = minimal_uccs(frame(spark, rows, 3, ["int"] * 3))
     assert out.columns == ["ucc", "columns", "arity"]
     assert {(r.ucc, tuple(r.columns), r.arity) for r in out.collect()} == {
-        ("c0", ("c0",), 1),
-        ("c1,c2,c3", ("c1", "c2", "c3"), 3),
+        ("c2", ("c2",), 1),
+        ("c0,c1", ("c0", "c1"), 2),
     }
 
 
@@ -175,35 +164,6 @@ def test_pools_are_used_and_exact(spark, monkeypatch):
     assert any(p is not None for p in used)
 
 
-def test_growing_samples_are_drawn_once(spark, monkeypatch):
-    from solekey.plans import coded
-
-    monkeypatch.setattr(coded, "is_small", lambda *a: False)
-    drawn, steps = [], []
-    durable, growing = search.durable, search._Search._growing_samples
-
-    def written(df):
-        if "draw" in df.columns:
-            drawn.append(df)
-        return durable(df)
-
-    def spy(self):
-        for rows, n_rows in growing(self):
-            steps.append("draw" in rows.columns)
-            yield rows, n_rows
-
-    monkeypatch.setattr(search, "durable", written)
-    monkeypatch.setattr(search._Search, "_growing_samples", spy)
-    for seed in (0, 3):
-        rows = table(seed)
-        df = frame(spark, rows, 7, TYPES)
-        for cap in (None, 3):
-            before = len(drawn)
-            assert answer(df, sample_rows=6, max_arity=cap) == set(brute(rows, 7, cap))
-            assert len(drawn) - before <= 1  # once a search, however many levels ask for it
-    assert any(steps) and drawn
-
-
 def test_pool_rows_of_a_level_are_bounded():
     looking = object.__new__(search._Search)
     looking.table = type("Table", (), {"n_rows": 1000})()
@@ -216,16 +176,17 @@ def test_pool_rows_of_a_level_are_bounded():
 @pytest.mark.parametrize("broadcast_rows", [0, 12])
 def test_more_repeats_than_can_be_broadcast(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(search, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(waves, "BROADCAST_ROWS", broadcast_rows)
     rows = table(2)
     assert answer(frame(spark, rows, 7, TYPES), sample_rows=12) == set(brute(rows, 7))
 
 
-def test_many_small_batches(spark, monkeypatch):
-    from solekey.plans import coded
-
-    monkeypatch.setattr(coded, "combinations_per_job", lambda *a: 4)
+@pytest.mark.parametrize("max_arity", [None, 3])
+def test_many_waves(spark, monkeypatch, max_arity):
+    monkeypatch.setattr(session, "CELLS_PER_PARTITION", 50)
     rows = table(4)
-    assert answer(frame(spark, rows, 7, TYPES), sample_rows=30) == set(brute(rows, 7))
+    found = answer(frame(spark, rows, 7, TYPES), sample_rows=30, max_arity=max_arity)
+    assert found == set(brute(rows, 7, max_arity))
 
 
 def test_result_is_minimal_antichain(spark):
