@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from brute import group_counts
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import solekey as sk
 from solekey.functions import codes, combos
 from solekey.operators import pli as pli_module
-from solekey.operators import quantile
+from solekey.operators import lattice, quantile
 from solekey.plans.coded import code_table
 
 
@@ -204,11 +205,17 @@ VALUE_SETS = {
 }
 
 
+def coarse(monkeypatch):
+    """A sketch so coarse that ranks are missed, and next to nothing sorted."""
+    monkeypatch.setattr(quantile, "SKETCH_SIZE", 8)
+    monkeypatch.setattr(quantile, "FEW_VALUES", 3)
+
+
 @pytest.mark.parametrize("name", VALUE_SETS)
 @pytest.mark.parametrize("few", [3, 100_000])
 def test_selection(spark, monkeypatch, name, few):
-    monkeypatch.setattr(quantile, "FEW_VALUES", few)
-    monkeypatch.setattr(quantile, "SAMPLE_BOUNDS", (20, 60) if few == 3 else (20_000, 1_000_000))
+    if few == 3:
+        coarse(monkeypatch)
     values = VALUE_SETS[name]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint").coalesce(2).persist()
     k = len(values) // 3 + 1
@@ -216,6 +223,46 @@ def test_selection(spark, monkeypatch, name, few):
     assert sk.exact_median(df, "v").first().value == sorted(values)[(len(values) - 1) // 2]
 
 
+def spark_order(v):
+    return (v != v, 0.0 if v != v else v)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_selection_with_nan_and_infinities(spark, monkeypatch, seed):
+    coarse(monkeypatch)
+    rng = random.Random(seed)
+    nan, inf = float("nan"), float("inf")
+    values = [rng.choice([nan, nan, inf, -inf, -0.0, 0.0, rng.gauss(0, 1), round(rng.gauss(0, 3))]) for _ in range(1500)]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 9, "v double").coalesce(2).persist()
+    ordered = sorted(values, key=spark_order, reverse=True)
+    nans = sum(v != v for v in values)
+    for k in (1, nans, nans + 1, nans + 2, 700, len(values) - 200, len(values) - 1, len(values)):
+        got, expected = sk.kth_largest(df, "v", k).first().value, ordered[k - 1]
+        assert got == expected or (got != got and expected != expected)
+    assert same_value(sk.exact_median(df, "v").first().value) == same_value(sorted(values, key=spark_order)[(len(values) - 1) // 2])
+
+
+def test_medians_of_nan_columns(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(nan, nan, 1.0, inf), (nan, 2.0, nan, inf), (nan, 4.0, 3.0, 1.0), (nan, 1.0, nan, -inf)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {r.column_name: r.median for r in sk.column_medians(df).collect()}
+    assert got["a"] != got["a"] and got["b"] == 3.0 and got["c"] != got["c"] and got["d"] == inf
+    floats = df.select(F.col("b").cast("float").alias("b"))
+    assert sk.kth_largest(floats, "b", 2).first().value == 4.0
+
+
+@pytest.mark.parametrize("kind", ["decimal(9,2)", "decimal(18,6)", "decimal(38,10)"])
+def test_selection_of_decimals(spark, monkeypatch, kind):
+    coarse(monkeypatch)
+    scale = int(kind[:-1].split(",")[1])
+    unscaled = [10**17 + i // 3 for i in range(200)] if "38" in kind else [i * 37 % 211 - 100 for i in range(400)]
+    values = [Decimal(v).scaleb(-scale) for v in unscaled]
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    assert sk.kth_largest(df, "v", 90).first().value == kth(values, 90)
+    assert sk.exact_median(df, "v").first().value == sorted(values)[(len(values) - 1) // 2]
+
+
 def test_median_of_even_and_empty(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (10,)], "v int")
     assert sk.exact_median(df, "v").first().value == 2
@@ -228,7 +275,8 @@ def test_median_of_even_and_empty(spark):
 
 @pytest.mark.parametrize("few", [4, 100_000])
 def test_column_medians(spark, monkeypatch, few):
-    monkeypatch.setattr(quantile, "FEW_VALUES", few)
+    if few == 4:
+        coarse(monkeypatch)
     rows = [(i % 13, float(i) / 4, None, "x") for i in range(200)]
     df = spark.createDataFrame(rows, "a int, b double, c bigint, d string")
     got = {r.column_name: r.median for r in sk.column_medians(df).collect()}
@@ -236,12 +284,57 @@ def test_column_medians(spark, monkeypatch, few):
     assert got == {"a": exact[0], "b": exact[1], "c": None}
 
 
-def test_medians_of_many_columns_take_one_last_pass(spark, tmp_path):
-    spark.range(1000).selectExpr(*[f"id * {k} % 97 AS c{k}" for k in range(1, 8)]).write.parquet(str(tmp_path / "t"))
-    medians = sk.column_medians(spark.read.parquet(str(tmp_path / "t")))
-    plan = medians._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "SinglePartition" not in plan
-    assert medians.count() == 7
+def test_medians_of_many_columns_take_three_passes(spark, monkeypatch):
+    passes = []
+    for name in ("_narrow", "_read_off"):
+        own = getattr(quantile, name)
+        monkeypatch.setattr(quantile, name, lambda *a, f=own, n=name: passes.append(n) or f(*a))
+    df = spark.range(200_000).selectExpr(*[f"id * {k} % 99991 AS c{k}" for k in range(1, 8)])
+    got = {r.column_name: r.median for r in sk.column_medians(df).collect()}
+    assert got == {f"c{k}": m for k, m in zip(range(1, 8), df.agg(*[F.median(f"c{k}") for k in range(1, 8)]).first())}
+    assert passes.count("_narrow") == 1 and passes.count("_read_off") <= 1
+
+
+def test_dense_row_ids(spark):
+    rows = [(i * 7919 % 500, None if i % 50 == 0 else i // 25, f"t{i}") for i in range(500)]
+    rows = [(a, b, t) for a, b, t in rows if b is not None or a % 3 == 0]
+    df = spark.createDataFrame(rows, "a int, b int, `t.x` string").repartition(7)
+    got = {r[2]: r.row_id for r in sk.dense_row_id(df, ["b", "a"]).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert got == {t: i for i, (_, _, t) in enumerate(ordered)}
+    again = sk.dense_row_id(df.repartition(2, "a"), ["b", "a"], "n")
+    assert {r[2]: r.n for r in again.collect()} == got and again.columns == ["a", "b", "t.x", "n"]
+    assert sk.dense_row_id(df.limit(0), ["a"]).count() == 0
+    with pytest.raises(ValueError, match="repeat"):
+        sk.dense_row_id(df, ["b"])
+
+
+def test_compressed_indexes(spark, monkeypatch):
+    from solekey.operators import bitmaps
+
+    monkeypatch.setattr(bitmaps, "DENSE", 200)
+    rng = random.Random(13)
+    ids = rng.sample(range(-40_000, 120_000), 4000)
+    rows = [(i, rng.choice("aab"), rng.randrange(4), rng.randrange(900)) for i in ids]
+    df = spark.createDataFrame(rows, "id long, p string, q int, r int")
+    plis = sk.single_column_pli(df, "id")
+    index = {c: sk.column_index(plis, c) for c in "pqr"}
+    packed = {c: sk.compress_index(i).persist() for c, i in index.items()}
+    for c, i in index.items():
+        assert rows_of(sk.expand_index(packed[c])) == rows_of(i)
+    kinds = packed["q"].agg(F.count("bits"), F.count("positions")).first()
+    assert kinds[0] and kinds[1]
+    for cols in ("pq", "pr", "pqr"):
+        met = packed[cols[0]]
+        for c in cols[1:]:
+            met = sk.intersect_compressed(met, packed[c])
+        plain = sk.intersect_pli(*[index[c] for c in cols])
+        assert rows_of(sk.expand_index(met)) == rows_of(plain)
+        sizes = plain.groupBy("cluster_id").count()
+        assert rows_of(sk.cluster_sizes(met)) == rows_of(sizes)
+    assert packed["p"].count() * 4 < index["p"].count()  # containers in the shuffle instead of rows
+    empty = sk.compress_index(index["p"].limit(0))
+    assert sk.intersect_compressed(empty, packed["q"]).isEmpty() and sk.expand_index(empty).isEmpty()
 
 
 def test_index_is_read_not_made_again(spark, tmp_path):
@@ -267,6 +360,27 @@ def test_names_with_a_backtick(spark):
     assert sk.exact_median(df, "a`b").first().value == 2
 
 
+def test_trie_of_many_columns(spark):
+    """Three hundred columns; most sets begin with the same one, which must not join them to one another."""
+    rng = random.Random(14)
+    draw = lambda n: sorted({0, *rng.sample(range(1, 300), n - 1)} if rng.random() < 0.8 else set(rng.sample(range(300), n)))
+    known = [draw(rng.randint(1, 4)) for _ in range(300)] + [[5, 9]]
+    known = [k for k in known if k != [0]]
+    asked = [draw(rng.randint(2, 12)) for _ in range(400)] + [sorted({*rng.choice(known), *draw(5)}) for _ in range(100)]
+    asked = [list(c) for c in {tuple(a) for a in asked}]
+    left = sk.prune_supersets(sk.combination_frame(spark, asked), sk.combination_frame(spark, known))
+    assert sorted(r.cols for r in left.collect()) == sorted(c for c in asked if not any(set(k) <= set(c) for k in known))
+    trie = lattice.set_trie(sk.combination_frame(spark, known))
+    assert trie.groupBy("node", "column").count().where("count > 1").isEmpty()
+    nothing = sk.combination_frame(spark, [])
+    assert sk.prune_supersets(sk.combination_frame(spark, asked), nothing).count() == len(asked)
+
+
+def test_pairs_of_many_columns(spark):
+    pairs = sk.level_pairs(spark.createDataFrame([(c,) for c in range(150)], "col int"))
+    assert pairs.count() == 150 * 149 // 2 == pairs.distinct().count()
+
+
 def test_supersets_of_longer_combinations_go(spark):
     every = spark.createDataFrame([([0, 1, 2],), ([0, 1, 3],), ([1, 2, 3],), ([0, 2, 3],)], "cols array<int>")
     known = spark.createDataFrame([([0, 1],), ([1, 2, 3],)], "cols array<int>")
