@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 import solekey as sk
 from solekey.functions import combos
-from solekey.session import checkpoint_dir
+from solekey.session import checkpoint_dir, delete
 
 try:
     import corpus_pipeline
@@ -80,6 +82,9 @@ INTERSECTED = {
     "documents": ("doc_id", ["source", "lang", "n_chars"]),
 }
 
+# Selections that may sort so few values only that one round does not settle them.
+FEW_SORTED = 20
+
 SELECTED = {"lineitem": ("l_extendedprice", 1000), "orders": ("o_totalprice", 77), "events": ("user_id", 5000)}
 MEDIANS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"],
@@ -91,6 +96,9 @@ COUNTED = ["user_id", "event_type"]
 # Tables whose combinations of three columns are pruned by unique ones of any size.
 TRIPLES = ["orders", "part"]
 
+# Searches through the columns that rows agree on.
+DUAL = ["orders", "part", "events", "lineitem"]
+
 # Pairs and triples of columns that are not unique, as the search would join them.
 LATTICE = ["part", "customer", "orders"]
 
@@ -208,21 +216,38 @@ def intersected(name: str):
     return run
 
 
-def scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/text-{uuid.uuid4().hex}"
+def intersected_bitmaps(name: str):
+    """The same rows from compressed indexes, of which the first two are met first."""
+    key, cols = INTERSECTED[name]
+
+    def run(spark, sf_dir):
+        plis = sk.single_column_pli(table(spark, sf_dir, name), key, cols)
+        met = reduce(sk.intersect_compressed, [sk.compress_index(sk.column_index(plis, c)) for c in cols])
+        return sk.expand_index(met)
+
+    return run
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A new folder for text, gone afterwards; what is read from it must be counted before."""
+    path = f"{checkpoint_dir(spark)}/text-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete(spark, path)
 
 
 def delimited_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders written as delimited text and read back as a header-less file of strings."""
-    path = scratch(spark)
     chosen = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    sk.write_delimited(chosen, path, "|")
-    return sk.column_uniqueness(sk.read_delimited(spark, path, "|"))
+    with scratch(spark) as path:
+        sk.write_delimited(chosen, path, "|")
+        return sk.column_uniqueness(sk.read_delimited(spark, path, "|"))
 
 
 def ragged_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of one to three fields, blank ones among them, read back as they are."""
-    path = scratch(spark)
     key = F.col("o_orderkey").cast("string")
     line = (
         F.when(F.col("o_orderkey") % 4 == 0, F.lit(""))
@@ -230,33 +255,34 @@ def ragged_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderkey") % 4 == 2, F.concat_ws("|", key, "o_orderstatus"))
         .otherwise(F.concat_ws("|", F.lit(""), "o_orderstatus", "o_orderpriority"))
     )
-    table(spark, sf_dir, "orders").select(line).write.text(path)
-    return sk.column_uniqueness(sk.read_delimited(spark, path, "|"))
+    with scratch(spark) as path:
+        table(spark, sf_dir, "orders").select(line).write.text(path)
+        return sk.column_uniqueness(sk.read_delimited(spark, path, "|"))
 
 
 def carriage_return_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that end in a carriage return alone."""
-    path = scratch(spark)
     line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), "c_mktsegment")
-    table(spark, sf_dir, "customer").select(line).write.option("lineSep", "\r").text(path)
-    return sk.column_uniqueness(sk.read_delimited(spark, path, ";"))
+    with scratch(spark) as path:
+        table(spark, sf_dir, "customer").select(line).write.option("lineSep", "\r").text(path)
+        return sk.column_uniqueness(sk.read_delimited(spark, path, ";"))
 
 
 def integers_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three integers per line, read as one set of numbers."""
-    path = scratch(spark)
     fields = [F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey")]
-    table(spark, sf_dir, "lineitem").select(F.concat_ws(";", *fields)).write.text(path)
-    return sk.exact_median(sk.read_integers(spark, path), "value")
+    with scratch(spark) as path:
+        table(spark, sf_dir, "lineitem").select(F.concat_ws(";", *fields)).write.text(path)
+        return sk.exact_median(sk.read_integers(spark, path), "value")
 
 
 def file_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median per field position of a delimited file of integers."""
-    path = scratch(spark)
     chosen = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    sk.write_delimited(chosen, path, ";")
-    fields = sk.read_delimited(spark, path, ";", width=4)
-    return sk.column_medians(fields.select(*[F.col(c).cast("int").alias(c) for c in fields.columns]))
+    with scratch(spark) as path:
+        sk.write_delimited(chosen, path, ";")
+        fields = sk.read_delimited(spark, path, ";", width=4)
+        return sk.column_medians(fields.select(*[F.col(c).cast("int").alias(c) for c in fields.columns]))
 
 
 def kth(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -264,6 +290,46 @@ def kth(df: DataFrame, col: str, k: int) -> DataFrame:
     return sk.kth_largest(df, col, max(1, min(k, df.where(F.col(col).isNotNull()).count())))
 
 
+def with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices with NaN for a third of the rows, more than the median can pass by, nulls and infinities."""
+    price = F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 == 0, float("nan")).otherwise(price).alias("some_nan"),
+        F.when(F.col("l_orderkey") % 5 < 3, float("nan")).otherwise(price).alias("most_nan"),
+        F.when(F.col("l_partkey") % 7 == 0, float("-inf"))
+        .when(F.col("l_partkey") % 7 == 1, float("inf"))
+        .when(F.col("l_partkey") % 7 > 3, price)
+        .alias("ends"),
+    )
+
+
+NAN_SQL = """(SELECT CASE WHEN l_orderkey % 3 = 0 THEN CAST('nan' AS DOUBLE) ELSE l_extendedprice END AS some_nan,
+ CASE WHEN l_orderkey % 5 < 3 THEN CAST('nan' AS DOUBLE) ELSE l_extendedprice END AS most_nan,
+ CASE WHEN l_partkey % 7 = 0 THEN CAST('-inf' AS DOUBLE) WHEN l_partkey % 7 = 1 THEN CAST('inf' AS DOUBLE)
+ WHEN l_partkey % 7 > 3 THEN l_extendedprice END AS ends FROM lineitem)"""
+NAN_COLUMNS = ["some_nan", "most_nan", "ends"]
+
+
+def nan_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and large values of columns with NaN, from rounds that sort only a few values."""
+    df = with_nan(spark, sf_dir)
+    parts = []
+    for c in NAN_COLUMNS:
+        parts.append(sk.exact_median(df, c, FEW_SORTED).select(F.lit(c).alias("col"), F.lit(0).alias("k"), "value"))
+        for k in NAN_RANKS:
+            parts.append(sk.kth_largest(df, c, k, FEW_SORTED).select(F.lit(c).alias("col"), F.lit(k).alias("k"), "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+NAN_RANKS = [1, 2500]
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders numbered by date, then by key."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    return sk.dense_row_id(df, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_orderstatus", "row_id")
+
+
 def pruned_triples(name: str):
     """Three columns each, without those that contain a minimal unique combination of any size."""
 
@@ -313,6 +379,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"single_column_pli_{name}"] = lambda s, d, n=name, k=key, c=cols: sk.single_column_pli(table(s, d, n), k, c)
     for name in INTERSECTED:
         out[f"intersect_pli_{name}"] = intersected(name)
+        out[f"intersect_bitmaps_{name}"] = intersected_bitmaps(name)
     for name in LATTICE:
         out[f"level_pairs_{name}"] = pairs(name)
         out[f"next_candidates_{name}"] = level_three(name)
@@ -325,6 +392,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["cells_orders"] = lambda s, d: sk.cells(table(s, d, "orders"), CLUSTERED["orders"], "o_orderkey")
     out["prune_supersets_customer"] = pruned_pairs("customer")
     out["prune_supersets_orders"] = pruned_pairs("orders")
+    for name in DUAL:
+        out[f"minimal_uccs_{name}_dual"] = lambda s, d, n=name: sk.minimal_uccs(
+            table(s, d, n), method="dual", sample_rows=SMALL_SAMPLE
+        ).select("ucc", "arity")
+    out["minimal_uccs_orders_with_customer_dual"] = lambda s, d: sk.minimal_uccs(
+        orders_with_customer(s, d), method="dual"
+    ).select("ucc", "arity")
+    out["selection_nan"] = nan_selection
+    out["column_medians_nan"] = lambda s, d: sk.column_medians(with_nan(s, d), NAN_COLUMNS)
+    out["column_medians_lineitem_narrowed"] = lambda s, d: sk.column_medians(
+        table(s, d, "lineitem"), MEDIANS["lineitem"], FEW_SORTED
+    )
+    out["dense_row_id_orders"] = numbered
     out["combination_masks_part"] = pair_masks
     out["row_ids_customer"] = generated_ids
     out["delimited_text_uniqueness"] = delimited_uniqueness
@@ -487,7 +567,7 @@ def oracle_sql() -> dict[str, str]:
     for name, (key, cols) in INDEXED.items():
         out[f"single_column_pli_{name}"] = pli_sql(name, key, cols)
     for name, (key, cols) in INTERSECTED.items():
-        out[f"intersect_pli_{name}"] = intersect_sql(name, key, cols)
+        out[f"intersect_pli_{name}"] = out[f"intersect_bitmaps_{name}"] = intersect_sql(name, key, cols)
     for name in LATTICE:
         out[f"level_pairs_{name}"] = pairs_sql(name, COLUMNS[name])
         out[f"next_candidates_{name}"] = level_three_sql(name, COLUMNS[name])
@@ -505,8 +585,29 @@ def oracle_sql() -> dict[str, str]:
         for c in CLUSTERED["orders"]
     )
     for name in ("customer", "orders"):
-        cols = COLUMNS[name]
-        out[f"prune_supersets_{name}"] = pairs_sql(name, cols)
+        pairs_of = ", ".join(f"('{','.join(combo)}')" for combo in combinations(COLUMNS[name], 2))
+        out[f"prune_supersets_{name}"] = (
+            f"SELECT p.ucc, CAST(2 AS INTEGER) AS arity FROM (VALUES {pairs_of}) AS p(ucc) WHERE NOT EXISTS("
+            f"SELECT 1 FROM ({column_sql(name, COLUMNS[name])}) AS u "
+            "WHERE u.is_unique AND list_contains(string_split(p.ucc, ','), u.column_name))"
+        )
+    for name in DUAL:
+        out[f"minimal_uccs_{name}_dual"] = out[f"minimal_uccs_{name}"]
+    out["minimal_uccs_orders_with_customer_dual"] = out["minimal_uccs_orders_with_customer"]
+    out["selection_nan"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, CAST({k} AS INTEGER) AS k, value FROM ({sql})"
+        for c in NAN_COLUMNS
+        for k, sql in [(0, f"SELECT quantile_disc({c}, 0.5) AS value FROM {NAN_SQL}")]
+        + [
+            (k, f"SELECT {c} AS value FROM {NAN_SQL} WHERE {c} IS NOT NULL ORDER BY {c} DESC LIMIT 1 OFFSET {k - 1}")
+            for k in NAN_RANKS
+        ]
+    )
+    out["column_medians_nan"] = median_sql(NAN_SQL, NAN_COLUMNS)
+    out["column_medians_lineitem_narrowed"] = median_sql("lineitem", MEDIANS["lineitem"])
+    out["dense_row_id_orders"] = (
+        "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_id FROM orders"
+    )
     part = COLUMNS["part"]
     out["combination_masks_part"] = (
         f"WITH c AS ({single_sql('part', part)}) SELECT CAST((1 << a.i) + (1 << b.i) AS BIGINT) AS mask, "
