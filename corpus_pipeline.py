@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from solekey.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from solekey.llm.frames import table
 from solekey.llm.queries import TOKENIZER
-from solekey.session import checkpoint_dir
+from solekey.session import checkpoint_dir, delete
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +59,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table ``documents`` below ``sf_dir``."""
+    """The last stage's rows for the table ``documents`` below ``sf_dir``.
+
+    A stage's folder goes as soon as the next one is written, and all of them after an error; the
+    last one stays, as the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return docs
+    before, finished = None, False
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+            docs = spark.read.parquet(f"{base}/{name}")
+            if before:
+                delete(spark, f"{base}/{before}")
+            before = name
+        finished = True
+        return docs
+    finally:
+        if not finished:
+            delete(spark, base)
