@@ -310,6 +310,18 @@ NAN_SQL = """(SELECT CASE WHEN l_orderkey % 3 = 0 THEN CAST('nan' AS DOUBLE) ELS
 NAN_COLUMNS = ["some_nan", "most_nan", "ends"]
 
 
+def told_apart(df: DataFrame, col: str) -> DataFrame:
+    """NaN and infinities as a kind of their own, since they are compared in other ways elsewhere."""
+    v = F.col(col)
+    kind = F.when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).otherwise("number")
+    return df.withColumns({"kind": kind, col: F.when(kind == "number", v)})
+
+
+def told_apart_sql(sql: str, col: str) -> str:
+    kind = f"CASE WHEN isnan({col}) THEN 'nan' WHEN isinf({col}) THEN CASE WHEN {col} > 0 THEN 'inf' ELSE '-inf' END ELSE 'number' END"
+    return f"SELECT * REPLACE (CASE WHEN {kind} = 'number' THEN {col} END AS {col}), {kind} AS kind FROM ({sql})"
+
+
 def nan_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians and large values of columns with NaN, from rounds that sort only a few values."""
     df = with_nan(spark, sf_dir)
@@ -318,7 +330,7 @@ def nan_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append(sk.exact_median(df, c, FEW_SORTED).select(F.lit(c).alias("col"), F.lit(0).alias("k"), "value"))
         for k in NAN_RANKS:
             parts.append(sk.kth_largest(df, c, k, FEW_SORTED).select(F.lit(c).alias("col"), F.lit(k).alias("k"), "value"))
-    return reduce(DataFrame.unionByName, parts)
+    return told_apart(reduce(DataFrame.unionByName, parts), "value")
 
 
 NAN_RANKS = [1, 2500]
@@ -400,7 +412,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         orders_with_customer(s, d), method="dual"
     ).select("ucc", "arity")
     out["selection_nan"] = nan_selection
-    out["column_medians_nan"] = lambda s, d: sk.column_medians(with_nan(s, d), NAN_COLUMNS)
+    out["column_medians_nan"] = lambda s, d: told_apart(sk.column_medians(with_nan(s, d), NAN_COLUMNS), "median")
     out["column_medians_lineitem_narrowed"] = lambda s, d: sk.column_medians(
         table(s, d, "lineitem"), MEDIANS["lineitem"], FEW_SORTED
     )
@@ -594,7 +606,7 @@ def oracle_sql() -> dict[str, str]:
     for name in DUAL:
         out[f"minimal_uccs_{name}_dual"] = out[f"minimal_uccs_{name}"]
     out["minimal_uccs_orders_with_customer_dual"] = out["minimal_uccs_orders_with_customer"]
-    out["selection_nan"] = " UNION ALL ".join(
+    selected = " UNION ALL ".join(
         f"SELECT '{c}' AS col, CAST({k} AS INTEGER) AS k, value FROM ({sql})"
         for c in NAN_COLUMNS
         for k, sql in [(0, f"SELECT quantile_disc({c}, 0.5) AS value FROM {NAN_SQL}")]
@@ -603,7 +615,8 @@ def oracle_sql() -> dict[str, str]:
             for k in NAN_RANKS
         ]
     )
-    out["column_medians_nan"] = median_sql(NAN_SQL, NAN_COLUMNS)
+    out["selection_nan"] = told_apart_sql(selected, "value")
+    out["column_medians_nan"] = told_apart_sql(median_sql(NAN_SQL, NAN_COLUMNS), "median")
     out["column_medians_lineitem_narrowed"] = median_sql("lineitem", MEDIANS["lineitem"])
     out["dense_row_id_orders"] = (
         "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_id FROM orders"

@@ -60,11 +60,11 @@ def test_finished_queries_leave_no_files(spark, monkeypatch):
     before = files_below(folder)
     for name in names:
         entries.queries()[name](spark, DATA).collect()
-        assert files_below(folder) == before, name
+        assert files_below(folder) <= before, name
     # Also where a search ends with an error.
     from solekey.plans import search
 
     monkeypatch.setattr(search._Search, "_candidates", lambda self, level: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         entries.queries()["minimal_uccs_orders_small_sample"](spark, DATA)
-    assert files_below(folder) == before
+    assert files_below(folder) <= before
