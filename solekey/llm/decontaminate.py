@@ -164,6 +164,10 @@ def _filter(values: DataFrame, n_slots: int) -> bytes:
     return merged.tobytes()
 
 
+# Candidates' ids that may be broadcast, each a whole number.
+BROADCAST_IDS = 2_000_000
+
+
 def find_contained(docs: DataFrame, items: DataFrame, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """``doc_id, item_id, n_item, n_shared, containment`` of items found in documents.
 
@@ -195,7 +199,7 @@ def find_contained(docs: DataFrame, items: DataFrame, min_containment: float = M
         for batch in batches:
             rows, hits = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                own = set()
+                own: set = set()
                 hashes = shingle_hashes(text)
                 searched = window_minima(hashes, sketched) if sketched else ()
                 if exact and len(hashes):
@@ -211,31 +215,29 @@ def find_contained(docs: DataFrame, items: DataFrame, min_containment: float = M
                     rows.append(i)
                     hits.append([{"size_class": a, "at": b, "value": c} for a, b, c in sorted(own)])
             if rows:
-                found = batch.select(["doc_id", "text"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [found.column("doc_id"), found.column("text"), pa.array(hits, hit_type)], ["doc_id", "text", "hits"]
-                )
+                ids = batch.column("doc_id").take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hits, hit_type)], ["doc_id", "hits"])
 
     hit_type = pa.list_(pa.struct([("size_class", pa.int64()), ("at", pa.int64()), ("value", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    suspected = durable(
-        map_batches(
-            doc_text(docs),
-            run,
-            f"doc_id {kind}, text string, hits array<struct<size_class:bigint,at:bigint,value:bigint>>",
-        ).withColumn("doc_row", F.monotonically_increasing_id())
-    )
-    hits = suspected.select("doc_row", F.explode("hits").alias("h")).select(
-        "doc_row", "h.size_class", F.col("h.at").alias("at"), F.col("h.value").alias("value")
+    hits = map_batches(doc_text(docs), run, f"doc_id {kind}, hits array<struct<size_class:bigint,at:bigint,value:bigint>>")
+    hits = hits.select("doc_id", F.explode("hits").alias("h")).select(
+        "doc_id", "h.size_class", F.col("h.at").alias("at"), F.col("h.value").alias("value")
     )
     minima = known.select("item_row", "size_class", F.posexplode("sketch").alias("at", "value"))
     if exact:  # its shingles have no place; a document's are all hits of place 0
         minima = minima.withColumn("at", F.when(F.col("size_class") == EXACT_CLASS, 0).otherwise(F.col("at")))
-    pairs = hits.join(minima, ["size_class", "at", "value"]).select("doc_row", "item_row").distinct()
-    checked = (
-        pairs.join(known.select("item_row", "item_id", "item_shingles"), "item_row")
-        .join(suspected.select("doc_row", "doc_id", "text"), "doc_row")
-        .select("doc_row", "doc_id", "text", "item_id", "item_shingles")
+    pairs = durable(hits.join(minima, ["size_class", "at", "value"]).select("doc_id", "item_row").distinct())
+    # Texts are fetched for documents that share a value with an item only; ids are narrow.
+    ids = durable(pairs.select(F.col("doc_id").alias("__doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS and docs.schema["doc_id"].dataType.simpleString() in ("int", "bigint")
+    own = doc_text(docs).withColumn("doc_row", F.monotonically_increasing_id())
+    wanted = own.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_semi")
+    # Written, as rows are numbered anew by another run of the scan.
+    wanted = durable(wanted)
+    asked = pairs.join(known.select("item_row", "item_id", "item_shingles"), "item_row").withColumnRenamed("doc_id", "__doc_id")
+    checked = wanted.join(asked, F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select(
+        "doc_row", "doc_id", "text", "item_id", "item_shingles"
     )
 
     def count(batches):
