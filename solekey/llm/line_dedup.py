@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solekey.llm.frames import doc_text, map_batches
+from solekey.llm.frames import BROADCAST_ROWS, doc_text, map_batches
 from solekey.session import durable
 
 MIN_CHARS = 40
@@ -125,6 +125,12 @@ def bloom_filters(docs: DataFrame, n_bits: int, min_chars: int = MIN_CHARS) -> t
     return bytes(filters[0]), bytes(filters[1])
 
 
+def _contained(bits: np.ndarray, keys: list[bytes], n_bits: int) -> np.ndarray:
+    """Which keys a filter may hold."""
+    at = positions(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), n_bits)
+    return ((bits[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 128).all(0)
+
+
 def suspects(docs: DataFrame, twice, n_bits: int, min_chars: int = MIN_CHARS) -> DataFrame:
     """``digest, doc_id`` of every key that the second filter has seen twice; each once a row."""
 
@@ -139,8 +145,7 @@ def suspects(docs: DataFrame, twice, n_bits: int, min_chars: int = MIN_CHARS) ->
                 owners += [i] * len(own)
             if not keys:
                 continue
-            at = positions(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), n_bits)
-            seen = np.flatnonzero(((bits[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & 128).all(0))
+            seen = np.flatnonzero(_contained(bits, keys, n_bits))
             if len(seen):
                 digests = pa.array([hashlib.sha256(keys[i]).digest() for i in seen.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([digests, ids.take(pa.array(np.array(owners)[seen]))], ["digest", "doc_id"])
@@ -161,7 +166,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
 
     The filters leave out lines seen in one document; all others are confirmed by their SHA-256
     and the count of distinct documents. A line that very many documents hold is counted by
-    partial sums, and its join is a plain sort-merge join, which Spark splits.
+    partial sums. The repeated lines, digests with their keepers, are counted; up to
+    ``BROADCAST_ROWS`` of them go to all tasks, and no text is shuffled. With more, documents
+    are joined with the lines they lose by a plain sort-merge join, which Spark splits.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
@@ -180,21 +187,47 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         .where(F.col("n_docs") >= min_docs)
         .select("digest", "keeper")
     )
-    dropped = (
-        seen.join(repeated, "digest")
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__owner"))
-        .agg(F.collect_set("digest").alias("__digests"))
-    )
-    joined = doc_text(docs, *carry).join(dropped, F.col("doc_id").eqNullSafe(F.col("__owner")), "left").drop("__owner")
+    own = doc_text(docs, *carry)
+    if repeated.count() <= BROADCAST_ROWS:
+        keepers = {bytes(r.digest): r.keeper for r in repeated.collect()}
+        known = spark.sparkContext.broadcast(keepers)
+
+        def gone_from(batch, lists_of_keys):
+            """For each text the keys that it loses."""
+            keepers = known.value
+            if not keepers:
+                return [()] * len(lists_of_keys)
+            bits, out = np.frombuffer(twice.value, np.uint8), []
+            for doc_id, keys in zip(batch.column("doc_id").to_pylist(), lists_of_keys):
+                keys = list({k for k in keys if k is not None})
+                if keys:
+                    keys = [keys[i] for i in np.flatnonzero(_contained(bits, keys, n_bits)).tolist()]
+                digests = ((k, hashlib.sha256(k).digest()) for k in keys)
+                out.append({k for k, d in digests if d in keepers and keepers[d] != doc_id})
+            return out
+
+    else:
+        dropped = (
+            seen.join(repeated, "digest")
+            .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+            .groupBy(F.col("doc_id").alias("__owner"))
+            .agg(F.collect_set("digest").alias("__digests"))
+        )
+        own = own.join(dropped, F.col("doc_id").eqNullSafe(F.col("__owner")), "left").drop("__owner")
+
+        def gone_from(batch, lists_of_keys):
+            out = []
+            for digests, keys in zip(batch.column("__digests").to_pylist(), lists_of_keys):
+                gone = set(digests or ())
+                out.append({k for k in keys if k and hashlib.sha256(k).digest() in gone} if gone else ())
+            return out
 
     def apply(batches):
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, digests in zip(batch.column("text").to_pylist(), batch.column("__digests").to_pylist()):
-                lines, keys = keys_of(text, min_chars)
-                gone = set(digests or ())
-                stay = [x for x, k in zip(lines, keys) if not (gone and k and hashlib.sha256(k).digest() in gone)]
+            cut = [keys_of(text, min_chars) for text in batch.column("text").to_pylist()]
+            for (lines, keys), gone in zip(cut, gone_from(batch, [keys for _, keys in cut])):
+                stay = [x for x, k in zip(lines, keys) if not (gone and k in gone)]
                 kept.append(b"\n".join(stay).decode("utf-8", "surrogatepass"))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
@@ -206,4 +239,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(joined, apply, f"doc_id {kind}, kept_text string, n_lines long, n_dropped long{kinds}")
+    return map_batches(own, apply, f"doc_id {kind}, kept_text string, n_lines long, n_dropped long{kinds}")

@@ -147,6 +147,16 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    test_line_dedup_against_brute_force(spark)
+
+
+def test_candidates_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_IDS", 0)
+    test_decontamination_against_brute_force(spark)
+
+
 def test_full_filters_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MOST_BITS", line_dedup.LEAST_BITS)
     rows = [(i, "\n".join(f"line {k % (i + 3)} of a text that is long enough to count" for k in range(40))) for i in range(30)]
