@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 from math import isqrt
 
 from pyspark import StorageLevel
@@ -58,6 +59,9 @@ MANY_VALUES = 100_000
 POOL_SHARE = 32
 
 
+# Up to so many combinations, which the driver holds anyway, are joined there; a job would take longer.
+LOCAL_SETS = 2_000
+
 METHODS = ("levels", "dual")
 
 
@@ -285,18 +289,20 @@ class _Search:
     # -- candidates ------------------------------------------------------------
 
     def _candidates(self, level: Level) -> list[Combo]:
-        kept = combination_frame(self.spark, list(level.in_sample))
-        found = next_candidates(kept)
-        if self.max_candidates is None:
-            rows = found.collect()
+        kept = list(level.in_sample)
+        if len(kept) <= LOCAL_SETS:
+            found = _joined(kept)
         else:
-            rows = found.take(self.max_candidates + 1)
-            if len(rows) > self.max_candidates:
-                raise RuntimeError(
-                    f"more than {self.max_candidates} candidates of one size; "
-                    "set max_arity, raise max_candidates or pass fewer columns"
-                )
-        return sorted(tuple(r["cols"]) for r in rows)
+            rows = next_candidates(combination_frame(self.spark, kept))
+            if self.max_candidates is not None:
+                rows = rows.limit(self.max_candidates + 1)
+            found = sorted(tuple(r["cols"]) for r in rows.collect())
+        if self.max_candidates is not None and len(found) > self.max_candidates:
+            raise RuntimeError(
+                f"more than {self.max_candidates} candidates of one size; "
+                "set max_arity, raise max_candidates or pass fewer columns"
+            )
+        return found
 
     # -- evidence from the sample -----------------------------------------------
 
@@ -507,6 +513,15 @@ class _Search:
         return min(known, key=lambda p: pool.n_rows[p], default=None)
 
 
+def _joined(kept: Sequence[Combo]) -> list[Combo]:
+    """What next_candidates() gives for combinations of one size."""
+    known, by_prefix = set(kept), {}
+    for c in sorted(kept):
+        by_prefix.setdefault(c[:-1], []).append(c[-1])
+    joined = ((*prefix, i, j) for prefix, lasts in by_prefix.items() for i, j in combinations(lasts, 2))
+    return sorted(c for c in joined if all(c[:k] + c[k + 1 :] in known for k in range(len(c) - 2)))
+
+
 def _pool_cells(rows, layout, position, owners, skip_nulls, carry=()) -> DataFrame:
     """Cells of the rows whose owner the combination is to be checked on."""
     depth = G.depth_of(layout)

@@ -4,6 +4,8 @@ import pytest
 from brute import is_unique, minimal_uccs as brute
 
 from solekey import session
+from solekey.operators.frames import combination_frame
+from solekey.operators.lattice import next_candidates
 from solekey.plans import search, waves
 from solekey.plans.search import find, minimal_uccs
 
@@ -181,6 +183,22 @@ def test_more_repeats_than_can_be_broadcast(spark, monkeypatch, broadcast_rows):
     assert answer(frame(spark, rows, 7, TYPES), sample_rows=12) == set(brute(rows, 7))
 
 
+def test_levels_joined_by_jobs(spark, monkeypatch):
+    monkeypatch.setattr(search, "LOCAL_SETS", 0)
+    rows = table(3)
+    assert answer(frame(spark, rows, 7, TYPES), sample_rows=30) == set(brute(rows, 7))
+    with pytest.raises(RuntimeError, match="candidates"):
+        answer(frame(spark, rows, 7, TYPES), max_candidates=2)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_join_on_the_driver(spark, size):
+    rng = random.Random(size)
+    kept = [tuple(c) for c in {tuple(sorted(rng.sample(range(9), size))) for _ in range(60)}]
+    found = next_candidates(combination_frame(spark, kept))
+    assert search._joined(kept) == sorted(tuple(r.cols) for r in found.collect())
+
+
 @pytest.mark.parametrize("max_arity", [None, 3])
 def test_many_waves(spark, monkeypatch, max_arity):
     monkeypatch.setattr(session, "CELLS_PER_PARTITION", 50)
