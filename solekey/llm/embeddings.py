@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solekey.llm.components import components
-from solekey.llm.frames import map_batches
+from solekey.llm.frames import drawn, map_batches
 from solekey.session import durable
 
 MIN_COSINE = 0.95
@@ -18,9 +18,14 @@ MIN_COSINE = 0.95
 # Codebooks are fitted, and the traversal's reach is set, on about so many vectors at most.
 SAMPLE_ROWS = 20_000
 
-# Share of pairs just at the least cosine that the traversal of one side must reach. A pair is
-# found if either side reaches the other, so the recall of pairs is higher still.
-TARGET_RECALL = 0.97
+# Share of pairs just at the least cosine that the traversal of one side must reach, measured on
+# vectors the codebooks were not fitted on. A pair is found if either side reaches the other, so
+# the recall of pairs is higher still.
+TARGET_RECALL = 0.9
+
+# Part of the sample that codebooks are not fitted on, and rows compared with all words at a time.
+HELD_OUT = 0.2
+SLICE = 1000
 
 # Vectors of a cell aimed at, and codewords of a half at most (2 x 4096 words are broadcast).
 PER_CELL, MOST_WORDS = 16, 4096
@@ -49,8 +54,11 @@ class MultiIndex:
         ]
 
     def cells(self, rows: np.ndarray) -> np.ndarray:
-        first, second = self.distances(rows)
-        return first.argmin(1) * len(self.words[1]) + second.argmin(1)
+        out = [np.zeros(0, np.int64)]
+        for at in range(0, len(rows), SLICE):
+            first, second = self.distances(rows[at : at + SLICE])
+            out.append(first.argmin(1) * len(self.words[1]) + second.argmin(1))
+        return np.concatenate(out)
 
     def visits(self, rows: np.ndarray):
         """For each row the cells from the nearest on, while their distance is within the slack.
@@ -79,7 +87,8 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(7)
     words = rows[rng.permutation(len(rows))[:k]].copy()
     for _ in range(rounds):
-        near = ((words**2).sum(1)[None, :] - 2 * rows @ words.T).argmin(1)
+        norm = (words**2).sum(1)[None, :]
+        near = np.concatenate([(norm - 2 * part @ words.T).argmin(1) for part in np.split(rows, range(SLICE, len(rows), SLICE))])
         count = np.bincount(near, minlength=len(words))
         total = np.zeros_like(words)
         np.add.at(total, near, rows)
@@ -92,24 +101,28 @@ def fit(sample: np.ndarray, n_rows: int, min_cosine: float = MIN_COSINE) -> Mult
 
     The slack is the least with which a vector visits the cell of a partner at the least cosine
     in ``TARGET_RECALL`` of the cases, for partners drawn in random directions and for those that
-    vectors of the sample have in it.
+    vectors of the sample have in it. Both are measured on vectors held out of the codebooks.
     """
     k = int(min(MOST_WORDS, max(1, 2 ** round(np.log2(max(1.0, np.sqrt(n_rows / PER_CELL)))))))
     width = sample.shape[1]
-    index = MultiIndex(width, (np.zeros((1, (width + 1) // 2)), np.zeros((1, width // 2))))
-    index.words = tuple(k_means(part, min(k, len(part))) for part in index.halves(sample))
     rng = np.random.default_rng(11)
-    some = sample[rng.permutation(len(sample))[:4000]]
+    mixed = sample[rng.permutation(len(sample))]
+    held_out = int(len(mixed) * HELD_OUT)
+    fitted, some = mixed[held_out:], mixed[:held_out][:4000] if held_out else mixed
+    index = MultiIndex(width, (np.zeros((1, (width + 1) // 2)), np.zeros((1, width // 2))))
+    index.words = tuple(k_means(part, min(k, len(part))) for part in index.halves(fitted))
     aside = rng.standard_normal(some.shape)
     aside -= (aside * some).sum(1, keepdims=True) * some
     aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
     partners = min_cosine * some + np.sqrt(1 - min_cosine**2) * aside
-    cells = index.cells(partners)
-    reach = np.array([index.excess(some[i : i + 1], cells[i : i + 1])[0, 0] for i in range(len(some))])
-    # Partners that the sample itself holds may lie closer together than codewords do.
-    homes = index.cells(sample)
-    near, other = np.nonzero(some[:500] @ sample.T >= min_cosine)
-    held = index.excess(some[:500], homes)[near, other]
+    cells, homes = index.cells(partners), index.cells(mixed)
+    reach, held = [], []
+    for i, one in enumerate(some):  # the held-out vectors stand first in `mixed`
+        near = np.flatnonzero(mixed @ one >= min_cosine) if i < 500 else np.zeros(0, int)
+        near = near[near != i]
+        excess = index.excess(one[None, :], np.concatenate([cells[i : i + 1], homes[near]]))[0]
+        reach.append(excess[0])
+        held.extend(excess[1:])
     index.slack = max(float(np.quantile(x, TARGET_RECALL)) for x in (reach, held) if len(x)) + 1e-9
     return index
 
@@ -195,9 +208,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample_r
     never all pairs.
     """
     rows = durable(
-        vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn(
-            "fit", _usable(F.col("embedding"))
-        )
+        vectors.select("vec_id", "embedding").withColumn("fit", _usable(F.col("embedding")))
     )
     classes = durable(
         rows.where("fit")
@@ -213,8 +224,8 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample_r
     if not n_rows:
         return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     share = min(1.0, sample_rows / n_rows)
-    drawn = classes.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = _unit([r.embedding for r in drawn.select("embedding").collect()] or [classes.first().embedding], width)
+    chosen = classes.where(drawn(F.xxhash64("embedding"), share)).select("embedding").collect()
+    sample = _unit([r.embedding for r in chosen] or [classes.first().embedding], width)
     index = classes.sparkSession.sparkContext.broadcast(fit(sample, n_rows, min_cosine))
 
     def place(batches):
@@ -227,9 +238,11 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample_r
                 [*batch.schema.names, "home", "visits"],
             )
 
+    # Vectors travel in the type they have; cosines are computed in double precision.
+    kind = classes.schema["embedding"].dataType.simpleString()
     own = classes.select("class", "copies", "dims", "embedding")
     placed = durable(
-        map_batches(own, place, "class long, copies long, dims int, embedding array<double>, home long, visits array<long>")
+        map_batches(own, place, f"class long, copies long, dims int, embedding {kind}, home long, visits array<long>")
     )
     # Every class visits its own cell, so each cell with members has visitors.
     crowd = (
