@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """Run ``function(batches)`` on each partition's Arrow batches, few rows at a time."""
+    """Run ``function(batches)`` on each partition's Arrow batches, few rows at a time.
+
+    The number of rows is a setting of the session, which stays: it counts when the frame is run.
+    Only memory depends on it.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
