@@ -13,7 +13,7 @@ from solekey.functions.combos import column
 from solekey.functions import codes as C
 from solekey.plans import groups as G
 from solekey.plans.groups import Combo, Counts
-from solekey.session import is_small, roomy, spread
+from solekey.session import CELLS_PER_PARTITION, is_small, n_partitions, roomy, spread
 
 NULLS = ("equal", "distinct")
 MAX_SLOTS = 4
@@ -54,6 +54,16 @@ class CodedTable:
             return self.stored
         return spread(self.source.select(*self.exprs), self.n_rows)
 
+    def dealt(self, n_cells: int) -> DataFrame:
+        """The codes in so many parts that a task has room for all cells it makes of its rows.
+
+        What a task combines before a shuffle it holds in memory, and files with large row
+        groups give a few tasks all rows.
+        """
+        parts = -(-n_cells // CELLS_PER_PARTITION)
+        few = parts > self.spark.sparkContext.defaultParallelism and n_partitions(self.frame) < parts
+        return self.frame.repartition(parts) if few else self.frame
+
     @property
     def spark(self):
         return self.source.sparkSession
@@ -65,7 +75,7 @@ class CodedTable:
         """Exact group statistics of every combination; one read of the codes for all of them."""
         if not combos:
             return {}
-        frame = self.frame if rows is None else rows
+        frame = self.dealt(self.n_rows * len(combos)) if rows is None else rows
         with roomy(self.spark, len(combos) * (self.n_rows if n_rows is None else n_rows)):
             sized = G.sizes(G.cells(frame, self.layout(combos), skip_nulls))
             return dict(zip(combos, G.read_counts(G.summary(sized), len(combos))))

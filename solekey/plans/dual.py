@@ -6,7 +6,9 @@ combinations are the sets that hit the complements of all agree sets, and the mi
 the minimal hitting sets. The search keeps the agree sets met so far and the minimal sets
 that hit them all, and asks the table which of these repeat. Each one that does has rows
 that agree on more than was known; when none does, all are found. The first agree sets
-come from a sample, and each question takes a few waves over the table for all sets at once.
+come from a sample. Sets that have a part with few rows to each key are answered together
+by the agree sets of all rows that share a key of that part (plans.pivots); the others take a
+few waves over the table, for all sets at once.
 
 A level-wise search passes through every combination that repeats; this one only meets the
 edge between those that repeat and those that don't, which suits wide tables.
@@ -25,28 +27,16 @@ from solekey.plans import groups as G
 from solekey.plans import waves
 from solekey.plans.coded import CodedTable
 from solekey.plans.groups import Combo
+from solekey.plans.pivots import Pivots, mask_of, maximal
 
 # Repeated keys of each combination whose rows are looked at, and pairs of rows of each key.
 KEYS_PER_SET = 8
 
 
-def mask_of(combo: Iterable[int]) -> int:
-    return sum(1 << c for c in combo)
-
-
 def columns_of(mask: int) -> Combo:
     return tuple(i for i in range(mask.bit_length()) if mask >> i & 1)
 
 
-def maximal(masks: Iterable[int]) -> list[int]:
-    """The sets that are in no other one."""
-    kept: list[int] = []
-    for mask in sorted(set(masks), key=lambda m: (-m.bit_count(), m)):
-        if not any(mask & ~other == 0 for other in kept):
-            kept.append(mask)
-    return kept
-
-
 def hit(transversals: Sequence[int], edge: int, max_size: int | None = None) -> list[int]:
     """The minimal sets that hit all edges so far and `edge` too, from those that hit all edges so far."""
     good = [t for t in transversals if t & edge]
@@ -80,6 +70,7 @@ def find_dual(table: CodedTable, sample: DataFrame | None, sample_rows: int, ski
         stages.insert(0, replace(table, stored=sample, n_rows=sample_rows))
     unique: list[Combo] = []
     for part in stages:
+        pivots = Pivots(part, skip_nulls) if part is table else None
         proven: set[int] = set()  # unique in this part
         while True:
             wanted = minimal_hitting_sets(agreeing, width, max_arity)
@@ -88,7 +79,16 @@ def find_dual(table: CodedTable, sample: DataFrame | None, sample_rows: int, ski
             open_sets = [t for t in wanted if t not in proven]
             if not open_sets:
                 break
-            repeating, more = _evidence(part, [columns_of(t) for t in open_sets], skip_nulls)
+            if pivots is not None:
+                lone = [c for c in map(columns_of, open_sets) if pivots.of(c) is None]
+                if lone and (chosen := pivots.choose(lone)):
+                    agreeing = set(maximal(agreeing | pivots.run(chosen, wanted).masks))
+                    continue
+            repeating, more = set(), set()
+            for rows, combos in _asked(part, pivots, open_sets):
+                repeated, agree = _evidence(rows, combos, skip_nulls)
+                repeating |= repeated
+                more |= agree
             proven |= {t for t in open_sets if t not in repeating}
             if not repeating:
                 break
@@ -99,6 +99,17 @@ def find_dual(table: CodedTable, sample: DataFrame | None, sample_rows: int, ski
     return sorted(unique, key=lambda c: (len(c), c))
 
 
+def _asked(part: CodedTable, pivots: Pivots | None, open_sets: list[int]) -> list[tuple[CodedTable, list[Combo]]]:
+    """The combinations that agree sets leave open, with the rows that decide them."""
+    asked: dict[int, tuple[CodedTable, list[Combo]]] = {}
+    for c in map(columns_of, open_sets):
+        pivot = pivots.of(c) if pivots is not None else None
+        if pivot is None or pivot.rest is not None:
+            rows = part if pivot is None else pivot.rest
+            asked.setdefault(id(rows), (rows, []))[1].append(c)
+    return list(asked.values())
+
+
 def _evidence(table: CodedTable, combos: list[Combo], skip_nulls: bool) -> tuple[set[int], set[int]]:
     """Which combinations repeat, and the columns that some of their repeated rows agree on."""
     if combos == [()]:

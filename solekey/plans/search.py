@@ -14,7 +14,9 @@ drops it. Constant and equivalent columns are special cases.
 Counting in full leaves behind the keys that repeat. A superset can only repeat within
 those rows, so it is checked on them alone; the pools shrink from level to level.
 
-What a level has to ask of the whole table it asks in a few waves, each of which reads the
+Combinations that share a part with few rows to each key are settled together: all rows that
+share a key of it are compared (plans.pivots), and so are dependencies on it. What else
+a level has to ask of the whole table it asks in a few waves, each of which reads the
 codes once for all its combinations (plans.waves). Columns are numbered by how many different
 values they have, most first, so that combinations with a prefix in common are few.
 """
@@ -39,6 +41,7 @@ from solekey.plans.bounds import cover_bound
 from solekey.plans.coded import BROADCAST_ROWS, CodedTable, check_nulls, code_table, small_side
 from solekey.plans.dual import find_dual
 from solekey.plans.groups import Combo, Counts
+from solekey.plans.pivots import Pivots
 from solekey.plans.state import SearchState
 from solekey.session import durable, roomy, temporary
 
@@ -82,7 +85,7 @@ class Pool:
 class Level:
     """What is known about the combinations of one size that stay in the search."""
 
-    in_sample: dict[Combo, int]  # excess in the sample
+    in_sample: dict[Combo, int | None]  # excess in the sample, if it was asked
     in_full: dict[Combo, int] = field(default_factory=dict)  # excess in the table, where counted
     pool: Pool | None = None
 
@@ -156,6 +159,7 @@ class _Search:
         self.held: list[DataFrame] = []
         self.coherent: Pool | None = None
         self.settled = 0  # by bounds alone
+        self.pivots = Pivots(table, self.skip_nulls)
         self.state: SearchState | None = None
 
     def run(self, max_arity: int | None) -> list[Combo]:
@@ -335,7 +339,7 @@ class _Search:
         if self.sample_is_table:
             return False
         keys = [f"s{slot}" for slot in self.slots]
-        rows = self.table.frame.select(*keys)
+        rows = self.table.dealt(self.table.n_rows).select(*keys)
         if self.skip_nulls:
             rows = rows.dropna()
         # Rows with different hashes are different; only equal hashes are looked at closely.
@@ -402,28 +406,31 @@ class _Search:
     def _check(self, candidates: list[Combo], before: Level, last: bool) -> tuple[list[Combo], Level]:
         known = {c for c in candidates if self._too_few_keys(c)}
         self.settled += len(known)
-        asked = [c for c in candidates if not (last and c in known)]
+        compared = {c for c in candidates if self._compared(c)}
+        asked = [c for c in candidates if c not in compared and not (last and c in known)]
         sampled = {c: s.excess for c, s in self._sample_counts(asked).items()}
         earlier = len(self.held)
         pool, dropped = None, set()
         if self.sample_is_table:
             full = sampled
         else:
-            survivors = [c for c in sampled if sampled[c] == 0 and c not in known]
+            survivors = [c for c in candidates if (c in compared or sampled.get(c) == 0) and c not in known]
+            survivors, settled = self._by_pivots(survivors, before)
             if last:
                 pooled = [c for c in survivors if self._parent(c, before.pool) is not None]
                 rest = [c for c in survivors if c not in pooled]
                 survivors = pooled + (self._refute(rest) if rest else [])
             full, pool = self._count_survivors(survivors, before, last)
+            full |= settled
             self._unpersist(earlier)
             if not last:
-                dropped = set(self._determined(sampled, before))
+                dropped = set(self._determined(sampled, before)) | self._followed(candidates)
         self.bounds |= {c: self.table.n_rows - excess for c, excess in full.items()}
         uccs = [c for c in candidates if full.get(c) == 0]
         if last:
             return uccs, Level({})
         kept = {
-            c: sampled[c]
+            c: sampled.get(c)
             for c in candidates
             if full.get(c) != 0
             and c not in dropped
@@ -439,8 +446,49 @@ class _Search:
     def _determined(self, sampled: dict[Combo, int], before: Level) -> dict[Combo, list[Combo]]:
         """Combinations in which one column follows from the rest, where the sample leaves that open."""
         suspects = {c: self._followers(c, sampled[c], before.in_sample) for c in sampled if sampled[c]}
+        for c, parts in suspects.items():
+            suspects[c] = [p for p in parts if self.pivots.follows(p, (set(c) - set(p)).pop()) is None]
         return waves.determined(self.table, {c: parts for c, parts in suspects.items() if parts}, self.skip_nulls)
 
+    def _compared(self, combo: Combo) -> bool:
+        """All that the sample could say of the combination and of its parts is known from pairs of rows."""
+        return self.pivots.holds_all(combo) and all(
+            self.pivots.follows(tuple(x for x in combo if x != c), c) is not None for c in combo if self._always_counts(c)
+        )
+
+    def _followed(self, candidates: list[Combo]) -> set[Combo]:
+        """Combinations in which one column follows from the rest, as all pairs of rows show."""
+        rest = {c: [(tuple(x for x in c if x != col), col) for col in c if self._always_counts(col)] for c in candidates}
+        return {c for c, parts in rest.items() if any(self.pivots.holds_all(p) and self.pivots.follows(p, col) for p, col in parts)}
+
+    def _by_pivots(self, combos: list[Combo], before: Level) -> tuple[list[Combo], dict[Combo, int]]:
+        """The combinations that agree sets leave open, and the excess of those that they show to be unique.
+
+        Pivots are added while one answers for two or more of the combinations that no pool holds.
+        Pairs of columns are counted, which leaves pools.
+        """
+        while combos and len(combos[0]) > 2:
+            lone = [c for c in combos if self.pivots.of(c) is None and self._parent(c, before.pool) is None]
+            lone = [c for c in lone if not self.pivots.repeats(c)]
+            chosen = self.pivots.choose(lone) if len(lone) > 1 else None
+            if not chosen:
+                break
+            self.pivots.run(chosen)
+        combos = [c for c in combos if not self.pivots.repeats(c)]
+        unique, still, asked = [], [], {}
+        for c in combos:
+            pivot = self.pivots.of(c)
+            if pivot is None:
+                still.append(c)
+            elif pivot.rest is None:
+                unique.append(c)
+            else:
+                asked.setdefault(pivot.combo, (pivot.rest, []))[1].append(c)
+        for rows, open_combos in asked.values():
+            found = waves.repeats(rows, open_combos, self.skip_nulls, lambda s: s.rows > 0, self.held)
+            unique += [c for c in open_combos if c not in found.refuted and not found.counts[c].rows]
+        return still, dict.fromkeys(unique, 0)
+
     # -- counting in full ------------------------------------------------------
 
     def _count_survivors(self, combos: list[Combo], before: Level, last: bool) -> tuple[dict[Combo, int], Pool | None]:

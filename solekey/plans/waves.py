@@ -94,7 +94,7 @@ def repeats(
             break
         found.seen.append(still)
         numbers = [number[c] for c in still]
-        cells = G.cells(table.frame, table.layout(still), skip_nulls, numbers, depth)
+        cells = G.cells(table.dealt(_cells_of(first, end, table.n_rows, len(still))), table.layout(still), skip_nulls, numbers, depth)
         hashed = cells.withColumn("h", F.xxhash64(*cells.columns)).where(in_slice(F.col("h"), first, end))
         with roomy(table.spark, _cells_of(first, end, table.n_rows, len(still))):
             suspects = hashed.groupBy("combo", "h").count().where(F.col("count") > 1).select("combo", "h")
@@ -162,7 +162,7 @@ def determined(table: CodedTable, suspects: dict[Combo, list[Combo]], skip_nulls
         for _, part, b in still:
             own = [s for c in part for s in table.slots[c]]
             layout.append((*own, *[None] * (depth - len(own)), *table.slots[b]))
-        cells = G.cells(table.frame, layout, False, depth=depth + more)
+        cells = G.cells(table.dealt(_cells_of(first, end, table.n_rows, len(still))), layout, False, depth=depth + more)
         keys, value = G.key_names(depth), F.struct(*G.key_names(depth + more)[depth:])
         if skip_nulls:
             cells = cells.where(_complete_parts([len(slots) for slots in table.layout([p for _, p, _ in still])]))

@@ -146,5 +146,16 @@ def spread(df: DataFrame, n_rows: int) -> DataFrame:
     return df.repartition(cores) if is_small(df.sparkSession, n_rows) else df
 
 
+def n_partitions(df: DataFrame) -> int:
+    """Partitions of a frame as planned, without running what it depends on."""
+    adaptive = "spark.sql.adaptive.enabled"
+    before = df.sparkSession.conf.get(adaptive)
+    try:
+        df.sparkSession.conf.set(adaptive, "false")
+        return df.select("*").rdd.getNumPartitions()
+    finally:
+        df.sparkSession.conf.set(adaptive, before)
+
+
 def is_small(spark: SparkSession, n_rows: int) -> bool:
     return n_rows < spark.sparkContext.defaultParallelism * ROWS_PER_CORE
