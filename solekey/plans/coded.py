@@ -13,7 +13,7 @@ from solekey.functions.combos import column
 from solekey.functions import codes as C
 from solekey.plans import groups as G
 from solekey.plans.groups import Combo, Counts
-from solekey.session import CELLS_PER_PARTITION, is_small, n_partitions, roomy, spread
+from solekey.session import CELLS_PER_PARTITION, even_parts, is_small, is_uneven, roomy, rows_and_largest, spread
 
 NULLS = ("equal", "distinct")
 MAX_SLOTS = 4
@@ -47,6 +47,12 @@ class CodedTable:
     single: list[Counts] = field(default_factory=list)  # nulls left out
     nulls: list[int] = field(default_factory=list)
     stored: DataFrame | None = None
+    source_largest: int = 0  # rows of the largest partition of the source
+    largest: int = 0  # and of the frame
+
+    @property
+    def uneven(self) -> bool:
+        return is_uneven(self.spark, self.n_rows, self.source_largest)
 
     @property
     def frame(self) -> DataFrame:
@@ -60,9 +66,9 @@ class CodedTable:
         What a task combines before a shuffle it holds in memory, and files with large row
         groups give a few tasks all rows.
         """
-        parts = -(-n_cells // CELLS_PER_PARTITION)
-        few = parts > self.spark.sparkContext.defaultParallelism and n_partitions(self.frame) < parts
-        return self.frame.repartition(parts) if few else self.frame
+        if self.largest * n_cells <= CELLS_PER_PARTITION * self.n_rows:
+            return self.frame
+        return self.frame.repartition(max(-(-n_cells // CELLS_PER_PARTITION), self.spark.sparkContext.defaultParallelism))
 
     @property
     def spark(self):
@@ -108,14 +114,21 @@ class CodedTable:
             setattr(self, name, [old[i] for i in order])
 
     def keep(self, cols: Sequence[int]) -> None:
-        """Store only the code columns of `cols`, for use by several passes."""
-        wanted = sorted({s for col in cols for s in self.slots[col]})
-        self.stored = self.frame.select(*[f"s{s}" for s in wanted]).persist(StorageLevel.MEMORY_AND_DISK)
+        """Store only the code columns of `cols`, for use by several passes.
+
+        Codes that a few tasks read for all are dealt out, by all codes at once: no task has to sort its rows.
+        """
+        wanted = [f"s{s}" for s in sorted({s for col in cols for s in self.slots[col]})]
+        codes = self.frame.select(*wanted)
+        if self.uneven:
+            parts = even_parts(self.spark, self.n_rows)
+            codes, self.largest = codes.repartition(parts, *wanted), -(-self.n_rows // parts)
+        self.stored = codes.persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
         if self.stored is not None:
             self.stored.unpersist()
-            self.stored = None
+            self.stored, self.largest = None, self.source_largest
 
 
 def code_table(
@@ -130,7 +143,7 @@ def code_table(
 
     The same jobs give the exact group statistics of every single column; without
     `stats` only the columns that need a proof are counted. With `reuse` the codes of a
-    table too small to fill the cluster are stored from the start. Without `prove` the
+    table too small to fill the cluster, or read by a few tasks, are stored from the start. Without `prove` the
     codes only tell which rows cannot have an equal value.
     """
     names = list(df.columns if cols is None else cols)
@@ -143,17 +156,22 @@ def code_table(
         (hasher(value, 0) if wide[i] else C.code(value, schema[name])).alias(f"s{i}")
         for i, (name, value) in enumerate(zip(names, values))
     ]
+    n_rows, largest = rows_and_largest(df)
+    if is_small(df.sparkSession, n_rows):
+        largest = min(largest, -(-n_rows // df.sparkSession.sparkContext.defaultParallelism))  # as spread() deals them
     table = CodedTable(
         source=df.select(*values),
         names=names,
         exprs=exprs,
         slots=[(i,) for i in range(len(names))],
         wide=wide,
-        n_rows=df.count(),
+        n_rows=n_rows,
         single=[G.NOTHING] * len(names),
         nulls=[0] * len(names),
+        source_largest=largest,
+        largest=largest,
     )
-    if reuse and is_small(df.sparkSession, table.n_rows):
+    if reuse and (table.uneven or is_small(df.sparkSession, n_rows)):
         table.keep(range(len(names)))
     pending = [c for c in range(len(names)) if stats or wide[c]]
     for slot in range(1, MAX_SLOTS + 1):
@@ -193,15 +211,18 @@ def _collided(table: CodedTable, cols: Sequence[int]) -> list[int]:
         pairs = F.array(
             *[F.struct(F.lit(c).alias("col"), column(table.names[c]).alias("value")) for c in same_type]
         )
+        n_cells, source = table.n_rows * len(same_type), table.source
+        if table.uneven:
+            source = source.select(*[column(table.names[c]) for c in same_type]).repartition(even_parts(table.spark, n_cells))
         distinct = (
-            table.source.select(F.explode(pairs).alias("p"))
+            source.select(F.explode(pairs).alias("p"))
             .select("p.*")
             .where(F.col("value").isNotNull())
             .distinct()
             .groupBy("col")
             .count()
         )
-        with roomy(table.spark, table.n_rows * len(same_type)):
+        with roomy(table.spark, n_cells):
             found = {r["col"]: r["count"] for r in distinct.collect()}
         failed += [c for c in same_type if found.get(c, 0) != table.single[c].groups]
     return sorted(failed)
@@ -224,5 +245,6 @@ def rows_with_repeated_codes(table: CodedTable, col: int) -> DataFrame:
     value = column(table.names[col])
     coded = table.source.select(*[table.exprs[s] for s in table.slots[col]], value.alias("value"))
     coded = coded.where(F.col("value").isNotNull())
-    repeated = coded.groupBy(*keys).count().where(F.col("count") > 1).drop("count")
+    codes = table.dealt(table.n_rows).select(*keys).where(F.col(keys[0]).isNotNull())
+    repeated = codes.groupBy(*keys).count().where(F.col("count") > 1).drop("count")
     return coded.join(small_side(repeated, table.single[col].repeated_groups), keys, "left_semi")

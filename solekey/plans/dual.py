@@ -67,7 +67,7 @@ def find_dual(table: CodedTable, sample: DataFrame | None, sample_rows: int, ski
     agreeing: set[int] = set()
     stages = [table]
     if sample is not None:
-        stages.insert(0, replace(table, stored=sample, n_rows=sample_rows))
+        stages.insert(0, replace(table, stored=sample, n_rows=sample_rows, largest=sample_rows))
     unique: list[Combo] = []
     for part in stages:
         pivots = Pivots(part, skip_nulls) if part is table else None

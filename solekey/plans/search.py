@@ -311,13 +311,13 @@ class _Search:
     # -- evidence from the sample -----------------------------------------------
 
     def _worth_storing(self) -> bool:
-        """Codes are kept if a column has many different wide values, unless they are stored already.
+        """Codes are kept if a column has many different wide values or few tasks read all rows, unless they are stored already.
 
         Otherwise a pass reads just its own columns from the source again, which costs less
         than a second copy of the table.
         """
         many = [s for s, wide in zip(self.table.single, self.table.wide) if wide and s.groups > MANY_VALUES]
-        return self.table.stored is None and bool(many)
+        return self.table.stored is None and (self.table.uneven or bool(many))
 
     def _take_sample(self) -> None:
         n_rows = self.table.n_rows

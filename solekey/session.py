@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,6 +34,9 @@ PARTITION_SETTINGS = (
 # Below this a table has too few rows per core for its own splits to be of use.
 ROWS_PER_CORE = 100_000
 
+# Partitions that a shuffle writes straight to files (spark.shuffle.sort.bypassMergeThreshold).
+FILES_OF_A_TASK = 200
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Apply the settings the library is tuned for to a session builder."""
@@ -146,15 +150,26 @@ def spread(df: DataFrame, n_rows: int) -> DataFrame:
     return df.repartition(cores) if is_small(df.sparkSession, n_rows) else df
 
 
-def n_partitions(df: DataFrame) -> int:
-    """Partitions of a frame as planned, without running what it depends on."""
-    adaptive = "spark.sql.adaptive.enabled"
-    before = df.sparkSession.conf.get(adaptive)
-    try:
-        df.sparkSession.conf.set(adaptive, "false")
-        return df.select("*").rdd.getNumPartitions()
-    finally:
-        df.sparkSession.conf.set(adaptive, before)
+def rows_and_largest(df: DataFrame) -> tuple[int, int]:
+    """The rows of a frame, and of the largest of its partitions as they are read."""
+    sizes = df.select(F.spark_partition_id().alias("part")).groupBy("part").count()
+    row = sizes.agg(F.sum("count").alias("rows"), F.max("count").alias("largest")).first()
+    return row["rows"] or 0, row["largest"] or 0
+
+
+def is_uneven(spark: SparkSession, n_rows: int, largest: int) -> bool:
+    """One task has over twice its share of a table that is not small; files of few row groups are read so."""
+    cores = spark.sparkContext.defaultParallelism
+    return not is_small(spark, n_rows) and largest * cores > 2 * n_rows
+
+
+def even_parts(spark: SparkSession, n_rows: int) -> int:
+    """Partitions for a table that is dealt out and kept.
+
+    While they are no more than FILES_OF_A_TASK, a task writes its rows for them without holding them.
+    """
+    cores, wanted = spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_CORE)
+    return min(MOST_PARTITIONS, max(cores, min(wanted, FILES_OF_A_TASK), -(-n_rows // CELLS_PER_PARTITION)))
 
 
 def is_small(spark: SparkSession, n_rows: int) -> bool:

@@ -6,6 +6,7 @@ import pytest
 from brute import minimal_uccs as brute
 from test_search import TYPES, answer, frame, holes, table
 
+from solekey import session
 from solekey.plans import coded, dual, pivots, search
 from solekey.plans.coded import code_table
 
@@ -90,3 +91,30 @@ def test_cells_of_a_task_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(coded, "CELLS_PER_PARTITION", 100)
     assert codes.dealt(2000).rdd.getNumPartitions() == 20
     assert codes.counts([(0,), (1,), (0, 1)], False)[(0, 1)].groups == 1000
+
+
+def test_a_table_read_by_one_task_is_dealt_once(spark, monkeypatch):
+    """Before, each pass was made by the task that reads the file, with all keys in its memory."""
+    monkeypatch.setattr(session, "ROWS_PER_CORE", 10)
+    df = spark.range(1000).coalesce(1).selectExpr("id a", "cast(id % 7 as string) b", "id % 50 c")
+    codes = code_table(df, reuse=True, stats=False)
+    assert codes.uneven and codes.frame.rdd.getNumPartitions() == 100 and codes.largest == 10
+    assert max(codes.frame.rdd.glom().map(len).collect()) < 40
+    codes.release()
+    assert codes.largest == 1000 and codes.frame.rdd.getNumPartitions() == 1
+
+
+def test_few_cells_of_one_task_are_dealt(spark, monkeypatch):
+    """Before, a task that read all rows kept them unless their cells needed more parts than there are cores."""
+    monkeypatch.setattr(session, "ROWS_PER_CORE", 10)
+    monkeypatch.setattr(coded, "CELLS_PER_PARTITION", 300)
+    codes = code_table(spark.range(1000).coalesce(1).selectExpr("id a"), stats=False)
+    assert codes.dealt(1000).rdd.getNumPartitions() == 4 and codes.dealt(200).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("method", ["levels", "dual"])
+def test_uneven_tables_are_searched_whole(spark, monkeypatch, method):
+    monkeypatch.setattr(session, "ROWS_PER_CORE", 5)
+    rows = holes(table(6), 7)
+    df = frame(spark, rows, 7, TYPES).coalesce(1)
+    assert answer(df, method=method, sample_rows=12) == set(brute(rows, 7))
