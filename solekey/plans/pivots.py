@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from solekey.plans import groups as G
 from solekey.plans.coded import BROADCAST_ROWS, CodedTable
 from solekey.plans.groups import Combo
-from solekey.session import CELLS_PER_PARTITION, durable, roomy
+from solekey.session import CELLS_PER_PARTITION, durable, roomy, rows_and_largest
 
 # Pairs of rows for each row of the table, at most, that a pivot may have.
 PAIRS_PER_ROW = 64
@@ -30,8 +31,9 @@ PAIRS_PER_ROW = 64
 # Keys of more rows are not compared pair by pair.
 MOST_ROWS = 1_024
 
-# Pairs are counted on keys drawn by their hash, with about so many rows.
-MEASURED_ROWS = 500_000
+# Pairs are estimated on a sample of at least so many rows, and so many for each root of the table's rows.
+MEASURED_FLOOR = 20_000
+MEASURED_PER_ROOT = 64
 
 # Agree sets that a task gathers before it keeps only those that are in no other one.
 MOST_SETS = 2_048
@@ -72,6 +74,7 @@ class Pivots:
         self.found: list[Pivot] = []
         self.masks: set[int] = set()  # of all pivots
         self.pairs: dict[Combo, float] = {}  # for each row, about
+        self.drawn: DataFrame | None = None
 
     def of(self, combo: Combo) -> Pivot | None:
         """The pivot in a combination that leaves the fewest rows open."""
@@ -104,17 +107,23 @@ class Pivots:
         return best if best is not None and covered[best] > 1 else None
 
     def _measure(self, combos: list[Combo]) -> None:
-        """Count pairs, those of keys that count as compared, on a part of the keys with all their rows."""
+        """Estimate pairs, those of keys that count as compared, from the pairs in a sample that is written once."""
         if not combos:
             return
-        share = min(1.0, MEASURED_ROWS / self.table.n_rows)
-        cells = G.cells(self.table.frame, self.table.layout(combos), self.skip_nulls)
-        drawn = F.shiftrightunsigned(F.xxhash64(F.lit(57), *cells.columns), 11) / float(2**53)
-        compared = F.col("size") * F.least(F.col("size") - 1, F.lit(MOST_ROWS)) / 2
-        with roomy(self.table.spark, int(share * self.table.n_rows) * len(combos)):
-            sums = G.sizes(cells.where(drawn < share)).groupBy("combo").agg((F.sum(compared) / F.sum("size")).alias("pairs"))
+        table, n_rows = self.table, self.table.n_rows
+        wanted = max(MEASURED_FLOOR, MEASURED_PER_ROOT * isqrt(n_rows))
+        share = min(1.0, wanted / n_rows)
+        if self.drawn is None:
+            self.drawn = table.frame
+            if share < 1:
+                parts = max(1, min(table.spark.sparkContext.defaultParallelism, wanted // 2_000))
+                self.drawn = durable(table.frame.sample(share, seed=57).repartition(parts))
+        cells = G.cells(self.drawn, table.layout(combos), self.skip_nulls)
+        # Both rows of a pair are in the sample with the square of the share.
+        compared = F.least(F.col("size") * (F.col("size") - 1) / share**2, F.col("size") * MOST_ROWS / share) / 2
+        with roomy(table.spark, min(wanted, n_rows) * len(combos)):
+            sums = G.sizes(cells).groupBy("combo").agg((F.sum(compared) / F.sum(F.col("size") / share)).alias("pairs"))
             seen = {r["combo"]: r["pairs"] for r in sums.collect()}
-        # Of few keys none may be drawn: they have many rows then.
         self.pairs |= {c: seen.get(i, float("inf")) for i, c in enumerate(combos)}
 
     def run(self, combo: Combo, wanted: Sequence[int] | None = None) -> Pivot:
@@ -136,8 +145,8 @@ class Pivots:
                 side = F.broadcast(frequent) if size["keys"] <= BROADCAST_ROWS else frequent
                 same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys])
                 left = durable(rows.join(side, same, "left_semi"))
-                n_left = left.count()
-                rest = replace(table, stored=left, n_rows=n_left) if n_left else None
+                n_left, largest = rows_and_largest(left)
+                rest = replace(table, stored=left, n_rows=n_left, largest=largest) if n_left else None
                 few = rows.join(side, same, "left_anti")
             tasks = max(table.spark.sparkContext.defaultParallelism, -(-n_cells // CELLS_PER_PARTITION))
             place = {s: i for i, s in enumerate(slots)}

@@ -118,3 +118,14 @@ def test_uneven_tables_are_searched_whole(spark, monkeypatch, method):
     rows = holes(table(6), 7)
     df = frame(spark, rows, 7, TYPES).coalesce(1)
     assert answer(df, method=method, sample_rows=12) == set(brute(rows, 7))
+
+
+def test_pairs_are_estimated_from_a_sample(spark, monkeypatch):
+    """Before, every row became a cell of every set that was measured."""
+    monkeypatch.setattr(pivots, "MEASURED_FLOOR", 1000)
+    monkeypatch.setattr(pivots, "MEASURED_PER_ROOT", 1)
+    codes = code_table(spark.range(10_000).selectExpr("id % 1000 a", "id % 100 b", "id c"), stats=False)
+    found = pivots.Pivots(codes, False)
+    found._measure([(0,), (1,), (2,)])
+    assert found.drawn.count() < 1500 and found.pairs[(2,)] == 0
+    assert 3 < found.pairs[(0,)] < 6 and 40 < found.pairs[(1,)] < 60  # 4.5 and 49.5
