@@ -24,7 +24,7 @@ CACHE_WORDS = 1_000_000
 # How the tokenizer cuts texts without odd signs into pieces, whose ids don't depend
 # on what stands around them. It lower-cases and drops white space itself.
 LETTERS, NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9"
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+PIECES = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 # Texts with other scripts, combining or control signs, rare spaces, or strings of special tokens
 # are only cut at plain blanks.
 ODD = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f-\xa0²³¹¼½¾İ\u0250-\U0010ffff]")
@@ -62,6 +62,17 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.known = Known()
+        self.spelled = self._spelling()
+        self.word = re.compile(f"[{''.join(map(re.escape, self.spelled))}]+" if self.spelled else r"(?!)")
+
+    def _spelling(self) -> dict[str, str]:
+        """How the tokenizer hands single letters to its model, of those that it leaves as they are."""
+        normal, cut, out = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, {}
+        for c in filter(re.compile(f"[{LETTERS}]").match, map(chr, range(0x250))):
+            if (normal is None or normal.normalize_str(c) == c) and cut is not None:
+                if len(pieces := cut.pre_tokenize_str(c)) == 1:
+                    out[c] = pieces[0][0]
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each whole text's ids, then the end id, as little-endian unsigned 32-bit numbers.
@@ -83,15 +94,30 @@ class Tokens:
         return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
 
     def _look_up(self, words: list[str], into: dict[str, bytes]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
+        """Words of plain letters go straight to the model, which is much cheaper than an encoding with its offsets."""
+        plain, others = [], []
+        for word in words:
+            (plain if self.word.fullmatch(word) else others).append(word)
+        tokenize, spelled = self.tokenizer.model.tokenize, str.maketrans(self.spelled)
+        for at in range(0, len(plain), 10_000):
+            part, ids, ends = plain[at : at + 10_000], [], []
+            for word in part:
+                ids += [t.id for t in tokenize(word if word.isascii() else word.translate(spelled))]
+                ends.append(len(ids))
+            _cut(part, ids, ends, into)
+        for at in range(0, len(others), 10_000):
+            part = others[at : at + 10_000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right") * 4
-            start = 0
-            for word, end in zip(part, ends.tolist()):
-                into[word] = ids[start:end]
-                start = end
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right").tolist()
+            _cut(part, found.ids, ends, into)
+
+
+def _cut(words: list[str], ids: list[int], ends: list[int], into: dict[str, bytes]) -> None:
+    """Give each word its part of the ids, as bytes."""
+    flat, start = np.array(ids, "<u4").tobytes(), 0
+    for word, end in zip(words, ends):
+        into[word] = flat[4 * start : 4 * end]
+        start = end
 
 
 _WORKER: dict[tuple, Tokens] = {}
