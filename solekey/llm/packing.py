@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,11 @@ from solekey.llm.frames import doc_text, map_batches
 # Pieces that wait for a place in one task at a time.
 WINDOW = 2048
 
-# Words whose ids a Python worker remembers, from task to task; about 200 MB.
-CACHE_WORDS = 1_000_000
+# Words whose ids a Python worker remembers, from task to task, of plain and of odd texts each; about 50 MB.
+CACHE_WORDS = 200_000
+# Longer ones are not remembered, nor those not met before; a table of so many marks tells which were.
+CACHE_CHARS = 64
+MARKS = 1 << 20
 
 # How the tokenizer cuts texts without odd signs into pieces, whose ids don't depend
 # on what stands around them. It lower-cases and drops white space itself.
@@ -27,7 +31,8 @@ LETTERS, NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9"
 PIECES = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 # Texts with other scripts, combining or control signs, rare spaces, or strings of special tokens
 # are only cut at plain blanks.
-ODD = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f-\xa0²³¹¼½¾İ\u0250-\U0010ffff]")
+ODD_SIGN = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0²³¹¼½¾İ\u0250-\U0010ffff]")
+ODD = re.compile(rf"<\||{ODD_SIGN.pattern}")
 BLANKS = re.compile("[ \t\n\r\f\v]+")
 
 
@@ -44,12 +49,20 @@ class Limits:
 
 
 class Known(dict):
-    """Ids of remembered words, and for the texts at hand those of others."""
+    """Ids of words, remembered from the second time a word is met: most words of a corpus occur once."""
 
-    others: dict[str, bytes] = {}
+    def __init__(self, find):
+        self.find, self.met = find, bytearray(MARKS)
 
     def __missing__(self, word: str) -> bytes:
-        return self.others[word]
+        ids = self.find(word)
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARS:
+            mark = hash(word) % MARKS
+            if self.met[mark]:
+                self[word] = ids
+            else:
+                self.met[mark] = 1
+        return ids
 
 
 class Tokens:
@@ -61,9 +74,11 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.known = Known()
+        self.plain, self.odd = Known(self._plain), Known(self._odd)
         self.spelled = self._spelling()
         self.word = re.compile(f"[{''.join(map(re.escape, self.spelled))}]+" if self.spelled else r"(?!)")
+        self.letters = str.maketrans(self.spelled)
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _spelling(self) -> dict[str, str]:
         """How the tokenizer hands single letters to its model, of those that it leaves as they are."""
@@ -75,49 +90,38 @@ class Tokens:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Each whole text's ids, then the end id, as little-endian unsigned 32-bit numbers.
+        """Each whole text's ids, then the end id, as little-endian unsigned 32-bit numbers."""
+        plain, odd, end = self.plain.__getitem__, self.odd.__getitem__, self.end
+        return [
+            b"".join(map(odd, BLANKS.split(text))) + end if is_odd(text) else b"".join(map(plain, text.lower().split())) + end
+            for text in texts
+        ]
 
-        The first words met are remembered; others are looked up for these texts only.
+    def _plain(self, word: str) -> bytes:
+        """A lower-cased word of a plain text: the ids of its pieces.
+
+        Those of plain letters go straight to the model, which is much cheaper than an encoding with its offsets.
         """
-        plain = [not ODD.search(text) for text in texts]
-        split = [PIECES.findall(t.lower()) if ok else BLANKS.split(t) for t, ok in zip(texts, plain)]
-        known = self.known
-        new = set().union(*(words for words, ok in zip(split, plain) if ok)) - known.keys()
-        odd = set().union(*(words for words, ok in zip(split, plain) if not ok)) - known.keys() - new
-        fits = len(known) + len(new) + len(odd) <= CACHE_WORDS
-        here = known if fits else {}
-        self._look_up(list(new), here)
-        odd = list(odd)
-        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            here[word] = np.array(found.ids, "<u4").tobytes()
-        known.others = {} if fits else here
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
-
-    def _look_up(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Words of plain letters go straight to the model, which is much cheaper than an encoding with its offsets."""
-        plain, others = [], []
-        for word in words:
-            (plain if self.word.fullmatch(word) else others).append(word)
-        tokenize, spelled = self.tokenizer.model.tokenize, str.maketrans(self.spelled)
-        for at in range(0, len(plain), 10_000):
-            part, ids, ends = plain[at : at + 10_000], [], []
-            for word in part:
-                ids += [t.id for t in tokenize(word if word.isascii() else word.translate(spelled))]
-                ends.append(len(ids))
-            _cut(part, ids, ends, into)
-        for at in range(0, len(others), 10_000):
-            part = others[at : at + 10_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right").tolist()
-            _cut(part, found.ids, ends, into)
-
-
-def _cut(words: list[str], ids: list[int], ends: list[int], into: dict[str, bytes]) -> None:
-    """Give each word its part of the ids, as bytes."""
-    flat, start = np.array(ids, "<u4").tobytes(), 0
-    for word, end in zip(words, ends):
-        into[word] = flat[4 * start : 4 * end]
-        start = end
+        pieces = PIECES.findall(word)
+        if len(pieces) != 1:
+            return b"".join(map(self.plain.__getitem__, pieces))
+        if self.word.fullmatch(word):
+            return _bytes([t.id for t in self.tokenize(word if word.isascii() else word.translate(self.letters))])
+        return _bytes(self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False).ids)
+
+    def _odd(self, word: str) -> bytes:
+        if not is_odd(word):
+            return self.plain[word.lower()]
+        (found,) = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)
+        return _bytes(found.ids)
+
+
+def is_odd(text: str) -> bool:
+    return ODD_SIGN.search(text) is not None or "<|" in text
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 _WORKER: dict[tuple, Tokens] = {}
@@ -139,13 +143,14 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """
     order = np.argsort(-sizes[:, 0], kind="stable")
     own, limits = sizes[order], limits.astype(np.int64)
-    shares, left = own / limits, np.arange(len(own))
+    shares, left, columns = own / limits, np.arange(len(own)), np.ascontiguousarray(own.T)
+    free = np.ones(len(own), bool)
     bins = []
     while len(left):
         room, chosen = limits.copy(), []
         here = left
         while True:
-            here = here[(own[here] <= room).all(1)]
+            here = here[np.logical_and.reduce([own_size[here] <= most for own_size, most in zip(columns, room)])]
             if not len(here):
                 break
             best = here[np.argmax(shares[here] @ (room / limits))]
@@ -155,7 +160,8 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
         if not chosen:
             chosen = [left[0]]
         bins.append(order[chosen].tolist())
-        left = np.setdiff1d(left, chosen, assume_unique=True)
+        free[chosen] = False
+        left = left[free[left]]
     return bins
 
 

@@ -396,6 +396,23 @@ def test_words_of_letters_go_straight_to_the_model():
     assert sorted(asked) == ["'s", "2", "4"]
 
 
+def test_words_are_remembered_from_the_second_time(monkeypatch):
+    """Before, a worker remembered every word, most of which never came again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, tokens = Tokenizer.from_file(path), packing.Tokens(path, None)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    rng = random.Random(5)
+    often = ["the", "straße,", "w0lves", "\u2019s", "caf\u0301e", "\u00c5ngstr\u00f6m", "x" * 100, "\u4e2d" * 100]
+    for _ in range(300):
+        rare = "".join(rng.choice("abcdefgh") for _ in range(9))
+        text = " ".join([rare, *rng.sample(often[: rng.choice([3, len(often)])], 3)])
+        (ids,) = tokens.ids([text])
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for known in (tokens.plain, tokens.odd):
+        assert "the" in known and "w0lves" in known and len(known) <= 40 and max(map(len, known)) <= packing.CACHE_CHARS
+    assert rare not in tokens.plain
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(8)
