@@ -13,7 +13,7 @@ from solekey.functions.combos import column
 from solekey.functions import codes as C
 from solekey.plans import groups as G
 from solekey.plans.groups import Combo, Counts
-from solekey.session import CELLS_PER_PARTITION, even_parts, is_small, is_uneven, roomy, rows_and_largest, spread
+from solekey.session import CELLS_PER_PARTITION, even_parts, filled, is_small, is_uneven, most_cells, roomy, rows_and_largest, spread
 
 NULLS = ("equal", "distinct")
 MAX_SLOTS = 4
@@ -78,13 +78,16 @@ class CodedTable:
         return [tuple(s for col in combo for s in self.slots[col]) for combo in combos]
 
     def counts(self, combos: Sequence[Combo], skip_nulls: bool, rows: DataFrame | None = None, n_rows=None):
-        """Exact group statistics of every combination; one read of the codes for all of them."""
-        if not combos:
-            return {}
-        frame = self.dealt(self.n_rows * len(combos)) if rows is None else rows
-        with roomy(self.spark, len(combos) * (self.n_rows if n_rows is None else n_rows)):
-            sized = G.sizes(G.cells(frame, self.layout(combos), skip_nulls))
-            return dict(zip(combos, G.read_counts(G.summary(sized), len(combos))))
+        """Exact group statistics of every combination; one read of the codes for all whose cells may be on disk together."""
+        found, n_rows = {}, self.n_rows if n_rows is None else n_rows
+        each = max(1, most_cells(self.n_rows) // max(1, n_rows))
+        for first in range(0, len(combos), each):
+            batch = list(combos)[first : first + each]
+            frame = self.dealt(self.n_rows * len(batch)) if rows is None else rows
+            with roomy(self.spark, len(batch) * n_rows):
+                sized = G.sizes(G.cells(frame, self.layout(batch), skip_nulls))
+                found |= zip(batch, G.read_counts(G.summary(sized), len(batch)))
+        return found
 
     def column_counts(self, col: int, skip_nulls: bool) -> Counts:
         """Statistics of a single column under the null rule, from the counts already made."""
@@ -120,10 +123,12 @@ class CodedTable:
         """
         wanted = [f"s{s}" for s in sorted({s for col in cols for s in self.slots[col]})]
         codes = self.frame.select(*wanted)
-        if self.uneven:
-            parts = even_parts(self.spark, self.n_rows)
-            codes, self.largest = codes.repartition(parts, *wanted), -(-self.n_rows // parts)
-        self.stored = codes.persist(StorageLevel.MEMORY_AND_DISK)
+        if not self.uneven:
+            self.stored = codes.persist(StorageLevel.MEMORY_AND_DISK)
+            return
+        parts = even_parts(self.spark, self.n_rows)
+        self.stored, self.largest = codes.repartition(parts, *wanted).persist(StorageLevel.MEMORY_AND_DISK), -(-self.n_rows // parts)
+        filled(self.stored)
 
     def release(self) -> None:
         if self.stored is not None:

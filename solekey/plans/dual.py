@@ -28,6 +28,7 @@ from solekey.plans import waves
 from solekey.plans.coded import CodedTable
 from solekey.plans.groups import Combo
 from solekey.plans.pivots import Pivots, mask_of, maximal
+from solekey.session import discard
 
 # Repeated keys of each combination whose rows are looked at, and pairs of rows of each key.
 KEYS_PER_SET = 8
@@ -125,7 +126,7 @@ def _evidence(table: CodedTable, combos: list[Combo], skip_nulls: bool) -> tuple
         return {mask_of(c) for c in repeating}, _agree_sets(table, combos, keys, skip_nulls)
     finally:
         for frame in held:
-            frame.unpersist()
+            discard(frame)
 
 
 def _agree_sets(table: CodedTable, combos: list[Combo], keys: DataFrame | None, skip_nulls: bool) -> set[int]:

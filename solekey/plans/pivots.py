@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from solekey.plans import groups as G
 from solekey.plans.coded import BROADCAST_ROWS, CodedTable
 from solekey.plans.groups import Combo
-from solekey.session import CELLS_PER_PARTITION, durable, roomy, rows_and_largest
+from solekey.session import CELLS_PER_PARTITION, durable, most_cells, roomy, rows_and_largest
 
 # Pairs of rows for each row of the table, at most, that a pivot may have.
 PAIRS_PER_ROW = 64
@@ -35,6 +35,9 @@ MOST_ROWS = 1_024
 MEASURED_FLOOR = 20_000
 MEASURED_PER_ROOT = 64
 
+# Codes that take about as much room on disk as a cell of a combination.
+CODES_PER_CELL = 4
+
 # Agree sets that a task gathers before it keeps only those that are in no other one.
 MOST_SETS = 2_048
 
@@ -153,8 +156,12 @@ class Pivots:
             compare = _comparison(
                 [place[s] for s in table.layout([combo])[0]], [[place[s] for s in own] for own in table.slots], self.skip_nulls, wanted
             )
-            dealt = few.repartition(tasks, *keys).sortWithinPartitions(*keys)
-            said = dealt.mapInArrow(compare, "mask string, complete boolean").distinct().collect()
+            # All rows of a key are in one slice; a slice's rows are on disk only while they are compared.
+            slices, said = -(-n_cells // (CODES_PER_CELL * most_cells(table.n_rows))), []
+            for i in range(slices):
+                own = few.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == i) if slices > 1 else few
+                dealt = own.repartition(-(-tasks // slices), *keys).sortWithinPartitions(*keys)
+                said += dealt.mapInArrow(compare, "mask string, complete boolean").distinct().collect()
         masks = {int(r["mask"], 16) for r in said if r["mask"]}
         pivot = Pivot(combo, masks, wanted is None and all(r["complete"] for r in said), rest)
         self.found.append(pivot)

@@ -29,7 +29,6 @@ from functools import reduce
 from itertools import combinations
 from math import isqrt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +42,7 @@ from solekey.plans.dual import find_dual
 from solekey.plans.groups import Combo, Counts
 from solekey.plans.pivots import Pivots
 from solekey.plans.state import SearchState
-from solekey.session import durable, roomy, temporary
+from solekey.session import discard, durable, fine_reads, most_cells, roomy, temporary, tidy
 
 SAMPLE_FLOOR = 20_000
 SAMPLE_PER_ROOT = 64
@@ -58,8 +57,9 @@ FEW_VALUES = 1_000
 MANY_VALUES = 100_000
 
 # A pool of repeated rows is used when it is at most this part of the table, while all pools
-# of a level together have no more rows than the table.
+# of a level together have at most that part of its rows.
 POOL_SHARE = 32
+POOLS_SHARE = 8
 
 
 # Up to so many combinations, which the driver holds anyway, are joined there; a job would take longer.
@@ -122,7 +122,7 @@ def find(df, max_arity=None, nulls="equal", max_candidates=None, sample_rows=Non
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     if resume is not None and method != "levels":
         raise ValueError("only a search by levels can be resumed")
-    with temporary(df.sparkSession):
+    with temporary(df.sparkSession), tidy(df.sparkSession), fine_reads(df):
         table = code_table(df, reuse=True, stats=False)
         names, order, search = table.names, list(range(len(table.names))), None
         try:
@@ -178,8 +178,10 @@ class _Search:
             size += 1
             if not candidates:
                 break
-            found, level = self._check(candidates, level, last=size == max_arity)
-            uccs += found
+            found, above = self._check(candidates, level, last=size == max_arity)
+            if level.pool:
+                discard(level.pool.rows)
+            uccs, level = uccs + found, above
             self._remember(size, uccs, level)
         if self.state:
             self.state.clear()
@@ -283,11 +285,11 @@ class _Search:
 
     def release(self) -> None:
         """Give up everything stored on the way."""
-        self._unpersist(len(self.held))
+        self._discard(len(self.held))
 
-    def _unpersist(self, first: int) -> None:
+    def _discard(self, first: int) -> None:
         for frame in self.held[:first]:
-            frame.unpersist()
+            discard(frame)
         del self.held[:first]
 
     # -- candidates ------------------------------------------------------------
@@ -344,8 +346,7 @@ class _Search:
             rows = rows.dropna()
         # Rows with different hashes are different; only equal hashes are looked at closely.
         hashed = rows.withColumn("h", F.xxhash64(*keys))
-        repeated = hashed.groupBy("h").count().where(F.col("count") > 1).select("h")
-        repeated = repeated.persist(StorageLevel.MEMORY_AND_DISK)
+        repeated = durable(hashed.groupBy("h").count().where(F.col("count") > 1).select("h"))
         try:
             found = repeated.count()
             if not found:
@@ -353,7 +354,7 @@ class _Search:
             close = hashed.join(small_side(repeated, found), "h", "left_semi")
             return not close.groupBy(*keys).count().where(F.col("count") > 1).isEmpty()
         finally:
-            repeated.unpersist()
+            discard(repeated)
 
     def _refute(self, combos: list[Combo]) -> list[Combo]:
         """On the last level: the combinations without a repeat in the coherent sample of their first column."""
@@ -422,7 +423,7 @@ class _Search:
                 survivors = pooled + (self._refute(rest) if rest else [])
             full, pool = self._count_survivors(survivors, before, last)
             full |= settled
-            self._unpersist(earlier)
+            self._discard(earlier)
             if not last:
                 dropped = set(self._determined(sampled, before)) | self._followed(candidates)
         self.bounds |= {c: self.table.n_rows - excess for c, excess in full.items()}
@@ -504,7 +505,7 @@ class _Search:
 
         def add(rows, batch, batch_owners, keys, counts) -> None:
             """Put the rows of the batch's repeated keys into the next pool, as far as there is room."""
-            usable = [] if last else self._poolable(counts, self.table.n_rows - sum(kept.n_rows.values()))
+            usable = [] if last else self._poolable(counts, self.table.n_rows // POOLS_SHARE - sum(kept.n_rows.values()))
             if not usable:
                 return
             first = len(kept.owners)
@@ -515,15 +516,15 @@ class _Search:
             own = [batch_owners[i] for i in usable]
             parts.append(_repeated_rows(rows, layout, position, own, keys.where(F.col("combo").isin(usable)), new_owner))
 
-        if pooled:
-            owners = [pool.owners[parent[c]] for c in pooled]
-            with roomy(self.spark, sum(pool.n_rows[parent[c]] for c in pooled)):
-                cells = _pool_cells(pool.rows, self.table.layout(pooled), position, owners, self.skip_nulls)
-                keys = G.sizes(cells).where(F.col("size") > 1).persist(StorageLevel.MEMORY_AND_DISK)
+        for batch in _batches(pooled, [pool.n_rows[parent[c]] for c in pooled], most_cells(self.table.n_rows)):
+            owners = [pool.owners[parent[c]] for c in batch]
+            with roomy(self.spark, sum(pool.n_rows[parent[c]] for c in batch)):
+                cells = _pool_cells(pool.rows, self.table.layout(batch), position, owners, self.skip_nulls)
+                keys = durable(G.sizes(cells).where(F.col("size") > 1))
                 self.held.append(keys)
-                counts = G.read_counts(G.summary(keys), len(pooled))
-            excess.update({c: s.excess for c, s in zip(pooled, counts)})
-            add(pool.rows, pooled, owners, keys, counts)
+                counts = G.read_counts(G.summary(keys), len(batch))
+            excess.update({c: s.excess for c, s in zip(batch, counts)})
+            add(pool.rows, batch, owners, keys, counts)
         if fresh:
             most = 0 if last else self.table.n_rows // POOL_SHARE
             found = waves.repeats(self.table, fresh, self.skip_nulls, lambda s: s.rows > most, self.held)
@@ -570,6 +571,18 @@ def _joined(kept: Sequence[Combo]) -> list[Combo]:
     return sorted(c for c in joined if all(c[:k] + c[k + 1 :] in known for k in range(len(c) - 2)))
 
 
+def _batches(combos: Sequence[Combo], cells: Sequence[int], most: int) -> list[list[Combo]]:
+    """The combinations in parts of at most so many cells, if a single one has no more."""
+    out, room = [], -1
+    for c, n in zip(combos, cells):
+        if n > room:
+            out.append([])
+            room = most
+        out[-1].append(c)
+        room -= n
+    return out
+
+
 def _pool_cells(rows, layout, position, owners, skip_nulls, carry=()) -> DataFrame:
     """Cells of the rows whose owner the combination is to be checked on."""
     depth = G.depth_of(layout)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,17 @@ PARTITION_SETTINGS = (
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
 )
 
+# Cells that a job may put on disk at once, if the table has no more rows than that.
+CELLS_ON_DISK = 8_000_000
+
+# Rows of a file that one task reads in a search at most, if its row groups are no larger.
+ROWS_READ = 1_000_000
+READ_TRIES = 5
+
+# Shuffle files of a job go when it ends, not when the driver's memory is next cleaned up.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+READ_BYTES = "spark.sql.files.maxPartitionBytes"
+
 # Below this a table has too few rows per core for its own splits to be of use.
 ROWS_PER_CORE = 100_000
 
@@ -75,6 +86,25 @@ def _written(df: DataFrame, scopes: list[list[str]] | None) -> DataFrame:
     return written
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what durable() wrote for a frame; nothing may read it later."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete(df.sparkSession, file.get())
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """Fill a frame that is to be kept, and delete the shuffle files behind it; Spark makes them anew if it loses a part."""
+    df.count()
+    relation = df._jdf.queryExecution().withCachedData()
+    if relation.getClass().getSimpleName() == "InMemoryRelation":
+        plan = relation.cacheBuilder().cachedPlan()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            for number in plan.context().shuffleIds().keySet().toArray():
+                df.sparkSession._jsc.sc().shuffleDriverComponents().removeShuffle(number, False)
+    return df
+
+
 _local = threading.local()
 
 
@@ -93,6 +123,48 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
             delete(spark, path)
 
 
+@contextmanager
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for jobs inside; they are as before afterwards."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def tidy(spark: SparkSession):
+    """Each job inside deletes its shuffle files when it ends."""
+    return _set(spark, {SHUFFLE_CLEANUP: "true"})
+
+
+@contextmanager
+def fine_reads(df: DataFrame) -> Iterator[None]:
+    """Files that the frame reads are read inside in parts of about ROWS_READ rows, as far as their row groups allow."""
+    spark = df.sparkSession
+    n_rows, largest = rows_and_largest(df)
+    size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    with ExitStack() as stack:
+        for _ in range(READ_TRIES):
+            if is_small(spark, n_rows) or largest <= ROWS_READ:
+                break
+            size = max(1, size * ROWS_READ // largest)
+            stack.enter_context(_set(spark, {READ_BYTES: str(size)}))
+            largest = rows_and_largest(df)[1]
+        yield
+
+
+def most_cells(n_rows: int) -> int:
+    """Cells that a job over a table of so many rows may put on disk at once."""
+    return max(CELLS_ON_DISK, n_rows)
+
+
 def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path as it knows it."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from brute import group_counts
 from brute import minimal_uccs as brute
 from test_search import TYPES, answer, frame, holes, table
 
@@ -33,6 +34,24 @@ def test_all_pairs_of_a_key_are_compared(spark, skip_nulls):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("skip_nulls", [False, True])
+def test_keys_are_compared_slice_by_slice(spark, monkeypatch, skip_nulls):
+    """Before, all codes of the table were on disk at once, in the order of the pivot."""
+    monkeypatch.setattr(session, "CELLS_ON_DISK", 1)
+    monkeypatch.setattr(pivots, "CODES_PER_CELL", 1)
+    monkeypatch.setattr(pivots, "MOST_ROWS", 5)
+    rows, made = holes(table(5), 7), []
+    found = pivots.Pivots(code_table(frame(spark, rows, 7, TYPES), stats=False), skip_nulls)
+    dealt = type(frame(spark, rows, 7, TYPES)).mapInArrow
+    monkeypatch.setattr(type(found.table.frame), "mapInArrow", lambda self, *more: made.append(1) or dealt(self, *more))
+    for combo in [(0,), (1, 3)]:
+        pivot = found.run(combo)
+        sizes = group_counts(rows, combo, "distinct" if skip_nulls else "equal")
+        kept = [r for r in rows if sizes.get(tuple(r[c] for c in combo), 0) <= 5]
+        assert pivot.masks == agreeing(kept, combo, skip_nulls)
+    assert len(made) == 2 * len(found.table.exprs)
+
+
 @pytest.mark.parametrize("method", ["levels", "dual"])
 def test_keys_of_many_rows_are_grouped(spark, monkeypatch, method):
     monkeypatch.setattr(pivots, "MOST_ROWS", 3)

@@ -2,16 +2,19 @@
 
 import os
 import random
+import time
 from itertools import combinations
 from math import prod
 
 import pytest
-from brute import group_counts, is_unique
+from brute import group_counts, is_unique, minimal_uccs
+from pyspark.sql import functions as F
 
 from solekey import session
 from solekey.operators.frames import combination_frame
 from solekey.operators.lattice import join_prefixes
 from solekey.plans import coded, search, waves
+from solekey.plans import groups as G
 from solekey.plans.bounds import cover_bound
 
 LINEITEM = "/root/testdata/sf0.01/lineitem.parquet"
@@ -107,6 +110,78 @@ def test_columns_that_follow_from_others(spark, tiny, nulls):
         assert found.get(c, []) == same
 
 
+def test_a_part_that_leaves_does_not_move_the_slices_of_others(spark, tiny):
+    """Before, a part's slices hung on its place among those left, so some keys were looked at in no wave."""
+    first = waves.in_slice(F.xxhash64(F.lit(0), F.col("id").cast("int")), 0, 1)
+    late = ~waves.in_slice(F.xxhash64(F.lit(1), F.col("id").cast("int")), 0, 1)
+    odd = spark.range(700).where(first & late).first()["id"]
+    rows = [(i % 700, i % 7 if i != 700 + odd else 9, i // 2, i % 2) for i in range(1400)]
+    table = coded_rows(spark, rows)
+    assert len(waves.plan(table, 2)) > 1
+    assert waves.determined(table, {(2, 3): [(2,)], (0, 1): [(0,)]}, False) == {}
+
+
+@pytest.mark.parametrize("skip_nulls", [False, True])
+def test_a_wave_has_few_cells_on_disk(spark, monkeypatch, tiny, skip_nulls):
+    """Before, a wave shuffled the cells of all its combinations at once: over 3 GB for 3.6 million rows of lineitem."""
+    monkeypatch.setattr(session, "CELLS_ON_DISK", 1)
+    rng, made, cells = random.Random(6), [], G.cells
+    rows = [tuple(None if rng.random() < 0.02 else rng.randrange(n) for n in (90, 70, 50, 8, 6)) for _ in range(400)]
+    table = coded_rows(spark, rows)
+    monkeypatch.setattr(G, "cells", lambda frame, layout, *more, **named: made.append(len(layout)) or cells(frame, layout, *more, **named))
+    every = [c for size in (2, 3) for c in combinations(range(5), size)]
+    found = waves.repeats(table, every, skip_nulls, lambda s: False, [])
+    assert max(made[-4:]) == 1 and len(made) > len(waves.ENDS)
+    mode = "distinct" if skip_nulls else "equal"
+    for c in every:
+        groups = group_counts(rows, c, mode)
+        assert found.counts[c].excess == sum(n - 1 for n in groups.values())
+    assert table.counts(every, skip_nulls)[every[0]].groups == len(group_counts(rows, every[0], mode)) and made[-1] == 1
+
+
+def test_a_search_with_few_cells_on_disk(spark, monkeypatch, tiny):
+    monkeypatch.setattr(session, "CELLS_ON_DISK", 1)
+    rng = random.Random(7)
+    rows = [(i // 3, rng.randrange(60), *[rng.randrange(n) for n in (9, 5, 4)], i // 3 % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(6)))
+    assert set(search.find(df, sample_rows=40)[0]) == set(minimal_uccs(rows, 6))
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_shuffle_files_go_with_their_job(spark, monkeypatch, parts):
+    """Before, they stayed until the driver's memory was cleaned up."""
+    monkeypatch.setattr(session, "ROWS_PER_CORE", 10)  # too many rows to be spread and kept as a small table
+    keys = [session.SHUFFLE_CLEANUP, session.READ_BYTES]
+    before, settings = shuffle_files(spark), [spark.conf.get(k, None) for k in keys]
+    rows = [(i // 4, i % 50, i % 7, i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int").coalesce(parts)
+    for method in search.METHODS:
+        search.find(df, sample_rows=40, method=method)
+    for _ in range(50):  # files are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert [spark.conf.get(k, None) for k in keys] == settings
+
+
+def test_files_are_read_in_small_parts(spark, monkeypatch, tmp_path):
+    """Before, a search shuffled all codes anew for each wave where tasks read many rows."""
+    monkeypatch.setattr(session, "ROWS_PER_CORE", 10)
+    monkeypatch.setattr(session, "ROWS_READ", 150)
+    spark.range(2000).repartition(20).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert session.rows_and_largest(df)[1] > 150
+    with session.fine_reads(df):
+        assert session.rows_and_largest(df) == (2000, 100)
+    assert session.rows_and_largest(df)[1] > 150
+
+
 def test_cover_bound():
     rng = random.Random(5)
     for _ in range(200):
