@@ -81,6 +81,13 @@ def cells(
     Combinations are numbered from 0, or by `numbers`; there are `depth` keys, or as many as needed.
     """
     depth = depth_of(layout) if depth is None else depth
+    if len(layout) == 1:  # the row is the cell
+        own = [F.lit(None).cast("long") if slot is None else F.col(f"s{slot}") for slot in layout[0]]
+        own += [F.lit(None).cast("long")] * (depth - len(own))
+        if skip_nulls:
+            rows = rows.dropna(subset=[f"s{slot}" for slot in layout[0] if slot is not None])
+        number = list(numbers)[0] if numbers else 0
+        return rows.select(F.lit(number).alias("combo"), *[c.alias(k) for c, k in zip(own, key_names(depth))])
     used = sorted({slot for slots in layout for slot in slots if slot is not None})
     plan = plan_of(layout, {slot: i for i, slot in enumerate(used)}, numbers or range(len(layout)), depth=depth)
     exploded = rows.select(F.array(*[F.col(f"s{slot}") for slot in used]).alias("codes")).select(

@@ -24,9 +24,9 @@ from solekey.plans.coded import BROADCAST_ROWS, CodedTable
 from solekey.plans.groups import NOTHING, Combo, Counts
 from solekey.session import durable, most_cells, room, roomy
 
-# The key domain is cut into 64 slices; waves end at these.
+# The key domain is cut into 64 slices; waves end at these. Each makes all cells of its combinations.
 SLICE_BITS = 6
-ENDS = (1, 4, 16, 64)
+ENDS = (1, 64)
 
 # Repeated hashes of a combination that are looked at closely where there are too many to broadcast.
 WITNESSES = 64
